@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_langid, op4_quality, op5_sharding, op7_exact_dedup, op8_toxicity
+from . import op1_langid, op3_secrets, op4_quality, op5_sharding, op7_exact_dedup, op8_toxicity, op9_packing
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -13,6 +13,10 @@ def op1_language_id(spark, sf_dir):
     return op1_langid.language_id(_table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark, sf_dir):
+    return op3_secrets.secrets(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark, sf_dir):
     return op4_quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -29,12 +33,18 @@ def op8_toxicity_ordinal(spark, sf_dir):
     return op8_toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_harmonic_packing(spark, sf_dir):
+    return op9_packing.packed(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op3_secret_scan": op3_secret_scan,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_hash_tree_sharding": op5_hash_tree_sharding,
     "op7_exact_dedup_tree": op7_exact_dedup_tree,
     "op8_toxicity_ordinal": op8_toxicity_ordinal,
+    "op9_harmonic_packing": op9_harmonic_packing,
 }
 
-ORACLE_SQL = {"op7_exact_dedup_tree": op7_exact_dedup.ORACLE_SQL}
+ORACLE_SQL = {"op3_secret_scan": op3_secrets.ORACLE_SQL, "op7_exact_dedup_tree": op7_exact_dedup.ORACLE_SQL}
