@@ -106,9 +106,12 @@ def secrets(docs: DataFrame) -> DataFrame:
     spans = F.coalesce("spans", F.array().cast("array<struct<start:bigint,kind:int,end:bigint,owners:bigint,repositories:bigint,live:boolean>>"))
     out = scan(docs).withColumn("spans", spans)
     base = F.filter("spans", lambda s: s["kind"] < 3)
-    count = [F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:3])]
+
+    def count(i: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long").alias(f"n_{KINDS[i]}")
+
     live = F.size(F.filter("spans", lambda s: s["live"])).cast("long")
-    return out.select("doc_id", *count, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), live.alias("n_live"), (F.size("spans") - live).alias("n_copied"))
+    return out.select("doc_id", *[count(i) for i in range(3)], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), live.alias("n_live"), (F.size("spans") - live).alias("n_copied"))
 
 
 ORACLE_SQL = f"""
