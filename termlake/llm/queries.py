@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_langid, op3_secrets, op4_quality, op5_sharding, op7_exact_dedup, op8_toxicity, op9_packing
+from . import op10_minhash, op1_langid, op3_secrets, op4_quality, op5_sharding, op7_exact_dedup, op8_toxicity, op9_packing
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -37,6 +37,10 @@ def op9_harmonic_packing(spark, sf_dir):
     return op9_packing.packed(_table(spark, sf_dir, "documents"))
 
 
+def op10_minhash_dedup(spark, sf_dir):
+    return op10_minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_secret_scan": op3_secret_scan,
@@ -45,6 +49,7 @@ QUERIES = {
     "op7_exact_dedup_tree": op7_exact_dedup_tree,
     "op8_toxicity_ordinal": op8_toxicity_ordinal,
     "op9_harmonic_packing": op9_harmonic_packing,
+    "op10_minhash_dedup": op10_minhash_dedup,
 }
 
-ORACLE_SQL = {"op3_secret_scan": op3_secrets.ORACLE_SQL, "op7_exact_dedup_tree": op7_exact_dedup.ORACLE_SQL}
+ORACLE_SQL = {"op10_minhash_dedup": op10_minhash.ORACLE_SQL, "op3_secret_scan": op3_secrets.ORACLE_SQL, "op7_exact_dedup_tree": op7_exact_dedup.ORACLE_SQL}
