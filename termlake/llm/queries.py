@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op10_minhash, op1_langid, op3_secrets, op4_quality, op5_sharding, op7_exact_dedup, op8_toxicity, op9_packing
+from . import op10_minhash, op1_langid, op3_secrets, op4_quality, op5_sharding, op6_decontam, op7_exact_dedup, op8_toxicity, op9_packing
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -25,6 +25,10 @@ def op5_hash_tree_sharding(spark, sf_dir):
     return op5_sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op6_benchmark_decontamination(spark, sf_dir):
+    return op6_decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_exact_dedup_tree(spark, sf_dir):
     return op7_exact_dedup.deduplicated(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_hash_tree_sharding": op5_hash_tree_sharding,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_exact_dedup_tree": op7_exact_dedup_tree,
     "op8_toxicity_ordinal": op8_toxicity_ordinal,
     "op9_harmonic_packing": op9_harmonic_packing,
