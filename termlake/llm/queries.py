@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op10_minhash, op1_langid, op3_secrets, op4_quality, op5_sharding, op6_decontam, op7_exact_dedup, op8_toxicity, op9_packing
+from . import op10_minhash, op1_langid, op2_lm, op3_secrets, op4_quality, op5_sharding, op6_decontam, op7_exact_dedup, op8_toxicity, op9_packing
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -13,6 +13,10 @@ def op1_language_id(spark, sf_dir):
     return op1_langid.language_id(_table(spark, sf_dir, "documents"))
 
 
+def op2_attention_lm(spark, sf_dir):
+    return op2_lm.lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark, sf_dir):
     return op3_secrets.secrets(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_minhash_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_attention_lm": op2_attention_lm,
     "op3_secret_scan": op3_secret_scan,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_hash_tree_sharding": op5_hash_tree_sharding,
