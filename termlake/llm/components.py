@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -21,11 +21,10 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        large = cut(large)
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c"))
-        joined = large.join(least, F.col("u") == F.col("c"))
-        small = joined.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v"))).distinct()
-        edges = cut(small)
+        # large-star leaves a node few lesser neighbours
+        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        stars = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        edges = cut(small.select(F.explode(stars).alias("e")).select("e.*").where("u > v").distinct())
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
         if tuple(now) == mark:
             break

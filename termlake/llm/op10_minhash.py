@@ -31,9 +31,9 @@ from .common import cut
 from .components import components
 from .shingles import MinHasher, agreeing, band_keys, corrected, pack_low_bits, shingle_sets, word_table
 
-HASHES, BITS, BAND_ROWS, BANDS = 256, 2, 5, 32
+HASHES, BITS, BAND_ROWS, BANDS = 512, 2, 5, 32
 WORDS = HASHES // 64 * BITS
-SLACK = 0.12
+SLACK = 0.085
 BLOCK = 1024
 SIG = [f"s{i}" for i in range(WORDS)]
 
@@ -83,16 +83,18 @@ def _estimate(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return both.select("a", "b", corrected(F.lit(HASHES) - differ, HASHES, BITS).alias("estimate"))
 
 
-def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, text_col: str = "text") -> DataFrame:
-    """Of pairs (a, b) those whose full sets have 100 * intersection >= percent * union."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = cut(ends.join(nodes.select("node", "tkey"), "node"))
+def fetch_texts(wanted: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(node, _text) of the nodes in wanted (node, tkey)."""
     found = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_tkey", _text_key())
     keys = wanted.select(F.col("tkey").alias("_tkey")).distinct()
     # equal texts are taken together before the shuffle, so a hot text moves once for each task
     texts = found.join(keys, "_tkey", "left_semi").groupBy("_tkey").agg(F.first("_text").alias("_text"))
-    held = cut(wanted.join(texts, F.col("tkey") == F.col("_tkey")).select("node", "_text"))
-    joined = pairs.join(held.select(F.col("node").alias("a"), F.col("_text").alias("ta")), "a").join(held.select(F.col("node").alias("b"), F.col("_text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    return wanted.join(texts, F.col("tkey") == F.col("_tkey")).select("node", "_text")
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) those whose full sets have 100 * intersection >= percent * union."""
+    joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("_text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("_text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_table()
@@ -125,11 +127,11 @@ def _search(members: DataFrame, nodes: DataFrame, least: float, best: int) -> Da
     outside = F.col("comp") != F.col("rep_comp")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = members.where("node != rep").join(nodes.select("node", *SIG), "node").withColumn("own", own)
+    dealt = members.where("node != rep").join(nodes.select("node", "bands", *SIG), "node").withColumn("own", own)
     asking = dealt.where(outside).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("asks", F.lit(True))
     # F.explode over blocks of askers: as many as there are blocks
     asked = dealt.withColumn("other", F.col("own")).drop("own").withColumn("own", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("asks", F.lit(False))
-    cols = ["key", "own", "other", "asks", "node", "comp", *SIG]
+    cols = ["key", "own", "other", "asks", "node", "comp", "bands", *SIG]
     rows = asking.select(*cols).unionByName(asked.select(*cols))
 
     def paired(group: pd.DataFrame) -> pd.DataFrame:
@@ -137,6 +139,8 @@ def _search(members: DataFrame, nodes: DataFrame, least: float, best: int) -> Da
         out_a, out_b = [], []
         if len(x) and len(y):
             sx, sy = np.ascontiguousarray(x[SIG].to_numpy(np.int64)), np.ascontiguousarray(y[SIG].to_numpy(np.int64))
+            bx, by = np.stack(x["bands"].to_numpy()), np.stack(y["bands"].to_numpy())
+            band = int(np.argmax(bx[0] == x["key"].iloc[0]))
             nx, ny, cx, cy = (v.to_numpy() for v in (x["node"], y["node"], x["comp"], y["comp"]))
             for a in range(0, len(x), 64):
                 est = corrected(agreeing(sx[a : a + 64, None], sy[None], HASHES, BITS), HASHES, BITS)
@@ -148,6 +152,9 @@ def _search(members: DataFrame, nodes: DataFrame, least: float, best: int) -> Da
                     i, j = i[good], j[good]
                 else:
                     i, j = np.nonzero(est > 0)
+                # a pair belongs to the first band that both share; with a bucket's first it has been seen already
+                here = ~(bx[a + i, :band] == by[j, :band]).any(axis=1)
+                i, j = i[here], j[here]
                 out_a.append(nx[a + i])
                 out_b.append(ny[j])
         a, b = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (out_a, out_b))
@@ -167,24 +174,21 @@ def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text
     buckets = cut(keyed.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("n")).where("n > 1"))
     members = cut(keyed.join(buckets, "key"))
 
-    def links_of(pairs: DataFrame) -> DataFrame:
-        likely = cut(_estimate(pairs, nodes).where(F.col("estimate") >= least).select("a", "b"))
-        return cut(confirm(likely, nodes, docs, percent, text_col))
-
-    links = links_of(members.where("node != rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct())
+    texts = cut(fetch_texts(members.select("node").distinct().join(nodes.select("node", "tkey"), "node"), docs, text_col))
+    stars = members.where("node != rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct()
+    likely = _estimate(stars, nodes).where(F.col("estimate") >= least).select("a", "b")
+    links = cut(confirm(likely, texts, percent))
     comps = cut(components(links))
-    # pairs away from a bucket's first: the best partner of each node, then a few, then all
+    # pairs away from a bucket's first: the best two partners of each node, then all
     crowded = members.where("n > 2")
-    for best in (1, 6, 0):
+    for best in (2, 0):
         labelled = crowded.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         of_rep = comps.select(F.col("node").alias("rep"), F.col("comp").alias("rc"))
         labelled = labelled.join(of_rep, "rep", "left").withColumn("rep_comp", F.coalesce("rc", "rep")).drop("rc")
         mixed = labelled.groupBy("key").agg(F.max(F.col("comp") != F.col("rep_comp")).alias("open")).where("open").select("key")
-        labelled = cut(labelled.join(cut(mixed), "key", "left_semi"))
+        labelled = cut(labelled.join(mixed, "key", "left_semi"))
         pairs = cut(_search(labelled, nodes, least, best))
-        if pairs.isEmpty():
-            continue
-        more = cut(confirm(pairs, nodes, docs, percent, text_col))
+        more = cut(confirm(pairs, texts, percent))
         if more.isEmpty():
             continue
         links = links.unionByName(more)
