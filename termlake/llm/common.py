@@ -31,6 +31,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(df: DataFrame, most: int = 16 << 20) -> None:
+    """Hold Arrow batches of the session to `most` bytes, where they could be larger: long texts come by thousands otherwise."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession.conf.get(key, "64m").strip().lower()
+    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    now = now.removesuffix("b") or "0" if now[-2:-1] in units else now
+    size = int(now[:-1]) * units[now[-1]] if now[-1] in units else int(now)
+    if size <= 0 or size > most:
+        df.sparkSession.conf.set(key, f"{most}b")
+
+
 def held_out(id_col: str, modulus: int, remainder: int) -> Column:
     """crc32(id as text) mod modulus is remainder; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % modulus == remainder
@@ -42,10 +53,7 @@ def shuffle_partitions(df: DataFrame) -> int:
 
 def lower_ascii(text: str) -> str:
     """Lower-case A-Z only."""
-    return text.lower() if text.isascii() else text.translate(_LOWER)
-
-
-_LOWER = {c: c + 32 for c in range(65, 91)}
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def split_words(text: str) -> list[str]:

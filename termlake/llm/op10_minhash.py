@@ -22,12 +22,11 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 from .components import components
 from .shingles import MinHasher, agreeing, band_keys, corrected, pack_low_bits, shingle_sets, word_table
 
@@ -134,37 +133,63 @@ def _search(members: DataFrame, nodes: DataFrame, least: float, best: int) -> Da
     cols = ["key", "own", "other", "asks", "node", "comp", "bands", *SIG]
     rows = asking.select(*cols).unionByName(asked.select(*cols))
 
-    def paired(group: pd.DataFrame) -> pd.DataFrame:
-        x, y = group[group["asks"]], group[~group["asks"]]
-        out_a, out_b = [], []
-        if len(x) and len(y):
-            sx, sy = np.ascontiguousarray(x[SIG].to_numpy(np.int64)), np.ascontiguousarray(y[SIG].to_numpy(np.int64))
-            bx, by = np.stack(x["bands"].to_numpy()), np.stack(y["bands"].to_numpy())
-            band = int(np.argmax(bx[0] == x["key"].iloc[0]))
-            nx, ny, cx, cy = (v.to_numpy() for v in (x["node"], y["node"], x["comp"], y["comp"]))
-            for a in range(0, len(x), 64):
-                est = corrected(agreeing(sx[a : a + 64, None], sy[None], HASHES, BITS), HASHES, BITS)
-                est[(cx[a : a + 64, None] == cy[None]) | (est < least)] = -1
-                if best and best < est.shape[1]:
-                    top = np.argpartition(-est, best - 1, axis=1)[:, :best]
-                    i, j = np.repeat(np.arange(len(est)), best), top.ravel()
-                    good = est[i, j] > 0
-                    i, j = i[good], j[good]
-                else:
-                    i, j = np.nonzero(est > 0)
-                # a pair belongs to the first band that both share; with a bucket's first it has been seen already
-                here = ~(bx[a + i, :band] == by[j, :band]).any(axis=1)
-                i, j = i[here], j[here]
-                out_a.append(nx[a + i])
-                out_b.append(ny[j])
-        a, b = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (out_a, out_b))
-        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
-
-    return rows.groupBy("key", "own", "other").applyInPandas(paired, "a bigint, b bigint").distinct()
+    def paired(x: slice, y: slice, c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of askers x with others y of one pair of blocks; slices of the columns c."""
+        out = []
+        sx, sy, bx, by = c["sig"][x], c["sig"][y], c["bands"][x], c["bands"][y]
+        nx, ny, cx, cy = c["node"][x], c["node"][y], c["comp"][x], c["comp"][y]
+        band = int(np.argmax(bx[0] == c["key"][x.start]))
+        for a in range(0, len(nx), 64):
+            est = corrected(agreeing(sx[a : a + 64, None], sy[None], HASHES, BITS), HASHES, BITS)
+            est[(cx[a : a + 64, None] == cy[None]) | (est < least)] = -1
+            if best and best < est.shape[1]:
+                top = np.argpartition(-est, best - 1, axis=1)[:, :best]
+                i, j = np.repeat(np.arange(len(est)), best), top.ravel()
+                good = est[i, j] > 0
+                i, j = i[good], j[good]
+            else:
+                i, j = np.nonzero(est > 0)
+            # a pair belongs to the first band that both share; with a bucket's first it has been seen already
+            here = ~(bx[a + i, :band] == by[j, :band]).any(axis=1)
+            out.append((nx[a + i[here]], ny[j[here]]))
+        return tuple(np.concatenate(v) for v in zip(*out, strict=True))
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted rows stream by; whole pairs of blocks are taken as they end."""
+        held: dict[str, np.ndarray] | None = None
+
+        def taken(c: dict[str, np.ndarray], cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            found = []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                middle = b - int(c["asks"][a:b].sum())  # those who ask sort last
+                if a < middle < b:
+                    found.append(paired(slice(middle, b), slice(a, middle), c))
+            if found:
+                x, y = (np.concatenate(v) for v in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            new = {n: col[n].to_numpy(zero_copy_only=False) for n in ("key", "own", "other", "asks", "node", "comp")}
+            new["bands"] = col["bands"].flatten().to_numpy().reshape(len(batch), BANDS)
+            new["sig"] = np.stack([col[s].to_numpy() for s in SIG], 1)
+            c = new if held is None else {n: np.concatenate([held[n], new[n]]) for n in new}
+            changes = np.flatnonzero((c["key"][1:] != c["key"][:-1]) | (c["own"][1:] != c["own"][:-1]) | (c["other"][1:] != c["other"][:-1])) + 1
+            cuts = np.concatenate(([0], changes))
+            yield from taken(c, cuts)
+            held = {n: v[cuts[-1] :] for n, v in c.items()}
+        if held is not None:
+            yield from taken(held, np.array([0, len(held["key"])]))
+
+    sorted_rows = rows.repartition("key", "own", "other").sortWithinPartitions("key", "own", "other", "asks")
+    return sorted_rows.mapInArrow(searched, "a bigint, b bigint").distinct()
 
 
 def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(row, id, tkey, n_shingles, comp, component_id of each document; confirmed links between nodes)."""
+    small_batches(docs)
     least = percent / 100 - SLACK
     sigs = cut(signatures(docs, id_col, text_col))
     first = F.min(F.struct("row", "tkey"))
