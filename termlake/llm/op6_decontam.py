@@ -243,21 +243,26 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     return matches(docs, items)
 
 
+def _holds(shared):
+    """Column function: whether a text holds an item of the shared index."""
+
+    @F.pandas_udf("boolean")
+    def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = shared.value
+        for batch in batches:
+            texts = [t if isinstance(t, str) else "" for t in batch]
+            found = np.zeros(len(texts), bool)
+            for a, b in chunks(texts):
+                for hit in index.find(texts[a:b]):
+                    found[a + hit[0]] = True
+            yield pd.Series(found)
+
+    return holds
+
+
 def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that hold no item, with their own columns; no shuffle."""
     for index in indexes(items):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        @F.pandas_udf("boolean")
-        def holds(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            index = shared.value
-            for batch in batches:
-                texts = [t if isinstance(t, str) else "" for t in batch]
-                found = np.zeros(len(texts), bool)
-                for a, b in chunks(texts):
-                    for hit in index.find(texts[a:b]):
-                        found[a + hit[0]] = True
-                yield pd.Series(found)
-
+        holds = _holds(docs.sparkSession.sparkContext.broadcast(index))
         docs = docs.where(~holds(F.col(text_col)))
     return docs
