@@ -111,9 +111,10 @@ def retain(df: DataFrame, most: int, col: str = "seg_start") -> DataFrame:
 
 
 def filter_bytes(n_terms: Column) -> Column:
-    """Bytes of a row's filter: four for each of few terms, else two tables of 1.23 bytes a term and 32 more."""
-    table = (F.floor(F.lit(1.23) * n_terms) + 32).cast("bigint")
-    return F.when(n_terms <= LIST_TERMS, n_terms * 4).otherwise(2 * F.call_function("div", table, F.lit(3)) * 3)
+    """Bytes of a row's filter: four and four for each of few terms; else 12 and a table of 1.23 bytes and a little for each
+    term and its complement, in three equal parts."""
+    table = F.call_function("div", 32 + F.ceil(F.lit(2.46) * n_terms), F.lit(3)) * 3
+    return F.when(n_terms <= LIST_TERMS, n_terms * 4 + 4).otherwise(table + 12)
 
 
 def rough_size(df: DataFrame, by: str = "segment", terms: str = "terms") -> DataFrame:

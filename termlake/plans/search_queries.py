@@ -231,6 +231,6 @@ ORACLE_SQL = {
     "seen_antijoin": "select o_orderkey, o_custkey as key from orders where o_custkey not in (select c_custkey from customer where c_mktsegment = 'BUILDING')",
     "segment_rough_size": f"""
         with {_T}, f as (select doc_id // 100 as segment, len(w) as n from t)
-        select segment, count(*) as rows, sum(20 + case when n <= 12 then n * 4 else ((floor(1.23 * n) + 32)::bigint // 3) * 6 end)::bigint as rough_bytes from f group by segment""",
+        select segment, count(*) as rows, sum(20 + case when n <= 12 then n * 4 + 4 else (ceil(2.46::double * n) + 32)::bigint // 3 * 3 + 12 end)::bigint as rough_bytes from f group by segment""",
     "newest_per_source": "select source, max(doc_id) as last_id, count(*) as rows from documents group by source",
 }

@@ -280,3 +280,43 @@ def test_time_server_source(spark):
     got = chrony.decode(rows, "tracking").select("stratum", "ref_id").collect()
     assert [tuple(r) for r in got] == [(3, 3861235310)] * 2
     server.close()
+
+
+def test_segment_files(spark, tmp_path):
+    from termlake.sources import segment_files as sf
+
+    draw = np.random.default_rng(3)
+    rows = [(i.to_bytes(16, "big"), [int(x) for x in draw.integers(-(2**63), 2**63 - 1, n)]) for i, n in enumerate([1, 12, 13, 40, 300] * 4)]
+    for compress in (False, True):
+        raw = sf.encode(1_700_000_000_000, rows, compress)
+        start, got = sf.decode(raw)
+        assert start == 1_700_000_000_000 and [k for k, _ in got] == [k for k, _ in rows]
+        for (_, terms), (_, f) in zip(rows, got, strict=True):
+            assert all(sf.filter_holds(f, t) for t in terms)
+        misses = [sf.filter_holds(got[4][1], int(t)) for t in draw.integers(0, 2**60, 2000)]
+        assert sum(misses) <= 2
+        for bad in (b"", b"\x09" + raw[1:], raw[:-3]):
+            with pytest.raises(ValueError):
+                sf.decode(bad)
+    broken = bytearray(sf.encode(5, rows))
+    broken[broken.rindex((19).to_bytes(16, "big"))] ^= 1
+    with pytest.raises(ValueError, match="checksum"):
+        sf.decode(bytes(broken))
+    df = spark.createDataFrame([(7, i, bytearray(k), t) for i, (k, t) in enumerate(rows)], "seg_start bigint, local_id int, key binary, terms array<bigint>")
+    for r in sf.to_files(df, compress=True).collect():
+        (tmp_path / r.name).write_bytes(bytes(r.content))
+    back = sf.read_files(spark, str(tmp_path))
+    assert back.count() == len(rows) and back.where("low_terms is null").count() == 12
+    probe = back.join(df.select("local_id", F.element_at("terms", 1).alias("t")), "local_id")
+    assert probe.where(~sf.holds("filter", "t")).count() == 0
+    sizes = df.select(F.sum(segments.filter_bytes(F.size("terms")))).first()[0]
+    assert abs(sizes - sum(len(f) for _, f in sf.decode(sf.encode(7, rows))[1])) <= 3 * len(rows)
+
+
+def test_block_hashes_agree(spark):
+    from termlake.sources.segment_files import _block_hashes
+
+    start, terms = 1_700_000_000_123, [1, 2**40 + 7, -3]
+    got = spark.createDataFrame([(t,) for t in terms], "t bigint").select(hashing.block_hashes(F.col("t"), F.lit(start))).collect()
+    want = _block_hashes(np.array([t & (2**64 - 1) for t in terms], np.uint64), start)
+    assert [r[0][:3] for r in got] == want.tolist()
