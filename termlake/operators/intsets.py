@@ -193,3 +193,42 @@ def packed_or(p: DataFrame) -> DataFrame:
 def packed_and(p: DataFrame, n_sets: int) -> DataFrame:
     """(bucket, bits) of the intersection of n sets; a bucket that a set lacks is empty."""
     return p.groupBy("bucket").agg(F.bitmap_and_agg("bits").alias("bits"), F.count("*").alias("_n")).where(F.col("_n") == n_sets).select("bucket", "bits")
+
+
+def ascending(s: DataFrame, least: int | None = None) -> DataFrame:
+    """Members in rising order, from `least` on. Read them with toLocalIterator() to stop early."""
+    return (_x(s) if least is None else _x(s).where(F.col("x") >= least)).orderBy("x")
+
+
+def descending(s: DataFrame, most: int | None = None) -> DataFrame:
+    """Members in falling order, from `most` down."""
+    return (_x(s) if most is None else _x(s).where(F.col("x") <= most)).orderBy(F.desc("x"))
+
+
+def batches(s: DataFrame, size: int):
+    """Lists of up to `size` members in rising order; partitions come to the driver one at a time."""
+    held: list[int] = []
+    for row in ascending(s).toLocalIterator():
+        held.append(row[0])
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def with_high_bits(s: DataFrame, high: int) -> DataFrame:
+    """Members as 64-bit numbers with `high` or-ed in."""
+    return _x(s).select(F.col("x").bitwiseOR(F.lit(high)).alias("x"))
+
+
+def contains(s: DataFrame, values: DataFrame) -> DataFrame:
+    """(x, found) for each of the values."""
+    marked = _x(s).distinct().select(F.col("x").alias("_m"))
+    return _x(values).join(marked, F.col("x") == F.col("_m"), "left").select("x", F.col("_m").isNotNull().alias("found"))
+
+
+def checksum(s: DataFrame) -> DataFrame:
+    """One row that is alike for alike sets, however they are stored: size and two order-free sums of hashes."""
+    d = _x(s).distinct()
+    return d.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("x")), F.lit(0)).alias("h1"), F.coalesce(F.bit_xor(F.xxhash64(F.lit(1), "x")), F.lit(0)).alias("h2"))

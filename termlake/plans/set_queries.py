@@ -93,6 +93,22 @@ def set_checked_remove(spark, d):
     return intsets.checked_remove(_flag(spark, d, "A"), _flag(spark, d, "R"))[1]
 
 
+def set_seek(spark, d):
+    return intsets.ascending(_flag(spark, d, "A"), 150).limit(30)
+
+
+def set_reverse(spark, d):
+    return intsets.descending(_flag(spark, d, "A"), 180).limit(30)
+
+
+def set_high_bits(spark, d):
+    return intsets.with_high_bits(_flag(spark, d, "A"), 7 << 32)
+
+
+def set_contains(spark, d):
+    return intsets.contains(_flag(spark, d, "A"), _flag(spark, d, "R"))
+
+
 def set_intersects_interval(spark, d):
     orders = _table(spark, d, "orders").select(F.col("o_custkey").alias("set_id"), F.col("o_orderkey").alias("x"))
     return intsets.intersects_interval(orders, 1000, 2000)
@@ -281,7 +297,7 @@ QUERIES = {
     "set_and": _pair(intsets.and_), "set_or": _pair(intsets.or_), "set_xor": _pair(intsets.xor), "set_andnot": _pair(intsets.and_not),
 } | {f.__name__: f for f in (
     set_nway_and, set_nway_or, set_nway_xor, set_and_any, set_cardinalities, set_minmax, set_rank, set_select, set_flip, set_add_range, set_remove_range,
-    set_add_offset, set_checked_add, set_checked_remove, set_intersects_interval, set_equals, set_containers, set_serialized_size, set_size_bound, set_runs,
+    set_add_offset, set_checked_add, set_checked_remove, set_intersects_interval, set_seek, set_reverse, set_high_bits, set_contains, set_equals, set_containers, set_serialized_size, set_size_bound, set_runs,
     set_codec_roundtrip, packed_bitmap_count, packed_bitmap_or, packed_bitmap_and, array_dedup, array_contains_any, array_show, map_operations,
     segment_assign, segment_bounds, segment_slot_report, segment_walk_asc, segment_walk_desc, segment_next_prev, segment_find, segment_retention,
     segment_names, lru_exact, id_encode, id_decode, base62_roundtrip, block_channel, cookie, future_unique, group_commit_batches, key_pack_unpack,
@@ -330,6 +346,10 @@ ORACLE_SQL = {
     "set_checked_add": f"select x from {_R} except select x from {_A}",
     "set_checked_remove": f"select x from {_A} intersect select x from {_R}",
     "set_intersects_interval": "select o_custkey as set_id, bool_or(o_orderkey >= 1000 and o_orderkey < 2000) as hit from orders group by 1",
+    "set_seek": f"select x from {_A} where x >= 150 order by x limit 30",
+    "set_reverse": f"select x from {_A} where x <= 180 order by x desc limit 30",
+    "set_high_bits": f"select x + 30064771072 as x from {_A}",
+    "set_contains": f"select x, x in (select x from {_A}) as found from {_R}",
     "set_equals": f"with s as (select set_id, list(x order by x) as xs from {_FLAGS} group by set_id) select a.set_id as a, b.set_id as b, a.xs = b.xs as equal from s a join s b on a.set_id < b.set_id",
     "set_containers": f"{_CHUNKS} select chunk, cardinality, n_runs, case when rb <= pb then 'run' when cardinality <= 4096 then 'array' else 'bitmap' end as kind, least(rb, pb) as bytes from k",
     "set_serialized_size": f"{_CHUNKS} select (sum(least(rb, pb)) + case when not bool_or(rb <= pb) then 8 + 8 * count(*) when count(*) < 4 then 4 + (count(*) + 7) // 8 + 4 * count(*) else 4 + (count(*) + 7) // 8 + 8 * count(*) end)::bigint as size from k",

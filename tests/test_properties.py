@@ -320,3 +320,12 @@ def test_block_hashes_agree(spark):
     got = spark.createDataFrame([(t,) for t in terms], "t bigint").select(hashing.block_hashes(F.col("t"), F.lit(start))).collect()
     want = _block_hashes(np.array([t & (2**64 - 1) for t in terms], np.uint64), start)
     assert [r[0][:3] for r in got] == want.tolist()
+
+
+def test_iteration_and_checksum(spark):
+    s = intsets.of(spark, 3, 1, 2, 70000, 9)
+    assert list(intsets.batches(s, 2)) == [[1, 2], [3, 9], [70000]]
+    twice = s.union(intsets.of(spark, 9))
+    assert intsets.checksum(s).first() == intsets.checksum(twice).first() != intsets.checksum(intsets.of(spark, 1)).first()
+    rows = spark.createDataFrame([(0, 0, [1, 2]), (0, 1, [2, 3]), (1, 0, [5])], "segment int, slot int, terms array<int>")
+    assert sorted(tuple(r) for r in segments.report(rows).collect()) == [(0, 2, 2, 4, 3), (1, 1, 1, 1, 1)]
