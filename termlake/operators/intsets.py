@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .segments import dense_number
+
 UNIVERSE = 1 << 32
 #: Fixed values of the portable serialisation: a chunk's span, the largest array container, bytes of a bitmap container.
 CHUNK, ARRAY_MOST, BITMAP_BYTES = 1 << 16, 4096, 8192
@@ -114,13 +116,8 @@ def rank(s: DataFrame, value: int) -> DataFrame:
 
 
 def select(s: DataFrame, i: int) -> DataFrame:
-    """The i-th least x, from 0; no row beyond the last. Range-partitioned counts lead to one partition, which alone is numbered."""
-    spread = _x(s).repartitionByRange("x").withColumn("p", F.spark_partition_id())
-    counts = spread.groupBy("p").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    part = counts.withColumn("before", before).where((F.col("before") <= i) & (F.col("before") + F.col("n") > i))
-    own = spread.join(F.broadcast(part.select("p", "before")), "p")
-    return own.withColumn("k", F.row_number().over(Window.partitionBy("p").orderBy("x")) - 1 + F.col("before")).where(F.col("k") == i).select("x")
+    """The i-th least x, from 0; no row beyond the last."""
+    return dense_number(_x(s), ["x"], "k").where(F.col("k") == i).select("x")
 
 
 def intersects_interval(sets: DataFrame, low: int, high: int, by: str = "set_id") -> DataFrame:

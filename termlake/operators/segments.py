@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 # Rows of a slot and slots of a segment, rows of a block, bytes that a row takes besides its filter.
 SLOT_ROWS, SLOTS, BLOCK_ROWS = 1 << 14, 64, 256
 CAPACITY = SLOT_ROWS * SLOTS
@@ -18,15 +20,20 @@ LIST_TERMS = 12
 
 
 def dense_number(df: DataFrame, order: list[str], out: str = "n") -> DataFrame:
-    """df with numbers from 0 in the given order (which must be total). No partition holds more than its range."""
-    ranged = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id())
-    counts = ranged.groupBy("_p").agg(F.count("*").alias("_c"))
+    """df with numbers from 0 in the given order (which must be total). No partition holds more than its range.
+
+    Rows are sorted by range once and written, as the borders of ranges are drawn by sampling and would not be the same a
+    second time; what is read then carries its partition and its place there.
+    """
+    at = F.monotonically_increasing_id()
+    ranged = cut(df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("_at", at))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = ranged.groupBy(part.alias("_p")).agg((F.max(place) + 1).alias("_c"))
     # one row for each partition
     before = F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_c")
     starts = counts.select(F.col("_p").alias("_q"), before.alias("_start"))
-    within = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    joined = ranged.withColumn("_w", within).join(F.broadcast(starts), F.col("_p") == F.col("_q"))
-    return joined.withColumn(out, F.col("_start") + F.col("_w")).drop("_p", "_q", "_w", "_start")
+    joined = ranged.join(F.broadcast(starts), part == F.col("_q"))
+    return joined.withColumn(out, F.col("_start") + place).drop("_at", "_q", "_start")
 
 
 def assign(df: DataFrame, order: list[str], rows: int = CAPACITY, slot_rows: int = SLOT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:

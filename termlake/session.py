@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "termlake", **conf: str) -> SparkSession:
@@ -16,3 +16,16 @@ def session(name: str = "termlake", **conf: str) -> SparkSession:
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     return builder.config(map=base | conf).getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the cluster's checkpoint folder and read from there: lineage ends, and a lost executor loses nothing.
+
+    The folder is the one in spark.checkpoint.dir; only where that is unset a folder of the warehouse, which executors share too.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return df.checkpoint()
