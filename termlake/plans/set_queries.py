@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import ids, keys, sets
-from ..functions import roaring
+from ..functions import hashing, ids, keys, roaring, sets
 from ..operators import intsets, segments
 from ..streaming import ingest
 
@@ -287,6 +286,35 @@ def key_order(spark, d):
     return rows.orderBy("k").limit(40).select("o_orderkey", keys.hex_key(F.col("k")).alias("key_hex"))
 
 
+def hash_pair(spark, d):
+    h = hashing.pair_hash(F.col("o_custkey"), F.col("o_orderkey"))
+    return _table(spark, d, "orders").select("o_orderkey", h.alias("h"))
+
+
+def hash_key(spark, d):
+    """Hash of a 16-byte key and the three numbers that approximate sets make of a hash."""
+    h = hashing.key_hash(keys.high_low_key(F.col("o_custkey"), F.col("o_orderkey")))
+    three = hashing.expand(h)
+    return _table(spark, d, "orders").select("o_orderkey", h.alias("h"), three[1].alias("flipped"), F.lower(F.hex(three[2])).alias("swapped_hex"))
+
+
+def key_compare(spark, d):
+    a, b = keys.uint64_key(F.col("o_orderkey") - 700), keys.uint64_key(F.lit(100).cast("bigint"))
+    return _table(spark, d, "orders").select("o_orderkey", keys.compare(a, b).alias("c"))
+
+
+def array_equal(spark, d):
+    return _arrays(spark, d).select("l_orderkey", sets.same_elements(F.col("parts"), F.reverse("parts")).alias("same"), sets.contains_all(F.col("parts"), F.col("supps")).alias("all_in"))
+
+
+def map_merge(spark, d):
+    """Part by line of each order, merged with supplier by line for the lines 2 and up."""
+    lines = _table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("p"), F.max("l_suppkey").alias("s"))
+    two = lines.groupBy("l_orderkey").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("l_linenumber", "p")))).alias("p"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("l_linenumber", "s")))).alias("s"))
+    merged = sets.merge(F.col("p"), F.map_filter("s", lambda k, _: k >= 2))
+    return two.select("l_orderkey", sets.show_map(merged).alias("shown"))
+
+
 def skip32_roundtrip(spark, d):
     x = F.pmod(F.col("p_partkey") * 2654435761, F.lit(1 << 32))
     there = ids.skip32(b"an example")(x)
@@ -301,7 +329,7 @@ QUERIES = {
     set_codec_roundtrip, packed_bitmap_count, packed_bitmap_or, packed_bitmap_and, array_dedup, array_contains_any, array_show, map_operations,
     segment_assign, segment_bounds, segment_slot_report, segment_walk_asc, segment_walk_desc, segment_next_prev, segment_find, segment_retention,
     segment_names, lru_exact, id_encode, id_decode, base62_roundtrip, block_channel, cookie, future_unique, group_commit_batches, key_pack_unpack,
-    key_order, skip32_roundtrip,
+    key_order, key_compare, hash_pair, hash_key, array_equal, map_merge, skip32_roundtrip,
 )}
 
 _A, _R, _N = (f"(select distinct l_partkey as x from lineitem where l_returnflag = '{f}')" for f in "ARN")
@@ -326,6 +354,11 @@ _IDS = f"""
     v as (select event_id, second, (second - {ids.EPOCH}) * 67108864 + 3 * 8192 + c as v from n)"""
 _KEY = "lpad(lower(to_hex(o_custkey)), 16, '0') || lpad(lower(to_hex({})), 16, '0')"
 
+#: 64-bit products in 128-bit numbers; a number's bytes in reverse, greatest first.
+_PAIR = "(xor((xor(14695981039346656037::hugeint, {a}) * 1099511628211) % 18446744073709551616, {b}) * 1099511628211) % 18446744073709551616"
+_SIGNED = "(case when h >= 9223372036854775808 then h - 18446744073709551616 else h end)::bigint"
+_SWAP = "(" + " + ".join(f"(({{0}} // {256**i}) % 256)::hugeint * {256 ** (7 - i)}" for i in range(7)) + ")"
+
 ORACLE_SQL = {
     "set_and": f"select x from {_A} intersect select x from {_R}",
     "set_or": f"select x from {_A} union select x from {_R}",
@@ -389,5 +422,16 @@ ORACLE_SQL = {
     "group_commit_batches": "select epoch_us(ts) // 3600000000 as batch, count(*) as rows from events group by 1",
     "key_pack_unpack": f"select o_orderkey, {_KEY.format('o_orderkey')} as key_hex, o_custkey as high, o_orderkey as low, {_KEY.format('o_orderkey + 1')} as next_hex from orders",
     "key_order": "select o_orderkey, lpad(lower(to_hex(o_orderkey - 700)), 32, '0') as key_hex from orders order by (case when o_orderkey < 700 then 1 else 0 end), o_orderkey limit 40",
+    "hash_pair": f"with h as (select o_orderkey, {_PAIR.format(a='o_custkey::hugeint', b='o_orderkey::hugeint')} as h from orders) select o_orderkey, {_SIGNED} as h from h",
+    "hash_key": f"""
+        with s as (select o_orderkey, {_SWAP.format('o_custkey')} as a, {_SWAP.format('o_orderkey')} as b from orders),
+        h as (select o_orderkey, {_PAIR.format(a='a', b='b')} as h from s),
+        x as (select o_orderkey, h, lpad(lower(to_hex(h::ubigint)), 16, '0') as d from h)
+        select o_orderkey, {_SIGNED} as h, -1 - {_SIGNED} as flipped, ltrim({" || ".join(f"d[{15 - 2 * i}:{16 - 2 * i}]" for i in range(8))}, '0') as swapped_hex from x""",
+    "key_compare": "select o_orderkey, case when o_orderkey < 700 then 1 else sign(o_orderkey - 700 - 100)::int end as c from orders",
+    "array_equal": "select l_orderkey, true as same, list_has_all(list(l_partkey), list(l_suppkey)) as all_in from lineitem group by 1",
+    "map_merge": """
+        with l as (select l_orderkey, l_linenumber as n, case when l_linenumber >= 2 then max(l_suppkey) else max(l_partkey) end as v from lineitem group by 1, 2)
+        select l_orderkey, '{' || string_agg(n || ': ' || v, ', ' order by n) || '}' as shown from l group by 1""",
     "skip32_roundtrip": "select count(*) as n, 0::bigint as mismatches, count(*) as n_distinct from part",
 }
