@@ -28,6 +28,10 @@ MAX_LANGS = 512
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in _LETTER.finditer(text))
+
+
 def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all n-grams of the words, and the number of the word each belongs to."""
     words = [w.lower() for w in words]
@@ -112,7 +116,7 @@ def predict(docs: DataFrame, model, text_col: str = "text", out: str = "lang_id"
                 best = total.argmax(axis=1)
                 share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
                 for i in range(b - a):
-                    if _LETTER.search(texts[a + i]):
+                    if has_letter(texts[a + i]):
                         names[a + i], scores[a + i] = langs[best[i]], share[i]
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
