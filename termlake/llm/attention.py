@@ -1,8 +1,8 @@
 """A small causal self-attention model over token classes, trained and run in numpy.
 
 One head reads a window of `WINDOW` tokens; its output, added to the token's own vector, corrects the logits of a fixed
-bigram table. A class is a frequent token or a band of rarer ones with like counts; a band's token is drawn by its
-share of the band's corpus count.
+bigram table. A class is a frequent token or a band of rarer ones with like counts; which token of a band it is depends on
+the class before, by corpus counts.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-WINDOW, FRESH, DIM = 32, 24, 24
-SINGLES, BANDS = 224, 32
+WINDOW, FRESH, DIM = 16, 12, 16
+SINGLES, BANDS = 168, 24
 CLASSES = SINGLES + BANDS
 #: Class of the place before a text.
 START = CLASSES
@@ -33,27 +33,39 @@ def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    kind: np.ndarray
-    share: np.ndarray
-    bigram: np.ndarray
+    kind: np.ndarray  # class of each id
+    share: np.ndarray  # log of each id's share of its class
+    bigram: np.ndarray  # log-probability of a class behind a class
+    place: np.ndarray  # of each id in the columns of `after`
+    after: np.ndarray  # log-probability of an id in its class behind a class
+    left: np.ndarray  # log of what is left behind a class for the ids of a class that have no column
     weights: dict[str, np.ndarray]
 
 
-_MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+_SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+#: Queries and keys are held to this length, so the exponentials need no shift.
+LONGEST = np.float32(7.0)
+
+
+def _held(x: np.ndarray) -> np.ndarray:
+    norm = np.sqrt(np.einsum("...i,...i->...", x, x))
+    if (norm > LONGEST).any():
+        x *= np.minimum(1, LONGEST / np.maximum(norm, LONGEST))[..., None]
+    return x
 
 
 def _attend(w: dict[str, np.ndarray], x: np.ndarray):
     """Vectors after attention for class windows x (n, WINDOW), and what the backward pass needs."""
-    v = w["embed"][x] + w["place"]
-    q, k, val = v @ w["q"], v @ w["k"], v @ w["v"]
+    v = (w["embed"][x] + w["place"]).reshape(-1, DIM)
+    shape = (len(x), WINDOW, DIM)
+    q, k, val = (_held(v @ w["q"]).reshape(shape), _held(v @ w["k"]).reshape(shape), (v @ w["v"]).reshape(shape))
     s = q @ k.transpose(0, 2, 1)
-    s *= np.float32(1 / np.sqrt(DIM))
-    s += _MASK
-    s -= s.max(axis=2, keepdims=True)
     np.exp(s, out=s)
-    s /= s.sum(axis=2, keepdims=True)
-    o = s @ val
-    return v + o @ w["o"], (v, q, k, val, s, o)
+    s *= _SEEN
+    total = s.sum(axis=2, keepdims=True)
+    o = (s @ val) / total
+    h = v + o.reshape(-1, DIM) @ w["o"]
+    return h.reshape(shape), (v.reshape(shape), q, k, val, s, total, o)
 
 
 def initial(seed: int = 3) -> dict[str, np.ndarray]:
@@ -62,7 +74,7 @@ def initial(seed: int = 3) -> dict[str, np.ndarray]:
     def normal(*shape, scale):
         return draw.normal(0, scale, shape).astype(np.float32)
 
-    return {"embed": normal(CLASSES + 1, DIM, scale=0.3), "place": normal(WINDOW, DIM, scale=0.1), **{k: normal(DIM, DIM, scale=DIM**-0.5) for k in "qkvo"}, "out": normal(DIM, CLASSES, scale=0.02)}
+    return {"embed": normal(CLASSES + 1, DIM, scale=0.3), "place": normal(WINDOW, DIM, scale=0.1), **{k: normal(DIM, DIM, scale=0.5 * DIM**-0.5) for k in "qkvo"}, "out": normal(DIM, CLASSES, scale=0.02)}
 
 
 def train(windows: np.ndarray, bigram: np.ndarray, epochs: int = 3, batch: int = 64, rate: float = 4e-3, seed: int = 3) -> dict[str, np.ndarray]:
@@ -77,7 +89,8 @@ def train(windows: np.ndarray, bigram: np.ndarray, epochs: int = 3, batch: int =
             own = windows[order[a : a + batch]]
             x, y = np.maximum(own[:, :-1], 0), own[:, 1:]
             real = y.ravel() >= 0
-            h, (v, q, k, val, att, o) = _attend(w, x)
+            h, (v, q, k, val, att, sums, o) = _attend(w, x)
+            att = att / sums
             logits = h.reshape(-1, DIM) @ w["out"] + bigram[x.ravel()]
             logits -= logits.max(axis=1, keepdims=True)
             p = np.exp(logits)
@@ -91,7 +104,7 @@ def train(windows: np.ndarray, bigram: np.ndarray, epochs: int = 3, batch: int =
             do = dh @ w["o"].T
             datt = do @ val.transpose(0, 2, 1)
             dval = att.transpose(0, 2, 1) @ do
-            ds = att * (datt - (datt * att).sum(axis=2, keepdims=True)) * np.float32(1 / np.sqrt(DIM))
+            ds = att * (datt - (datt * att).sum(axis=2, keepdims=True))
             dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
             g["q"], g["k"], g["v"] = (flat(v).T @ flat(z) for z in (dq, dk, dval))
             dv = dh + dq @ w["q"].T + dk @ w["k"].T + dval @ w["v"].T
@@ -106,39 +119,57 @@ def train(windows: np.ndarray, bigram: np.ndarray, epochs: int = 3, batch: int =
     return w
 
 
-def log_probability(model: Model, texts: list[np.ndarray], most: int = 1024) -> np.ndarray:
-    """Natural log-probability of each token id of each sequence, one sequence after the other.
+def _tables(model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """With one layer, what a token puts in depends on its class and place alone: (query, key and value through the output
+    matrix; logits without attention) for each class and place."""
+    w = model.weights
+    v = (w["embed"][:, None] + w["place"]).reshape(-1, DIM)
+    # a column of ones behind the values sums up the weights in the same product
+    parts = np.concatenate([_held(v @ w["q"]), _held(v @ w["k"]), v @ w["v"] @ w["o"], np.ones((len(v), 1), np.float32)], axis=1)
+    return parts, v @ w["out"] + np.repeat(model.bigram, WINDOW, axis=0)
+
+
+def log_probability(model: Model, ids: np.ndarray, sizes: np.ndarray, most: int = 160) -> np.ndarray:
+    """Natural log-probability of each token id of sequences of the given sizes, one after the other.
 
     The first window of a sequence scores all its tokens, each later one only its last FRESH: every token is scored
     once, and but for a sequence's beginning after at least WINDOW - FRESH + 1 others.
     """
-    sizes = np.array([len(t) for t in texts], np.int64)
-    if not sizes.sum():
+    if not len(ids):
         return np.zeros(0)
-    ids = np.concatenate(texts)
+    if "tables" not in model.__dict__:
+        model.tables = _tables(model)
+    parts, plain = model.tables
     kind = model.kind[ids]
-    out = model.share[ids]
     # inputs: the start class, then the tokens but for the last
     begin = np.cumsum(sizes) - sizes
     before = np.concatenate(([START], kind[:-1])).astype(np.int32)
     before[begin[sizes > 0]] = START
+    place = model.place[ids]
+    out = np.where(place >= 0, model.after[before, place], model.share[ids] + model.left[before, kind])
     windows = np.where(sizes > 0, 1 + np.maximum(0, -(-(sizes - WINDOW) // FRESH)), 0)
     first = np.cumsum(windows) - windows
-    owner = np.repeat(np.arange(len(texts)), windows)
+    owner = np.repeat(np.arange(len(sizes)), windows)
     no = np.arange(int(windows.sum())) - first[owner]
     at = begin[owner] + no * FRESH
     end = (begin + sizes)[owner]
     old = np.where(no > 0, WINDOW - FRESH, 0)
     steps = np.arange(WINDOW)
     last = len(before) - 1
+    out_weights, ones = model.weights["out"], np.ones(CLASSES, np.float32)
     for a in range(0, len(at), most):
         spots = at[a : a + most, None] + steps
         scored = (spots < end[a : a + most, None]) & (steps >= old[a : a + most, None])
-        h, _ = _attend(model.weights, before[np.minimum(spots, last)])
+        table = before[np.minimum(spots, last)] * WINDOW + steps
+        own = parts[table]
+        s = own[..., :DIM] @ own[..., DIM : 2 * DIM].transpose(0, 2, 1)
+        np.exp(s, out=s)
+        s *= _SEEN
+        o = (s @ own[..., 2 * DIM :])[scored]
         picked = spots[scored]
-        logits = h[scored] @ model.weights["out"]
-        logits += model.bigram[before[picked]]
+        logits = (o[:, :DIM] / o[:, DIM:]) @ out_weights
+        logits += plain[table[scored]]
         target = logits[np.arange(len(picked)), kind[picked]]
         np.exp(logits, out=logits)
-        out[picked] += target - np.log(logits.sum(axis=1))
+        out[picked] += target - np.log(logits @ ones)
     return out

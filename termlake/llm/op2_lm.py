@@ -26,15 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .attention import CLASSES, START, WINDOW, Model, classes_of, initial, log_probability, train
-from .common import WordTable, chunks, cut, held_out, lower_ascii, split_words, sum_by, words_of
-from .tokens import Encoder, default_tokenizer
+from .common import chunks, cut, held_out, lower_ascii, small_batches, split_words
+from .tokens import LONGEST_WORD, Encoder, default_tokenizer
 
 HEAD = 200_000
-FIT_DOCS, FIT_WINDOWS = 1500, 24
+FIT_DOCS, FIT_WINDOWS = 1500, 48
 IDS = 50_258  # of the tokenizer, and one behind them for the end of a text
 END = IDS - 1
+#: Weight of an id's share of its class among the counts behind one class.
+BACKOFF = 20.0
 #: Weight of the source of whole words; of those, shares of a space and of a line end before them.
 WHOLE, AFTER_SPACE, AFTER_LINE = 0.4, 0.94, 0.06
+ODD_LATIN = "\x00\x1c\x1d\x1e\x1f\x85\xa0"
+ODD = ODD_LATIN + "\t\r\x0b\x0c"
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -62,48 +66,94 @@ def word_counts(train_docs: DataFrame, text_col: str = "text") -> DataFrame:
     return train_docs.select(text_col).mapInArrow(counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def subword_counts(counts: DataFrame, tokenizer_path: str) -> np.ndarray:
-    """Occurrences of each id in the words of the corpus, each with a space before it."""
+def encode_words(encode: Encoder, words: list[str], before: str, id_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words one after the other, how many each has), each word with the character `before` in front.
 
-    def counted(batches):
-        encode, total = Encoder(tokenizer_path), np.zeros(IDS)
-        for batch in batches:
-            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                np.add.at(total, np.frombuffer(encode(" " + w), "<u4"), n)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], ["id", "n"])
+    Encoders of this kind begin anew where white space follows other characters, so many words are encoded at once.
+    """
+    if not words:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    ids = [np.frombuffer(encode(before + before.join(words[a : a + 5000])), "<u4") for a in range(0, len(words), 5000)]
+    flat = np.concatenate(ids)
+    ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in words), np.int64, len(words)))
+    return flat, np.bincount(np.searchsorted(ends, np.cumsum(id_bytes[flat])), minlength=len(words))
+
+
+def plain(word: str, longest: int | None = LONGEST_WORD) -> bool:
+    """Whether a word can be encoded among others: Latin-1 without odd white space, not too long, no special token."""
+    try:
+        word.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return (longest is None or len(word) <= longest) and "<|" not in word and not any(c in word for c in ODD_LATIN)
 
-    got = counts.mapInArrow(counted, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(IDS)
-    out[got["id"].to_numpy()] = got["n"].to_numpy()
-    return out
 
+def _encoded(encode: Encoder, id_bytes: np.ndarray, words: list[str], n: np.ndarray):
+    """Ids of words, each with a space before it; number of ids of each word; n in the same order."""
+    if all(words) and max(map(len, words), default=0) <= LONGEST_WORD and plain("-".join(words), None):
+        flat, sizes = encode_words(encode, words, " ", id_bytes)
+        return flat, sizes, n
+    good = np.fromiter(map(plain, words), bool, len(words))
+    flat, sizes = encode_words(encode, [w for w, g in zip(words, good.tolist(), strict=True) if g], " ", id_bytes)
+    others = [np.frombuffer(encode(" " + w), "<u4") for w, g in zip(words, good.tolist(), strict=True) if not g]
+    return np.concatenate([flat, *others]), np.concatenate([sizes, [len(x) for x in others]]).astype(np.int64), np.concatenate([n[good], n[~good]])
 
-def class_bigrams(counts: DataFrame, kind: np.ndarray, tokenizer_path: str) -> np.ndarray:
-    """Occurrences of each pair of neighbouring classes within the words of the corpus."""
-    shared = counts.sparkSession.sparkContext.broadcast(kind)
+
+def subword_pairs(counts: DataFrame, tokenizer_path: str) -> DataFrame:
+    """(a, b, n): how often id b follows id a within the words of the corpus, each with a space before it; a = -1 counts b alone."""
 
     def counted(batches):
-        encode, kind = Encoder(tokenizer_path), shared.value
-        total = np.zeros((CLASSES + 1) * CLASSES)
+        encode = Encoder(tokenizer_path)
+        id_bytes = np.append(encode.id_bytes(END), 1)
+        keys: list[np.ndarray] = []
+        times: list[np.ndarray] = []
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            kinds, back = np.unique(np.concatenate(keys), return_inverse=True)
+            return kinds, np.bincount(back, np.concatenate(times), len(kinds))
+
+        def out(kinds: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(kinds // IDS - 1), pa.array(kinds % IDS), pa.array(n.astype(np.int64))], ["a", "b", "n"])
+
         for batch in batches:
-            words = [np.frombuffer(encode(" " + w), "<u4") for w in batch.column(0).to_pylist()]
-            if not words:
+            if not len(batch):
                 continue
-            c = kind[np.concatenate(words)]
-            ends = np.cumsum([len(w) for w in words])
-            n = np.repeat(batch.column(1).to_numpy(), [len(w) for w in words])
-            inside = np.ones(len(c), bool)
+            ids, sizes, n = _encoded(encode, id_bytes, batch.column(0).to_pylist(), batch.column(1).to_numpy())
+            ids, ends, n = ids.astype(np.int64), np.cumsum(sizes), np.repeat(n, sizes).astype(float)
+            inside = np.ones(len(ids), bool)
             inside[ends - 1] = False
             at = np.flatnonzero(inside)
-            total += np.bincount(c[at] * CLASSES + c[at + 1], n[at], len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], ["pair", "n"])
+            keys += [ids, (ids[at] + 1) * IDS + ids[at + 1]]
+            times += [n, n[at]]
+            if sum(map(len, keys)) > 3_000_000:
+                kinds, n = summed()
+                if len(kinds) > 1_000_000:
+                    yield out(kinds, n)
+                    keys, times = [], []
+                else:
+                    keys, times = [kinds], [n]
+        if keys:
+            yield out(*summed())
+
+    return counts.mapInArrow(counted, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def subword_counts(pairs: DataFrame) -> np.ndarray:
+    """Occurrences of each id."""
+    got = pairs.where("a = -1").select("b", "n").toArrow()
+    out = np.zeros(IDS)
+    out[got["b"].to_numpy()] = got["n"].to_numpy()
+    return out
 
-    got = counts.mapInArrow(counted, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros((CLASSES + 1) * CLASSES)
-    out[got["pair"].to_numpy()] = got["n"].to_numpy()
-    return out.reshape(CLASSES + 1, CLASSES)
+
+def class_pairs(pairs: DataFrame, kind: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """(CLASSES + 1, used ids): how often an id follows a class within the words of the corpus."""
+    out = np.zeros((CLASSES + 1, int(place.max(initial=-1)) + 1))
+    classes = pairs.sparkSession.createDataFrame([(i, int(k)) for i, k in enumerate(kind)], "a bigint, kind int")
+    # a row for each id of the tokenizer
+    got = pairs.where("a >= 0").join(F.broadcast(classes), "a").groupBy("kind", "b").agg(F.sum("n").alias("n")).toArrow()
+    out[got["kind"].to_numpy(), place[got["b"].to_numpy()]] = got["n"].to_numpy()
+    return out
 
 
 def _ids(encode: Encoder, text: str) -> np.ndarray:
@@ -135,23 +185,36 @@ def fit_windows(train_docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
 
 def fit(counts: DataFrame, train_docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> Model:
     windows = fit_windows(train_docs, tokenizer_path, id_col, text_col)
-    total = subword_counts(counts, tokenizer_path)
+    pairs_of_ids = cut(subword_pairs(counts, tokenizer_path))
+    total = subword_counts(pairs_of_ids)
     # what words do not hold (line ends, text ends) is counted in the windows, scaled to the corpus
     seen = np.bincount(windows[:, 1:][windows[:, 1:] >= 0], minlength=IDS).astype(float)
     scale = total.sum() / max(1.0, seen.sum())
     total = np.maximum(total, seen * max(1.0, scale) * (total == 0))
     kind, share = classes_of(total)
-    within = class_bigrams(counts, kind, tokenizer_path)
-    classes = np.where(windows >= 0, kind[np.maximum(windows, 0)], np.where(windows == -2, START, -1)).astype(np.int32)
-    x, y = classes[:, :-1].ravel(), classes[:, 1:].ravel()
-    near = np.bincount((x * CLASSES + y)[(x >= 0) & (y >= 0)], minlength=(CLASSES + 1) * CLASSES).reshape(CLASSES + 1, CLASSES)
+    used = np.flatnonzero(total > 0)
+    place = np.full(IDS, -1, np.int32)
+    place[used] = np.arange(len(used))
+    within = class_pairs(pairs_of_ids, kind, place)
+    near = np.zeros_like(within)
+    if len(used):
+        inside = (windows[:, :-1] != -1) & (windows[:, 1:] >= 0)
+        x, y = windows[:, :-1][inside], windows[:, 1:][inside]
+        np.add.at(near, (np.where(x >= 0, kind[np.maximum(x, 0)], START), place[y]), 1)
     # the windows say how often a class goes on within a word; there the corpus's counts say how
-    within_share = within / np.maximum(1, within.sum(axis=1, keepdims=True))
-    mixed = near + within_share * np.maximum(near.sum(axis=1, keepdims=True), 1) * (within_share > 0)
-    prior = near.sum(axis=0) + 0.5
-    rows = mixed + 2 * prior / prior.sum()
-    bigram = np.log(rows / rows.sum(axis=1, keepdims=True)).astype(np.float32)
-    return Model(kind, share, bigram, train(classes, bigram) if len(classes) else initial())
+    pairs = near * (within == 0) + within * ((near * (within > 0)).sum(axis=1, keepdims=True) + 1) / np.maximum(1, within.sum(axis=1, keepdims=True))
+    rows = np.stack([np.bincount(kind[used], r, CLASSES) for r in pairs]) if len(used) else np.zeros((CLASSES + 1, CLASSES))
+    prior = rows.sum(axis=0) + 0.5
+    bigram = rows + 2 * prior / prior.sum()
+    bigram = np.log(bigram / bigram.sum(axis=1, keepdims=True)).astype(np.float32)
+    # which id of its class: the corpus's counts behind the class before, leaning on its share
+    counted = within + near * max(1.0, scale) * (within == 0)
+    by_class = np.stack([np.bincount(kind[used], r, CLASSES) for r in counted]) if len(used) else rows
+    after = np.log((counted + BACKOFF * np.exp(share[used])) / (by_class[:, kind[used]] + BACKOFF)).astype(np.float32) if len(used) else np.zeros((CLASSES + 1, 1), np.float32)
+    classes = np.where(windows >= 0, kind[np.maximum(windows, 0)], np.where(windows == -2, START, -1)).astype(np.int32)
+    weights = train(classes, bigram) if len(classes) else initial()
+    left = np.log(BACKOFF / (by_class + BACKOFF)).astype(np.float32)
+    return Model(kind, share, bigram, place, after, left, weights)
 
 
 def word_spans(raw: list[bytes], ids: list[np.ndarray], id_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,6 +245,122 @@ def word_spans(raw: list[bytes], ids: list[np.ndarray], id_bytes: np.ndarray) ->
     return np.searchsorted(ends, np.concatenate(token_end)), white
 
 
+class Units(dict):
+    """Texts as units (words, then the text's end), with their ids and counts; each distinct unit of a task is looked at once.
+
+    Texts with single spaces and line ends between words go by a table of units, a unit being a word and the character before
+    it; others are encoded as a whole and parted by word_spans().
+    """
+
+    def __init__(self, encode: Encoder, id_bytes: np.ndarray, known: dict[str, int], base: tuple | None = None, limit: int = 200_000):
+        super().__init__()
+        self.encode, self.id_bytes, self.known, self.limit = encode, id_bytes, known, limit + (len(base[0]) if base else 0)
+        nothing = np.zeros(0, np.int64)
+        self.base = base or ([], [nothing, nothing, np.zeros(0), np.zeros(0)], np.zeros(0, np.uint32))
+        self._reset()
+
+    def _reset(self) -> None:
+        """Back to the units that were given: words after a space, columns (start, size, white, count) and ids."""
+        self.clear()
+        self.fresh: list[str] = []
+        units, self.columns, self.flat = self.base
+        self.update(zip(units, range(len(units)), strict=True))
+
+    def learned(self, words: list[str]) -> tuple:
+        """What another table can be begun with."""
+        self.index(words)
+        return words, self.columns, self.flat
+
+    def index(self, units: list[str]) -> np.ndarray:
+        at = np.fromiter(map(self.__getitem__, units), np.int64, len(units))
+        if self.fresh:
+            self._learn()
+        return at
+
+    def __missing__(self, unit: str) -> int:
+        i = self[unit] = len(self)
+        self.fresh.append(unit)
+        return i
+
+    def _learn(self) -> None:
+        fresh, self.fresh = self.fresh, []
+        sizes, parts, at = np.zeros(len(fresh), np.int64), [], []
+        white = np.zeros(len(fresh))
+        mark = np.fromiter((" \n\0".find(u[:1]) for u in fresh), np.int64, len(fresh))  # -1: a word after a space
+        mark[mark == 0] = -1
+        spaced, lined = np.flatnonzero(mark < 0).tolist(), np.flatnonzero(mark == 1).tolist()
+        for own, before, texts in ((spaced, " ", [fresh[i] for i in spaced]), (lined, "\n", [fresh[i][1:] for i in lined])):
+            ids, n = encode_words(self.encode, texts, before, self.id_bytes)
+            parts.append(ids)
+            at += own
+            sizes[own], white[own] = n, np.log10(AFTER_SPACE if before == " " else AFTER_LINE)
+        for i in np.flatnonzero(mark == 2).tolist():
+            parts.append(np.frombuffer(self.encode(fresh[i][1:]), "<u4"))
+            at.append(i)
+            sizes[i] = len(parts[-1])
+        # parts follow `at`; starts are put back in the order of `fresh`
+        starts = np.zeros(len(fresh), np.int64)
+        starts[at] = len(self.flat) + np.cumsum(sizes[at]) - sizes[at]
+        counts = np.fromiter((self.known.get(u if m < 0 else u[1:], np.nan) for u, m in zip(fresh, mark.tolist(), strict=True)), np.float64, len(fresh))
+        self.flat = np.concatenate([self.flat, *parts])
+        self.columns = [np.concatenate(x) for x in zip(self.columns, (starts, sizes, white, np.log10(counts + 1)), strict=True)]
+
+    def _simple(self, text: str) -> list[str] | None:
+        """Units of a text that has only single spaces and line ends between plain words, else None."""
+        if not text or any(c in text for c in ODD) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or "<|" in text:
+            return None
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        units = text.replace("\n", " \n").split(" ")
+        if max(map(len, units)) > LONGEST_WORD:
+            return None
+        units[0] = "\0" + units[0]
+        return units
+
+    def __call__(self, texts: list[str]):
+        """units as text (a line end or NUL may stand before the word), words of each text, ids, ids of each text, unit of each id, white space before each unit and
+        log10 of each unit's count + 1 (nan where it is not among the known, and for ends)."""
+        if len(self) > self.limit:
+            self._reset()
+        keys: list[str] = []
+        n_words, slow = np.zeros(len(texts), np.int64), {}
+        for i, t in enumerate(texts):
+            units = self._simple(t)
+            if units is None:
+                words = split_words(t)
+                slow[i] = (len(keys), words)
+                n_words[i] = len(words)
+                keys += ["\0"] * (len(words) + 1)  # filled in below
+            else:
+                n_words[i] = len(units)
+                keys += units
+                keys.append("\0")
+        at = self.index(keys)
+        starts, sizes, white, counts = (c[at] for c in self.columns)
+        ends = np.cumsum(n_words + 1) - 1
+        counts[ends] = np.nan
+        # ids of each unit: a stretch of the flat table, of a slow text's own ids, or an end
+        flat, extra = [self.flat, np.array([END], np.uint32)], len(self.flat) + 1
+        starts[ends], sizes[ends] = len(self.flat), 1
+        for i, (first, own) in slow.items():
+            raw = [texts[i].encode("utf-8", "surrogatepass")]
+            ids = _ids(self.encode, texts[i])
+            unit, gaps = word_spans(raw, [ids], self.id_bytes)
+            n = np.bincount(unit, minlength=len(own) + 1)
+            spot = slice(first, first + len(own) + 1)
+            sizes[spot], starts[spot], white[spot] = n, extra + np.cumsum(n) - n, gaps
+            keys[spot] = [*own, ""]
+            counts[first : first + len(own)] = [np.log10(self.known[w] + 1) if w in self.known else np.nan for w in own]
+            flat.append(ids)
+            extra += len(ids)
+        unit = np.repeat(np.arange(len(keys)), sizes)
+        spots = np.arange(len(unit)) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+        ids = np.concatenate(flat)[spots]
+        return keys, n_words, ids, np.add.reduceat(sizes, np.concatenate(([0], ends[:-1] + 1))) if len(texts) else sizes, unit, white, counts
+
+
 def _mixed(by_subwords, by_whole):
     """log10 of the sum of two probabilities given as log10."""
     high, low = np.maximum(by_subwords, by_whole), np.minimum(by_subwords, by_whole)
@@ -190,52 +369,43 @@ def _mixed(by_subwords, by_whole):
 
 def score(docs: DataFrame, train_docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), head: int = HEAD) -> DataFrame:
     """id, `keep`, n_tokens, n_known, train_tokens, base_score, score, n_subwords of each row of docs."""
+    small_batches(docs)
     spark, path = docs.sparkSession, tokenizer_path or default_tokenizer()
     counts = cut(word_counts(train_docs, text_col))
     ends = train_docs.count()
     words, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n, v = words + ends, kinds + (ends > 0)
     top = counts.orderBy(F.desc("n"), "word").limit(head).toArrow()
-    shared = spark.sparkContext.broadcast((dict(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True)), fit(counts, train_docs, path, id_col, text_col)))
+    known = dict(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True))
+    encode = Encoder(path)
+    base = Units(encode, np.append(encode.id_bytes(END), 1), known, limit=head).learned([w for w in known if plain(w)])
+    shared = spark.sparkContext.broadcast((known, base, fit(counts, train_docs, path, id_col, text_col)))
     per_token, end_log = float(np.log10(n + v + 1)), float(np.log10(ends + 1))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, model = shared.value
+        known, base, model = shared.value
         encode = Encoder(path)
-        id_bytes = np.append(encode.id_bytes(IDS - 1), 1)
-
-        def describe(words: list[str]) -> np.ndarray:
-            c = np.fromiter((known.get(w, -1) for w in words), np.float64, len(words))
-            return np.stack([np.log10(np.maximum(c, 0) + 1), (c >= 0).astype(float)], 1)
-
-        table = WordTable(describe)
+        id_bytes = np.append(encode.id_bytes(END), 1)
+        units = Units(encode, id_bytes, known, base)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in chunks(texts):
                 own = [lower_ascii(t) for t in texts[a:b]]
-                words, starts = words_of(own, split_words)
-                n_words = np.diff(starts)
-                rows = table.take(words) if words else np.zeros((0, 2))
-                sums = sum_by(rows, starts) if words else np.zeros((b - a, 2))
-                raw = [t.encode("utf-8", "surrogatepass") for t in own]
-                ids = [_ids(encode, t) for t in own]
-                unit, white = word_spans(raw, ids, id_bytes)
-                by_subwords = np.bincount(unit, log_probability(model, ids), len(white)) / np.log(10) + np.log10(1 - WHOLE)
-                # units are each text's words, then its end
+                keys, n_words, ids, sizes, unit, white, counts = units(own)
                 is_end = np.zeros(len(white), bool)
                 is_end[np.cumsum(n_words + 1) - 1] = True
-                count_log = np.empty(len(white))
-                count_log[is_end], count_log[~is_end] = end_log, rows[:, 0]
+                doc = np.repeat(np.arange(b - a), n_words + 1)
+                by_subwords = np.bincount(unit, log_probability(model, ids, sizes), len(white)) / np.log(10) + np.log10(1 - WHOLE)
+                count_log = np.where(is_end, end_log, counts)
+                rare = ~is_end & np.isnan(counts)
                 by_whole = np.log10(WHOLE) + white - per_token
-                mixed = _mixed(by_subwords, by_whole + count_log)
-                rare = np.flatnonzero(rows[:, 1] == 0)
-                rare_unit = np.flatnonzero(~is_end)[rare]
-                mixed[rare_unit] = 0
-                lm = np.bincount(np.repeat(np.arange(b - a), n_words + 1), mixed, b - a)
-                tail = pa.StructArray.from_arrays([pa.array([words[i] for i in rare.tolist()], pa.string()), pa.array(by_subwords[rare_unit]), pa.array(np.maximum(by_whole[rare_unit], -1e9))], ["word", "sub", "whole"])
-                tails = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, starts), pa.int32()), tail)
+                mixed = np.where(rare, 0, _mixed(by_subwords, by_whole + np.where(rare, 0, count_log)))
+                in_head = ~is_end & ~rare
+                head_log = np.bincount(doc, np.where(in_head, counts, 0), b - a)
+                tail = pa.StructArray.from_arrays([pa.array([keys[i].lstrip("\n\0") for i in np.flatnonzero(rare).tolist()], pa.string()), pa.array(by_subwords[rare]), pa.array(np.maximum(by_whole[rare], -1e9))], ["word", "sub", "whole"])
+                tails = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(doc, rare, b - a)))), pa.int32()), tail)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), *[batch.column(i).slice(a, b - a) for i in range(2, batch.num_columns)], pa.array(n_words + 1), pa.array(sums[:, 0]), pa.array(sums[:, 1].astype(np.int64)), pa.array(lm), pa.array([len(x) for x in ids], pa.int64()), tails],
+                    [batch.column(0).slice(a, b - a), *[batch.column(i).slice(a, b - a) for i in range(2, batch.num_columns)], pa.array(n_words + 1), pa.array(head_log), pa.array(np.bincount(doc, in_head, b - a).astype(np.int64)), pa.array(np.bincount(doc, mixed, b - a)), pa.array(sizes), tails],
                     ["id", *keep, "n_tokens", "head_log", "head_known", "head_score", "n_subwords", "tail"],
                 )
 
