@@ -13,22 +13,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut as cut  # noqa: PLC0414  operators take it from here
+
 #: Characters of text that a Python worker holds as words at a time.
 CHUNK_CHARS = 1_500_000
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's checkpoint folder and read it from there; lost executors then lose nothing.
-
-    The folder is the one in spark.checkpoint.dir. Only where that is unset (tests) a folder of the warehouse
-    is taken, which all executors share as well.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return df.checkpoint()
+#: Bound of what a classifier's sample brings to the driver, at eight bytes each.
+MOST_FEATURES = 30_000_000
 
 
 def small_batches(df: DataFrame, most: int = 16 << 20) -> None:
@@ -192,7 +182,8 @@ def sample_features(docs: DataFrame, sample: DataFrame, features, text_col: str
     """The sample's documents as sparse rows: list of (label, buckets int32, counts float32), on the driver.
 
     `features(texts)` gives for each text its buckets and counts; it runs on the executors. The sample is
-    bounded, so it is broadcast, and the documents are not shuffled.
+    bounded, so it is broadcast, and the documents are not shuffled. Rows come in the order of a hash, at most `most`
+    of them, and no more than hold MOST_FEATURES features together.
     """
 
     def rows(batches):
@@ -208,5 +199,15 @@ def sample_features(docs: DataFrame, sample: DataFrame, features, text_col: str
                 )
 
     joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id").select("_label", "_text", "_id")
-    got = joined.mapInArrow(rows, f"_label int, _id {docs.schema[id_col].dataType.simpleString()}, at binary, n binary").orderBy(F.xxhash64("_id"), "_id", "at").limit(most).collect()
+    id_type = docs.schema[id_col].dataType.simpleString()
+    found = joined.mapInArrow(rows, f"_label int, _id {id_type}, at binary, n binary")
+    found = cut(found.withColumn("_h", F.xxhash64("_id", "at", "n")))
+    sizes = found.select("_h", F.octet_length("at").alias("s")).orderBy("_h").limit(most).collect()
+    total, last = 0, None
+    for r in sizes:
+        total += r["s"] // 4
+        if total > MOST_FEATURES and last is not None:
+            break
+        last = r["_h"]
+    got = found.where(F.col("_h") <= last).orderBy("_h").limit(most).collect() if last is not None else []
     return [(r["_label"], np.frombuffer(r["at"], "<i4"), np.frombuffer(r["n"], "<f4")) for r in got]
