@@ -37,14 +37,14 @@ BLOCK = 1024
 SIG = [f"s{i}" for i in range(WORDS)]
 
 
-def _text_key() -> Column:
+def _text_key(text: Column) -> Column:
     """160 bits that stand for a text when it is fetched again."""
-    return F.concat_ws("-", F.xxhash64("_text").cast("string"), F.xxhash64(F.lit(1), "_text").cast("string"), F.crc32("_text").cast("string"))
+    return F.concat_ws("-", F.xxhash64(text).cast("string"), F.xxhash64(F.lit(1), text).cast("string"), F.crc32(text).cast("string"))
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, id, tkey, n_shingles, digest, bands and packed words of each document."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("tkey", _text_key())
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("tkey", _text_key(F.col("_text")))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +84,7 @@ def _estimate(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
 def fetch_texts(wanted: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(node, _text) of the nodes in wanted (node, tkey)."""
-    found = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_tkey", _text_key())
+    found = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_tkey", _text_key(F.col("_text")))
     keys = wanted.select(F.col("tkey").alias("_tkey")).distinct()
     # equal texts are taken together before the shuffle, so a hot text moves once for each task
     texts = found.join(keys, "_tkey", "left_semi").groupBy("_tkey").agg(F.first("_text").alias("_text"))
@@ -238,13 +238,15 @@ def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     rows, _ = near_groups(docs, percent)
     rows = cut(rows.select("row", "id", "tkey", "comp"))
     best = rows.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "tkey", "row")).alias("best"))
-    keep = best.groupBy("best.id", "best.tkey").agg(F.count("*").alias("_n")).select(F.col("id").alias("_id"), F.col("tkey").alias("_k"))
-    often = rows.groupBy("id", "tkey").agg(F.count("*").alias("_c")).where("_c > 1").select(F.col("id").alias("_oid"), F.col("tkey").alias("_ok"))
-    keep = cut(keep.join(often, F.col("_id").eqNullSafe(F.col("_oid")) & (F.col("_k") == F.col("_ok")), "left").select("_id", "_k", F.col("_ok").isNotNull().alias("_often")))
-    keyed = docs.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_tkey", _text_key()).drop("_text")
-    joined = keyed.join(keep, (F.col("_tkey") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    once = joined.where("not _often").select(*docs.columns)
-    again = joined.where("_often").groupBy("_tkey", "doc_id").agg(F.first(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    keep = best.select(F.col("best.id").alias("__tl_id"), F.col("best.tkey").alias("__tl_kkey")).distinct()
+    often = rows.groupBy("id", "tkey").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("__tl_oid"), F.col("tkey").alias("__tl_okey"))
+    keep = keep.join(often, F.col("__tl_id").eqNullSafe(F.col("__tl_oid")) & (F.col("__tl_kkey") == F.col("__tl_okey")), "left")
+    keep = cut(keep.select("__tl_id", "__tl_kkey", F.col("__tl_okey").isNotNull().alias("__tl_often")))
+    keyed = docs.withColumn("__tl_key", _text_key(F.coalesce(F.col("text"), F.lit(""))))
+    joined = keyed.join(keep, (F.col("__tl_key") == F.col("__tl_kkey")) & F.col("doc_id").eqNullSafe(F.col("__tl_id")))
+    once = joined.where("not __tl_often").select(*docs.columns)
+    # rows alike in id and text: one of them, by an aggregate that combines before the shuffle
+    again = joined.where("__tl_often").groupBy("__tl_key", "doc_id").agg(F.first(F.struct(*docs.columns)).alias("__tl_row")).select("__tl_row.*")
     return once.unionByName(again)
 
 

@@ -126,5 +126,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents with a score of `threshold` or more, with their own columns."""
-    scored = score(docs, fit(docs, labels.where(~held_out("doc_id", 3, 1))), out="_quality_score")
-    return scored.where(F.col("_quality_score") >= threshold).select(*[scored[c] for c in docs.columns])
+    scored = score(docs, fit(docs, labels.where(~held_out("doc_id", 3, 1))), out="__tl_quality_score")
+    return scored.where(F.col("__tl_quality_score") >= threshold).select(*[scored[c] for c in docs.columns])

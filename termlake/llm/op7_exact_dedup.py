@@ -87,15 +87,15 @@ def restrict(docs: DataFrame, kept: DataFrame, seen: DataFrame) -> DataFrame:
     `seen` holds (id, digest) of all rows of docs. Rows alike in both are rare and gathered by a combining
     aggregate, so that even a row repeated very often does not meet in one task.
     """
-    often = seen.groupBy("id", "digest").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("id").alias("_oid"), F.col("digest").alias("_odigest"))
-    k = kept.select(F.col("id").alias("_id"), F.col("digest").alias("_kdigest")).distinct()
-    o = k.join(often, F.col("_id").eqNullSafe(F.col("_oid")) & (F.col("_kdigest") == F.col("_odigest")), "left")
-    k = o.select("_id", "_kdigest", F.col("_odigest").isNotNull().alias("_often"))
-    keyed = docs.withColumn("_digest", F.unhex(F.sha2(normalised(F.col("text")), 256)))
-    joined = keyed.join(k, (F.col("_digest") == F.col("_kdigest")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    once = joined.where("not _often").select(*docs.columns)
+    often = seen.groupBy("id", "digest").agg(F.count("*").alias("__tl_n")).where("__tl_n > 1").select(F.col("id").alias("__tl_oid"), F.col("digest").alias("__tl_odigest"))
+    k = kept.select(F.col("id").alias("__tl_id"), F.col("digest").alias("__tl_kdigest")).distinct()
+    o = k.join(often, F.col("__tl_id").eqNullSafe(F.col("__tl_oid")) & (F.col("__tl_kdigest") == F.col("__tl_odigest")), "left")
+    k = o.select("__tl_id", "__tl_kdigest", F.col("__tl_odigest").isNotNull().alias("__tl_often"))
+    keyed = docs.withColumn("__tl_digest", F.unhex(F.sha2(normalised(F.col("text")), 256)))
+    joined = keyed.join(k, (F.col("__tl_digest") == F.col("__tl_kdigest")) & F.col("doc_id").eqNullSafe(F.col("__tl_id")))
+    once = joined.where("not __tl_often").select(*docs.columns)
     row = F.struct(*[F.col(c) for c in docs.columns])
-    again = joined.where("_often").groupBy("_digest", "doc_id").agg(F.max_by(row, F.length(F.coalesce("text", F.lit("")))).alias("_row")).select("_row.*")
+    again = joined.where("__tl_often").groupBy("__tl_digest", "doc_id").agg(F.max_by(row, F.length(F.coalesce("text", F.lit("")))).alias("__tl_row")).select("__tl_row.*")
     return once.unionByName(again)
 
 

@@ -36,8 +36,8 @@ HARD = [
 
 @pytest.fixture(scope="module")
 def hard(spark):
-    rows = [(*r, 1.5, "clash") for r in HARD]
-    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, score double, row string").repartition(3)
+    rows = [(*r, 1.5, "clash", 7, "x", b"y", True) for r in HARD]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, score double, row string, _id int, _text string, _digest binary, _often boolean").repartition(3)
 
 
 @pytest.fixture(scope="module")
