@@ -61,24 +61,44 @@ MURMUR_ADD = 0xE6546B64
 MURMUR_F1, MURMUR_F2 = 0x85EBCA6B, 0xC2B2AE35
 
 
-def mix32(value: Column, seed: Column | int) -> Column:
-    """32-bit murmur3 of one 4-byte block with a seed, both given as numbers from 0 to 2**32 - 1."""
-    seed = F.lit(seed).cast("bigint") if isinstance(seed, int) else seed.cast("bigint")
-    block = multiply32(rotate32(multiply32(value.cast("bigint"), MURMUR_C1), 15), MURMUR_C2)
-    h = rotate32(seed.bitwiseXOR(block), 13)
-    h = (h * 5 + MURMUR_ADD).bitwiseAND(M32).bitwiseXOR(F.lit(4).cast("bigint"))
+def bound(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _finished(h: Column) -> Column:
     h = multiply32(h.bitwiseXOR(F.shiftrightunsigned(h, 16)), MURMUR_F1)
     h = multiply32(h.bitwiseXOR(F.shiftrightunsigned(h, 13)), MURMUR_F2)
     return h.bitwiseXOR(F.shiftrightunsigned(h, 16))
 
 
+def _block(value: Column) -> Column:
+    return multiply32(rotate32(multiply32(value.cast("bigint"), MURMUR_C1), 15), MURMUR_C2)
+
+
+def _joined(seed: Column, block: Column) -> Column:
+    h = rotate32(seed.bitwiseXOR(block), 13)
+    return (h * 5 + MURMUR_ADD).bitwiseAND(M32).bitwiseXOR(F.lit(4).cast("bigint"))
+
+
+def mix32(value: Column, seed: Column | int) -> Column:
+    """32-bit murmur3 of one 4-byte block with a seed, both given as numbers from 0 to 2**32 - 1."""
+    seed = F.lit(seed).cast("bigint") if isinstance(seed, int) else seed.cast("bigint")
+    return _finished(_joined(seed, _block(value)))
+
+
 def block_hashes(term: Column, segment_start: Column) -> Column:
     """Four chained mixes of a term's low 32 bits, seeded by the low 32 bits of the segment's start."""
-    first = mix32(term.bitwiseAND(M32), segment_start.bitwiseAND(M32))
-    out = [first]
-    for _ in range(3):
-        out.append(mix32(term.bitwiseAND(M32), out[-1]))
-    return F.array(*out)
+
+    def chained(block: Column) -> Column:
+        first = F.array(segment_start.cast("bigint").bitwiseAND(M32))
+
+        def step(done: Column, _: Column) -> Column:
+            return F.concat(done, F.array(bound(_joined(F.element_at(done, -1), block), _finished)))
+
+        return F.slice(F.aggregate(F.sequence(F.lit(1), F.lit(4)), first, step), 2, 4)
+
+    return bound(_block(term.cast("bigint").bitwiseAND(M32)), chained)
 
 
 def byte_swap(h: Column) -> Column:

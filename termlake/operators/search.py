@@ -44,25 +44,42 @@ def _array(values: list) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def verdict(terms: Column, q: TermQuery) -> Column:
+    """struct<hit boolean, score int> of a row's terms under a (cleaned) predicate; one without terms is met by no row.
+
+    The terms are looked at once, for those that the predicate names; all else works on those few. A major term listed
+    twice counts twice.
+    """
+    if q.empty:
+        return F.struct(F.lit(False).alias("hit"), F.lit(0).alias("score"))
+
+    def judge(held: Column) -> Column:
+        score = F.lit(0)
+        if len(set(q.major)) == len(q.major):
+            score = F.size(F.array_intersect(held, _array(q.major))) if q.major else score
+        else:
+            weight = F.lit(0)
+            for t in set(q.major):
+                weight = weight + F.when(F.array_contains(held, t), q.major.count(t)).otherwise(0)
+            score = weight
+        hit = F.lit(True)
+        if q.oneof:
+            hit = hit & F.arrays_overlap(held, _array(q.oneof))
+        if q.major:
+            hit = hit & (score >= threshold(len(q.major)))
+        if q.exact:
+            hit = hit & (F.size(F.array_intersect(held, _array(q.exact))) == len(set(q.exact)))
+        return F.struct(hit.alias("hit"), score.cast("int").alias("score"))
+
+    return F.transform(F.array(F.array_intersect(_array(q.terms()), terms)), judge)[0]
+
+
 def score(terms: Column, q: TermQuery) -> Column:
-    """Major terms that a row holds; one listed twice counts twice."""
-    if not q.major:
-        return F.lit(0)
-    return F.size(F.filter(_array(q.major), lambda t: F.array_contains(terms, t)))
+    return verdict(terms, q)["score"]
 
 
 def matches(terms: Column, q: TermQuery) -> Column:
-    """Whether a row's terms satisfy the (cleaned) predicate; a predicate without terms is met by no row."""
-    if q.empty:
-        return F.lit(False)
-    test = F.lit(True)
-    if q.oneof:
-        test = test & F.arrays_overlap(terms, _array(q.oneof))
-    if q.major:
-        test = test & (score(terms, q) >= threshold(len(q.major)))
-    if q.exact:
-        test = test & (F.size(F.array_except(_array(q.exact), terms)) == 0)
-    return test
+    return verdict(terms, q)["hit"]
 
 
 def search(df: DataFrame, q: TermQuery, order: list[str], start: tuple | None = None, desc: bool = True, limit: int | None = None, terms: str = "terms", by_score: bool = False) -> DataFrame:
