@@ -73,6 +73,14 @@ def read(spark: SparkSession, path: str, schema: str = "local_id INT, key BINARY
     return spark.read.schema(schema).parquet(path)
 
 
+def list_starts(spark: SparkSession, path: str) -> list[int]:
+    """Starts of the segments at path in order, from the names of their directories: no file is opened."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(int(n.partition("=")[2]) for n in names if n.startswith("seg_start="))
+
+
 def bounds(df: DataFrame, by: str = "segment", key: str = "key") -> DataFrame:
     """First and last key and length of each segment."""
     return df.groupBy(by).agg(F.min_by(key, "local_id").alias("first_key"), F.max_by(key, "local_id").alias("last_key"), F.count("*").alias("len"))

@@ -25,12 +25,15 @@ class SegmentSink:
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        have = segments.read(spark, self.path, self.schema)
-        state = have.agg(F.max("batch").alias("batch"), F.count("*").alias("n")).first()
-        if state["batch"] is not None and number <= state["batch"]:
-            return
-        rows = segments.dense_number(segments.check_terms(batch.select("key", "terms")), self.order, "_n").withColumn("_n", F.col("_n") + state["n"])
-        # a segment's start is the number of its first row here; any rising number serves as well
+        # a segment's start is the number of its first row, so the newest one tells how many rows there are
+        newest = segments.list_starts(spark, self.path)[-1:]
+        n = 0
+        if newest:
+            state = segments.read(spark, self.path, self.schema).where(F.col("seg_start") == newest[0]).agg(F.max("batch").alias("batch"), F.count("*").alias("n")).first()
+            if number <= state["batch"]:
+                return
+            n = newest[0] + state["n"]
+        rows = segments.dense_number(segments.check_terms(batch.select("key", "terms")), self.order, "_n").withColumn("_n", F.col("_n") + n)
         start = F.call_function("div", F.col("_n"), F.lit(self.switch_rows)) * self.switch_rows
         out = rows.select((F.col("_n") - start).cast("int").alias("local_id"), "key", "terms", F.lit(number).cast("bigint").alias("batch"), start.cast("bigint").alias("seg_start"))
         out.write.mode("append").partitionBy("seg_start").parquet(self.path)
