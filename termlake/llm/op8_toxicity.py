@@ -27,7 +27,7 @@ from .common import WordTable, chunks, gram_hashes, labelled_sample, sample_feat
 ORDERS = (4, 5, 6)
 BITS = 18
 #: Bound of the training sample: rows of each label.
-PER_LABEL = 2500
+PER_LABEL = 2000
 #: Grade 1 up to the first number of uses, 2 up to the second, else 3.
 GRADE_CUTS = (3, 8)
 LENGTH_POWER = 0.25
