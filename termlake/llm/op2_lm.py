@@ -17,11 +17,11 @@ weights are those drawn at the start; repeated rows are scored each; an empty ta
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +35,7 @@ IDS = 50_258  # of the tokenizer, and one behind them for the end of a text
 END = IDS - 1
 #: Weight of an id's share of its class among the counts behind one class.
 BACKOFF = 20.0
+LN10 = float(np.log(10))
 #: Weight of the source of whole words; of those, shares of a space and of a line end before them.
 WHOLE, AFTER_SPACE, AFTER_LINE = 0.4, 0.94, 0.06
 ODD_LATIN = "\x00\x1c\x1d\x1e\x1f\x85\xa0"
@@ -47,25 +48,44 @@ def word_counts(train_docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n) over all rows, A-Z lower-cased, words parted at U+0020 and U+0009 to U+000D."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        pa.set_cpu_count(1)
+        held: pa.Table | None = None
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
-            held.clear()
-            return out
+        def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            yield from t.filter(pc.not_equal(t["word"], "")).combine_chunks().to_batches(max_chunksize=50_000)
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                if t:
-                    held.update(split_words(lower_ascii(t)))
-                if len(held) > 400_000:
-                    yield flush()
-        if held:
-            yield flush()
+            # Arrow's ASCII white space is just the six characters that part words here
+            words = pc.value_counts(pc.ascii_split_whitespace(pc.ascii_lower(batch.column(0))).flatten())
+            part = pa.table({"word": words.field(0), "n": words.field(1)})
+            if held is not None:
+                both = pa.concat_tables([held, part]).group_by("word", use_threads=False).aggregate([("n", "sum")])
+                part = pa.table({"word": both["word"], "n": both["n_sum"]})
+            held = part
+            if held.num_rows > 400_000:
+                yield from out(held)
+                held = None
+        if held is not None:
+            yield from out(held)
 
     return train_docs.select(text_col).mapInArrow(counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame, most: int):
+    """An Arrow table of the most frequent words, at most `most`: all with a count above a border that a histogram gives.
+
+    No task sorts or gathers more than it read.
+    """
+    step = F.floor(F.log2("n") * 16).cast("int")
+    held, border = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("c")).collect(), reverse=True):
+        held += r["c"]
+        if held > most:
+            break
+        border = r["step"]
+    return counts.where(step >= border if border is not None else F.lit(False)).toArrow()
+
+
 def encode_words(encode: Encoder, words: list[str], before: str, id_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all words one after the other, how many each has), each word with the character `before` in front.
 
@@ -73,10 +93,16 @@ def encode_words(encode: Encoder, words: list[str], before: str, id_bytes: np.nd
     """
     if not words:
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    ids = [np.frombuffer(encode(before + before.join(words[a : a + 5000])), "<u4") for a in range(0, len(words), 5000)]
-    flat = np.concatenate(ids)
-    ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in words), np.int64, len(words)))
-    return flat, np.bincount(np.searchsorted(ends, np.cumsum(id_bytes[flat])), minlength=len(words))
+    ids, sizes = [], []
+    for a in range(0, len(words), 5000):
+        text = before + before.join(words[a : a + 5000])
+        own = np.frombuffer(encode(text), "<u4")
+        starts = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == ord(before))
+        # the last byte of each token lies in the token's word
+        word = np.searchsorted(starts, np.cumsum(id_bytes[own]) - 1, side="right") - 1
+        ids.append(own)
+        sizes.append(np.bincount(word, minlength=len(starts)))
+    return np.concatenate(ids), np.concatenate(sizes)
 
 
 def plain(word: str, longest: int | None = LONGEST_WORD) -> bool:
@@ -286,22 +312,26 @@ class Units(dict):
         fresh, self.fresh = self.fresh, []
         sizes, parts, at = np.zeros(len(fresh), np.int64), [], []
         white = np.zeros(len(fresh))
-        mark = np.fromiter((" \n\0".find(u[:1]) for u in fresh), np.int64, len(fresh))  # -1: a word after a space
-        mark[mark == 0] = -1
-        spaced, lined = np.flatnonzero(mark < 0).tolist(), np.flatnonzero(mark == 1).tolist()
+        lined = [i for i, u in enumerate(fresh) if u < "\x0b" and u[0] == "\n"]
+        bare = [i for i, u in enumerate(fresh) if u < "\x01"]
+        marked = {*lined, *bare}
+        spaced = [i for i in range(len(fresh)) if i not in marked]
         for own, before, texts in ((spaced, " ", [fresh[i] for i in spaced]), (lined, "\n", [fresh[i][1:] for i in lined])):
             ids, n = encode_words(self.encode, texts, before, self.id_bytes)
             parts.append(ids)
             at += own
             sizes[own], white[own] = n, np.log10(AFTER_SPACE if before == " " else AFTER_LINE)
-        for i in np.flatnonzero(mark == 2).tolist():
+        for i in bare:
             parts.append(np.frombuffer(self.encode(fresh[i][1:]), "<u4"))
             at.append(i)
             sizes[i] = len(parts[-1])
         # parts follow `at`; starts are put back in the order of `fresh`
         starts = np.zeros(len(fresh), np.int64)
         starts[at] = len(self.flat) + np.cumsum(sizes[at]) - sizes[at]
-        counts = np.fromiter((self.known.get(u if m < 0 else u[1:], np.nan) for u, m in zip(fresh, mark.tolist(), strict=True)), np.float64, len(fresh))
+        counts = np.full(len(fresh), np.nan)
+        # words after a space that are known were there from the beginning
+        for i in marked if self.base[0] else range(len(fresh)):
+            counts[i] = self.known.get(fresh[i][1:] if i in marked else fresh[i], np.nan)
         self.flat = np.concatenate([self.flat, *parts])
         self.columns = [np.concatenate(x) for x in zip(self.columns, (starts, sizes, white, np.log10(counts + 1)), strict=True)]
 
@@ -364,7 +394,7 @@ class Units(dict):
 def _mixed(by_subwords, by_whole):
     """log10 of the sum of two probabilities given as log10."""
     high, low = np.maximum(by_subwords, by_whole), np.minimum(by_subwords, by_whole)
-    return high + np.log10(1 + 10 ** np.maximum(low - high, -300))
+    return high + np.log1p(np.exp(np.maximum(low - high, -300) * LN10)) / LN10
 
 
 def score(docs: DataFrame, train_docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), head: int = HEAD) -> DataFrame:
@@ -375,7 +405,7 @@ def score(docs: DataFrame, train_docs: DataFrame, tokenizer_path: str | None = N
     ends = train_docs.count()
     words, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n, v = words + ends, kinds + (ends > 0)
-    top = counts.orderBy(F.desc("n"), "word").limit(head).toArrow()
+    top = frequent(counts, head)
     known = dict(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True))
     encode = Encoder(path)
     base = Units(encode, np.append(encode.id_bytes(END), 1), known, limit=head).learned([w for w in known if plain(w)])
