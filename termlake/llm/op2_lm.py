@@ -67,6 +67,8 @@ def word_counts(train_docs: DataFrame, text_col: str = "text") -> DataFrame:
                 held = None
         if held is not None:
             yield from out(held)
+        held = None
+        pa.default_memory_pool().release_unused()
 
     return train_docs.select(text_col).mapInArrow(counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -419,7 +421,7 @@ def score(docs: DataFrame, train_docs: DataFrame, tokenizer_path: str | None = N
         units = Units(encode, id_bytes, known, base)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, 600_000):
                 own = [lower_ascii(t) for t in texts[a:b]]
                 keys, n_words, ids, sizes, unit, white, counts = units(own)
                 is_end = np.zeros(len(white), bool)
