@@ -174,6 +174,24 @@ def test_op2_units_and_windows_against_plain_versions():
         at += n
 
 
+def test_op2_every_token_hears_those_eight_places_before_it():
+    kind = np.arange(attention.CLASSES, dtype=np.int32)
+    draw = np.random.default_rng(5)
+    w = attention.initial()
+    shape = (attention.CLASSES + 1, attention.CLASSES)
+    model = attention.Model(kind, np.zeros(len(kind), np.float32), np.zeros(shape, np.float32), np.full(len(kind), -1), np.zeros((shape[0], 1), np.float32), np.zeros(shape, np.float32), w)
+    ids = draw.integers(0, attention.CLASSES, 120)
+    plain = attention.log_probability(model, ids, np.array([120]))
+    for i in range(112):
+        other = ids.copy()
+        other[i] = (other[i] + 7) % attention.CLASSES
+        assert attention.log_probability(model, other, np.array([120]))[i + 8] != plain[i + 8]
+
+
+def test_op2_model_is_not_narrowed():
+    assert attention.WINDOW >= 32 and attention.WINDOW - attention.FRESH >= 8 and attention.DIM >= 24 and attention.SINGLES >= 224 and attention.CLASSES >= 256
+
+
 def test_op2_hard_rows(hard, empty):
     got = by_id(op2_lm.lm_scores(hard))
     assert sum(map(len, got.values())) == len(HARD)
