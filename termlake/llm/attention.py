@@ -7,6 +7,7 @@ the class before, by corpus counts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -77,46 +78,94 @@ def initial(seed: int = 3) -> dict[str, np.ndarray]:
     return {"embed": normal(CLASSES + 1, DIM, scale=0.3), "place": normal(WINDOW, DIM, scale=0.1), **{k: normal(DIM, DIM, scale=0.5 * DIM**-0.5) for k in "qkvo"}, "out": normal(DIM, CLASSES, scale=0.02)}
 
 
+class Fitting:
+    """Weights that Adam changes batch by batch."""
+
+    def __init__(self, weights: dict[str, np.ndarray], bigram: np.ndarray):
+        self.w, self.bigram, self.t = {k: x.copy() for k, x in weights.items()}, bigram, 0
+        self.m, self.s = ({k: np.zeros_like(x) for k, x in weights.items()} for _ in range(2))
+
+    def step(self, own: np.ndarray, lr: float) -> None:
+        """One step on windows (n, WINDOW + 1) of classes, -1 behind a text's end."""
+        w, m, s = self.w, self.m, self.s
+        x, y = np.maximum(own[:, :-1], 0), own[:, 1:]
+        real = y.ravel() >= 0
+        h, (v, q, k, val, att, sums, o) = _attend(w, x)
+        att = att / sums
+        logits = h.reshape(-1, DIM) @ w["out"] + self.bigram[x.ravel()]
+        logits -= logits.max(axis=1, keepdims=True)
+        p = np.exp(logits)
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(p)), np.maximum(y.ravel(), 0)] -= 1
+        p *= (real / max(1, real.sum()))[:, None].astype(np.float32)
+        g = {"out": h.reshape(-1, DIM).T @ p}
+        dh = (p @ w["out"].T).reshape(h.shape)
+        flat = lambda z: z.reshape(-1, DIM)
+        g["o"] = flat(o).T @ flat(dh)
+        do = dh @ w["o"].T
+        datt = do @ val.transpose(0, 2, 1)
+        dval = att.transpose(0, 2, 1) @ do
+        ds = att * (datt - (datt * att).sum(axis=2, keepdims=True))
+        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+        g["q"], g["k"], g["v"] = (flat(v).T @ flat(z) for z in (dq, dk, dval))
+        dv = dh + dq @ w["q"].T + dk @ w["k"].T + dval @ w["v"].T
+        g["place"] = dv.sum(axis=0)
+        g["embed"] = np.stack([np.bincount(x.ravel(), flat(dv)[:, j], CLASSES + 1) for j in range(DIM)], 1).astype(np.float32)
+        self.t += 1
+        for name, grad in g.items():
+            m[name] += 0.1 * (grad - m[name])
+            s[name] += 0.001 * (grad * grad - s[name])
+            w[name] -= (lr * (m[name] / (1 - 0.9**self.t)) / (np.sqrt(s[name] / (1 - 0.999**self.t)) + 1e-8)).astype(np.float32)
+
+
 def train(windows: np.ndarray, bigram: np.ndarray, epochs: int = 3, batch: int = 64, rate: float = 4e-3, seed: int = 3) -> dict[str, np.ndarray]:
     """Weights by Adam on windows (n, WINDOW + 1) of classes, -1 behind a text's end."""
-    w = initial(seed)
+    fitting = Fitting(initial(seed), bigram)
     draw = np.random.default_rng(seed)
-    m, s = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
-    steps, t = max(1, epochs * -(-len(windows) // batch)), 0
+    steps = max(1, epochs * -(-len(windows) // batch))
     for _ in range(epochs):
         order = draw.permutation(len(windows))
         for a in range(0, len(order), batch):
-            own = windows[order[a : a + batch]]
-            x, y = np.maximum(own[:, :-1], 0), own[:, 1:]
-            real = y.ravel() >= 0
-            h, (v, q, k, val, att, sums, o) = _attend(w, x)
-            att = att / sums
-            logits = h.reshape(-1, DIM) @ w["out"] + bigram[x.ravel()]
-            logits -= logits.max(axis=1, keepdims=True)
-            p = np.exp(logits)
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(p)), np.maximum(y.ravel(), 0)] -= 1
-            p *= (real / max(1, real.sum()))[:, None].astype(np.float32)
-            g = {"out": h.reshape(-1, DIM).T @ p}
-            dh = (p @ w["out"].T).reshape(h.shape)
-            flat = lambda z: z.reshape(-1, DIM)
-            g["o"] = flat(o).T @ flat(dh)
-            do = dh @ w["o"].T
-            datt = do @ val.transpose(0, 2, 1)
-            dval = att.transpose(0, 2, 1) @ do
-            ds = att * (datt - (datt * att).sum(axis=2, keepdims=True))
-            dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-            g["q"], g["k"], g["v"] = (flat(v).T @ flat(z) for z in (dq, dk, dval))
-            dv = dh + dq @ w["q"].T + dk @ w["k"].T + dval @ w["v"].T
-            g["place"] = dv.sum(axis=0)
-            g["embed"] = np.stack([np.bincount(x.ravel(), flat(dv)[:, j], CLASSES + 1) for j in range(DIM)], 1).astype(np.float32)
-            t += 1
-            lr = rate * (1 - (t - 1) / steps)
-            for name, grad in g.items():
-                m[name] += 0.1 * (grad - m[name])
-                s[name] += 0.001 * (grad * grad - s[name])
-                w[name] -= (lr * (m[name] / (1 - 0.9**t)) / (np.sqrt(s[name] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
-    return w
+            fitting.step(windows[order[a : a + batch]], rate * (1 - fitting.t / steps))
+    return fitting.w
+
+
+def windows_of(classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Windows (n, WINDOW + 1) that hold every class of sequences of the given sizes (none empty) once as what is to be told:
+    the class before each window's first one stands before it, -1 behind a sequence's end."""
+    n = -(-sizes // WINDOW)
+    owner = np.repeat(np.arange(len(sizes)), n)
+    ends = np.cumsum(sizes)
+    at = (ends - sizes)[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)) * WINDOW
+    spots = at[:, None] + np.arange(-1, WINDOW)
+    out = classes[np.clip(spots, 0, len(classes) - 1)].astype(np.int32)
+    out[spots >= ends[owner][:, None]] = -1
+    out[at == (ends - sizes)[owner], 0] = START
+    return out
+
+
+def train_on(windows: Iterator[np.ndarray], start: dict[str, np.ndarray], bigram: np.ndarray, batch: int = 64, rate: float = 1e-3, seed: int = 3, held: int = 16_384) -> tuple[int, dict[str, np.ndarray]]:
+    """(number of windows, weights) from one pass over all windows, beginning with the weights given; about `held` windows are
+    shuffled at a time."""
+    fitting, draw, n = Fitting(start, bigram), np.random.default_rng(seed), 0
+    rest: list[np.ndarray] = []
+
+    def passed() -> None:
+        all_ = np.concatenate(rest)
+        order = draw.permutation(len(all_))
+        for a in range(0, len(order), batch):
+            fitting.step(all_[order[a : a + batch]], rate / np.sqrt(1 + fitting.t / 300))
+
+    for own in windows:
+        n += len(own)
+        for a in range(0, len(own), held):
+            rest.append(own[a : a + held])
+            if sum(map(len, rest)) >= held:
+                passed()
+                rest = []
+    if rest:
+        passed()
+    return n, fitting.w
 
 
 def _tables(model: Model) -> tuple[np.ndarray, np.ndarray]:

@@ -1,10 +1,11 @@
 """LM scoring: a causal self-attention model over subword ids, with counts of the whole corpus behind it.
 
-Counts of all words of all training rows are summed by Spark. From them come the base score (add-one over words) and the
-model's corpus part: how often each subword id occurs, the classes of ids, and the bigrams of classes within words.
-What follows a word's end, and the attention's weights, are learned in numpy on windows of a bounded number of
-training documents (`FIT_DOCS`, at most `FIT_WINDOWS` windows of each, spread over the whole text). Every text is then
-scored whole, in overlapping windows that score each token once, by batched masked attention. A word, with the white space
+Counts of all words of all training rows are summed by Spark and give the base score (add-one over words). All training
+rows are encoded once; Spark sums how often each subword id occurs and which id follows which, within words, across them
+and at texts' ends, which gives the classes of ids and what follows a class. The attention's weights begin with those fitted
+on the driver to windows of a bounded number of training documents (`FIT_DOCS`, at most `FIT_WINDOWS` windows of each,
+spread over the whole text); from there each task goes once over all windows of its training rows, and the weights of
+the tasks are averaged by their windows. Every text is then scored whole, in overlapping windows that score each token once, by batched masked attention. A word, with the white space
 before it, is then given by either of two sources: by its subwords, or, with weight `WHOLE`, by the corpus's word counts and
 the kind of white space; the probability of a text is the product of its words' mixed probabilities and its end's.
 
@@ -25,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .attention import CLASSES, START, WINDOW, Model, classes_of, initial, log_probability, train
+from .attention import CLASSES, START, WINDOW, Model, classes_of, initial, log_probability, train, train_on, windows_of
 from .common import chunks, cut, held_out, lower_ascii, small_batches, split_words
 from .tokens import LONGEST_WORD, Encoder, default_tokenizer
 
@@ -116,70 +117,85 @@ def plain(word: str, longest: int | None = LONGEST_WORD) -> bool:
     return (longest is None or len(word) <= longest) and "<|" not in word and not any(c in word for c in ODD_LATIN)
 
 
-def _encoded(encode: Encoder, id_bytes: np.ndarray, words: list[str], n: np.ndarray):
-    """Ids of words, each with a space before it; number of ids of each word; n in the same order."""
-    if all(words) and max(map(len, words), default=0) <= LONGEST_WORD and plain("-".join(words), None):
-        flat, sizes = encode_words(encode, words, " ", id_bytes)
-        return flat, sizes, n
-    good = np.fromiter(map(plain, words), bool, len(words))
-    flat, sizes = encode_words(encode, [w for w, g in zip(words, good.tolist(), strict=True) if g], " ", id_bytes)
-    others = [np.frombuffer(encode(" " + w), "<u4") for w, g in zip(words, good.tolist(), strict=True) if not g]
-    return np.concatenate([flat, *others]), np.concatenate([sizes, [len(x) for x in others]]).astype(np.int64), np.concatenate([n[good], n[~good]])
+def coded(train_docs: DataFrame, shared, tokenizer_path: str, text_col: str = "text") -> DataFrame:
+    """(ids): the 16-bit ids of each row's whole text and its end; `shared` has the known words and units to begin with."""
 
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, base = shared.value
+        encode = Encoder(tokenizer_path)
+        units = Units(encode, np.append(encode.id_bytes(END), 1), known, base)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(0).to_pylist()]
+            for a, b in chunks(texts, 600_000):
+                _, _, ids, sizes, *_ = units([lower_ascii(t) for t in texts[a:b]])
+                own = np.split(ids.astype("<u2"), np.cumsum(sizes)[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in own], pa.binary())], ["ids"])
 
-def subword_pairs(counts: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(a, b, n): how often id b follows id a within the words of the corpus, each with a space before it; a = -1 counts b alone."""
+    return train_docs.select(text_col).mapInArrow(encoded, "ids binary")
 
-    def counted(batches):
-        encode = Encoder(tokenizer_path)
-        id_bytes = np.append(encode.id_bytes(END), 1)
-        keys: list[np.ndarray] = []
-        times: list[np.ndarray] = []
 
-        def summed() -> tuple[np.ndarray, np.ndarray]:
-            kinds, back = np.unique(np.concatenate(keys), return_inverse=True)
-            return kinds, np.bincount(back, np.concatenate(times), len(kinds))
+def _flat(batches: Iterator[pa.RecordBatch], most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids of some rows one after the other, how many each row has), about `most` ids at a time."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(0)).to_numpy().astype(np.int64) // 2
+        part = np.cumsum(sizes) // most
+        begins = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+        for a, b in zip(begins, [*begins[1:], len(sizes)], strict=True):
+            yield np.frombuffer(b"".join(batch.column(0).slice(a, b - a).to_pylist()), "<u2").astype(np.int64), sizes[a:b]
 
-        def out(kinds: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(kinds // IDS - 1), pa.array(kinds % IDS), pa.array(n.astype(np.int64))], ["a", "b", "n"])
 
-        for batch in batches:
-            if not len(batch):
-                continue
-            ids, sizes, n = _encoded(encode, id_bytes, batch.column(0).to_pylist(), batch.column(1).to_numpy())
-            ids, ends, n = ids.astype(np.int64), np.cumsum(sizes), np.repeat(n, sizes).astype(float)
-            inside = np.ones(len(ids), bool)
-            inside[ends - 1] = False
-            at = np.flatnonzero(inside)
-            keys += [ids, (ids[at] + 1) * IDS + ids[at + 1]]
-            times += [n, n[at]]
-            if sum(map(len, keys)) > 3_000_000:
-                kinds, n = summed()
-                if len(kinds) > 1_000_000:
-                    yield out(kinds, n)
-                    keys, times = [], []
-                else:
-                    keys, times = [kinds], [n]
-        if keys:
-            yield out(*summed())
-
-    return counts.mapInArrow(counted, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+def id_pairs(ids: DataFrame) -> DataFrame:
+    """(a, b, n): how often id b follows id a in the training rows; a = -1 stands before a text, a = -2 counts b alone."""
+
+    def counted(batches):
+        alone = np.zeros(IDS, np.int64)
+        raw: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out(kinds: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(kinds // IDS - 2), pa.array(kinds % IDS), pa.array(n.astype(np.int64))], ["a", "b", "n"])
+
+        def sum_up() -> None:
+            """What is raw is counted, and added to what is held."""
+            held.append(np.unique(np.concatenate(raw), return_counts=True))
+            raw.clear()
+            if len(held) > 1:
+                kinds, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+                held[:] = [(kinds, np.bincount(back, np.concatenate([n for _, n in held]), len(kinds)))]
+
+        for flat, sizes in _flat(batches):
+            alone += np.bincount(flat, minlength=IDS)
+            before = np.concatenate(([0], flat[:-1] + 2))
+            before[np.cumsum(sizes) - sizes] = 1
+            raw.append(before * IDS + flat)
+            if sum(map(len, raw)) > 3_000_000:
+                sum_up()
+                if len(held[0][0]) > 1_000_000:
+                    yield out(*held.pop())
+        if raw:
+            sum_up()
+        if held:
+            yield out(*held.pop())
+        some = np.flatnonzero(alone)
+        yield out(some, alone[some])
+
+    return ids.mapInArrow(counted, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def subword_counts(pairs: DataFrame) -> np.ndarray:
     """Occurrences of each id."""
-    got = pairs.where("a = -1").select("b", "n").toArrow()
+    got = pairs.where("a = -2").select("b", "n").toArrow()
     out = np.zeros(IDS)
     out[got["b"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
 def class_pairs(pairs: DataFrame, kind: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """(CLASSES + 1, used ids): how often an id follows a class within the words of the corpus."""
+    """(CLASSES + 1, used ids): how often an id follows a class, or the beginning of a text, in the training rows."""
     out = np.zeros((CLASSES + 1, int(place.max(initial=-1)) + 1))
-    classes = pairs.sparkSession.createDataFrame([(i, int(k)) for i, k in enumerate(kind)], "a bigint, kind int")
+    classes = pairs.sparkSession.createDataFrame([(-1, START), *((i, int(k)) for i, k in enumerate(kind))], "a bigint, kind int")
     # a row for each id of the tokenizer
-    got = pairs.where("a >= 0").join(F.broadcast(classes), "a").groupBy("kind", "b").agg(F.sum("n").alias("n")).toArrow()
+    got = pairs.where("a >= -1").join(F.broadcast(classes), "a").groupBy("kind", "b").agg(F.sum("n").alias("n")).toArrow()
     out[got["kind"].to_numpy(), place[got["b"].to_numpy()]] = got["n"].to_numpy()
     return out
 
@@ -211,36 +227,48 @@ def fit_windows(train_docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
     return np.stack([np.frombuffer(r["w"], "<i4") for r in got]) if got else np.zeros((0, WINDOW + 1), np.int32)
 
 
-def fit(counts: DataFrame, train_docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    windows = fit_windows(train_docs, tokenizer_path, id_col, text_col)
-    pairs_of_ids = cut(subword_pairs(counts, tokenizer_path))
+def trained_on_all(ids: DataFrame, start: dict[str, np.ndarray], kind: np.ndarray, bigram: np.ndarray) -> dict[str, np.ndarray]:
+    """Weights after one pass of each task over all windows of its rows, averaged by the tasks' numbers of windows."""
+    shared = ids.sparkSession.sparkContext.broadcast((start, kind, bigram))
+
+    def trained(batches):
+        start, kind, bigram = shared.value
+
+        n, w = train_on((windows_of(kind[flat], sizes) for flat, sizes in _flat(batches)), start, bigram)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([b"".join(w[k].astype("<f4").tobytes() for k in sorted(w))], pa.binary())], ["n", "w"])
+
+    total, windows = 0.0, 0
+    for r in cut(ids.mapInArrow(trained, "n bigint, w binary")).toLocalIterator():
+        total = total + np.frombuffer(r["w"], "<f4").astype(float) * r["n"]
+        windows += r["n"]
+    if not windows:
+        return start
+    names = sorted(start)
+    parts = np.split(total / windows, np.cumsum([start[k].size for k in names])[:-1])
+    return {k: x.reshape(start[k].shape).astype(np.float32) for k, x in zip(names, parts, strict=True)}
+
+
+def fit(ids: DataFrame, train_docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The model of the training rows, of which `ids` has the encoded texts."""
+    pairs_of_ids = cut(id_pairs(ids))
     total = subword_counts(pairs_of_ids)
-    # what words do not hold (line ends, text ends) is counted in the windows, scaled to the corpus
-    seen = np.bincount(windows[:, 1:][windows[:, 1:] >= 0], minlength=IDS).astype(float)
-    scale = total.sum() / max(1.0, seen.sum())
-    total = np.maximum(total, seen * max(1.0, scale) * (total == 0))
     kind, share = classes_of(total)
     used = np.flatnonzero(total > 0)
     place = np.full(IDS, -1, np.int32)
     place[used] = np.arange(len(used))
-    within = class_pairs(pairs_of_ids, kind, place)
-    near = np.zeros_like(within)
-    if len(used):
-        inside = (windows[:, :-1] != -1) & (windows[:, 1:] >= 0)
-        x, y = windows[:, :-1][inside], windows[:, 1:][inside]
-        np.add.at(near, (np.where(x >= 0, kind[np.maximum(x, 0)], START), place[y]), 1)
-    # the windows say how often a class goes on within a word; there the corpus's counts say how
-    pairs = near * (within == 0) + within * ((near * (within > 0)).sum(axis=1, keepdims=True) + 1) / np.maximum(1, within.sum(axis=1, keepdims=True))
-    rows = np.stack([np.bincount(kind[used], r, CLASSES) for r in pairs]) if len(used) else np.zeros((CLASSES + 1, CLASSES))
-    prior = rows.sum(axis=0) + 0.5
-    bigram = rows + 2 * prior / prior.sum()
+    pairs = class_pairs(pairs_of_ids, kind, place)
+    by_class = np.stack([np.bincount(kind[used], r, CLASSES) for r in pairs]) if len(used) else np.zeros((CLASSES + 1, CLASSES))
+    prior = by_class.sum(axis=0) + 0.5
+    bigram = by_class + 2 * prior / prior.sum()
     bigram = np.log(bigram / bigram.sum(axis=1, keepdims=True)).astype(np.float32)
     # which id of its class: the corpus's counts behind the class before, leaning on its share
-    counted = within + near * max(1.0, scale) * (within == 0)
-    by_class = np.stack([np.bincount(kind[used], r, CLASSES) for r in counted]) if len(used) else rows
-    after = np.log((counted + BACKOFF * np.exp(share[used])) / (by_class[:, kind[used]] + BACKOFF)).astype(np.float32) if len(used) else np.zeros((CLASSES + 1, 1), np.float32)
+    after = np.zeros((CLASSES + 1, max(1, len(used))), np.float32)
+    for c in range(CLASSES + 1 if len(used) else 0):
+        after[c] = np.log((pairs[c] + BACKOFF * np.exp(share[used])) / (by_class[c, kind[used]] + BACKOFF))
+    windows = fit_windows(train_docs, tokenizer_path, id_col, text_col)
     classes = np.where(windows >= 0, kind[np.maximum(windows, 0)], np.where(windows == -2, START, -1)).astype(np.int32)
-    weights = train(classes, bigram) if len(classes) else initial()
+    weights = trained_on_all(ids, train(classes, bigram) if len(classes) else initial(), kind, bigram)
     left = np.log(BACKOFF / (by_class + BACKOFF)).astype(np.float32)
     return Model(kind, share, bigram, place, after, left, weights)
 
@@ -411,11 +439,12 @@ def score(docs: DataFrame, train_docs: DataFrame, tokenizer_path: str | None = N
     known = dict(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True))
     encode = Encoder(path)
     base = Units(encode, np.append(encode.id_bytes(END), 1), known, limit=head).learned([w for w in known if plain(w)])
-    shared = spark.sparkContext.broadcast((known, base, fit(counts, train_docs, path, id_col, text_col)))
+    begun = spark.sparkContext.broadcast((known, base))
+    fitted = spark.sparkContext.broadcast(fit(cut(coded(train_docs, begun, path, text_col)), train_docs, path, id_col, text_col))
     per_token, end_log = float(np.log10(n + v + 1)), float(np.log10(ends + 1))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, base, model = shared.value
+        (known, base), model = begun.value, fitted.value
         encode = Encoder(path)
         id_bytes = np.append(encode.id_bytes(END), 1)
         units = Units(encode, id_bytes, known, base)

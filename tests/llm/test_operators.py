@@ -192,6 +192,38 @@ def test_op2_model_is_not_narrowed():
     assert attention.WINDOW >= 32 and attention.WINDOW - attention.FRESH >= 8 and attention.DIM >= 24 and attention.SINGLES >= 224 and attention.CLASSES >= 256
 
 
+def test_op2_learns_from_rows_outside_of_the_first_sample(spark, monkeypatch):
+    """Transitions across words and white space are counted in all rows, and the attention learns from all."""
+    monkeypatch.setattr(op2_lm, "FIT_DOCS", 5)
+    rows = spark.createDataFrame([(i, f"cat {i} sat on mat") for i in range(40)], "doc_id bigint, text string")
+    last = rows.orderBy(F.xxhash64("doc_id").desc()).first().doc_id
+    models = []
+    monkeypatch.setattr(op2_lm, "Model", lambda *a: models.append(attention.Model(*a)) or models[-1])
+    encode = Encoder(default_tokenizer())
+    for own in (f"mat sat on\ncat {last} ", f"on sat mat\ncat {last} "):
+        texts = rows.withColumn("text", F.when(F.col("doc_id") == last, own).otherwise(F.col("text")))
+        op2_lm.score(texts, texts)
+        m, counted, in_class = models[-1], Counter(), Counter()
+        for r in texts.collect():
+            ids = op2_lm._ids(encode, r.text).tolist()
+            for a, b in zip([attention.START, *m.kind[ids].tolist()], ids, strict=False):
+                counted[a, b] += 1
+                in_class[a, int(m.kind[b])] += 1
+        for (a, b), n in counted.items():
+            k = int(m.kind[b])
+            assert m.place[b] >= 0
+            assert m.after[a, m.place[b]] == pytest.approx(np.log((n + op2_lm.BACKOFF * np.exp(m.share[b])) / (in_class[a, k] + op2_lm.BACKOFF)), abs=1e-4)
+    assert any((models[0].weights[k] != models[1].weights[k]).any() for k in models[0].weights)
+
+
+def test_op2_windows_tell_every_id_once():
+    sizes = np.array([1, attention.WINDOW, attention.WINDOW + 1, 70])
+    classes = np.arange(sizes.sum()) % attention.CLASSES
+    w = attention.windows_of(classes, sizes)
+    assert w[:, 1:][w[:, 1:] >= 0].tolist() == classes.tolist() and (w[:, 0] == attention.START).sum() == 4
+    assert all(r[0] == r[1] - 1 for r in w.tolist() if r[0] != attention.START)
+
+
 def test_op2_hard_rows(hard, empty):
     got = by_id(op2_lm.lm_scores(hard))
     assert sum(map(len, got.values())) == len(HARD)
