@@ -2,8 +2,9 @@
 
 The index holds the items of one block of the benchmark (`ITEMS_PER_BLOCK`, a bound on what is broadcast; a larger
 benchmark is searched block by block, each against all documents) with document frequencies over all items. Passages are
-windows of each whole text, twice as long as the longest item (up to `LONGEST_ITEM` words) and half overlapping, so
-every stretch as long as an item lies in one window.
+windows of each whole text, twice as long as the longest item and half overlapping, so every stretch as long as an item
+lies in one window. Items over `LONG_ITEM` words have indexes of their own by length, one for each doubling, with wider windows:
+the others' windows stay as they are.
 
 An item is retrieved by a passage whose BM25 score with it reaches `SHARE` of the score of the item with itself: all
 of those are, there is no top-k. Terms that stand in many items weigh little and are left out at first; what they could add at
@@ -33,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import chunks
 
 ITEMS_PER_BLOCK = 20_000
-LONGEST_ITEM = 512
+LONG_ITEM = 512
 SHARE = 0.6
 OVERLAP = 0.5
 K1, B = 1.2, 0.75
@@ -64,9 +65,12 @@ def shingles(words: list[str], size: int = 3) -> set[str]:
 
 
 class Index:
-    """Postings with BM25 weights and their block maxima, for one block of items."""
+    """Postings with BM25 weights and their block maxima, for one block of items.
 
-    def __init__(self, items: list[tuple[object, str]], frequency: dict[str, int] | None = None, total: int | None = None):
+    Document frequencies, number of items that are not empty, mean length and length of passages are those of these items unless given.
+    """
+
+    def __init__(self, items: list[tuple[object, str]], frequency: dict[str, int] | None = None, total: int | None = None, mean: float | None = None, window: int | None = None):
         bags: list[dict[str, int]] = []
         for _, text in items:
             bag: dict[str, int] = {}
@@ -86,8 +90,9 @@ class Index:
                     frequency[w] = frequency.get(w, 0) + 1
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for b in bags for w in b}))}
         lengths = np.array([sum(b.values()) for b in bags], float)
-        mean = lengths.mean() if len(lengths) else 1.0
-        self.window = 2 * int(min(lengths.max(initial=1), LONGEST_ITEM))
+        if mean is None:
+            mean = lengths.mean() if len(lengths) else 1.0
+        self.window = window or 2 * int(lengths.max(initial=1))
         n = len(bags)
         self.item_terms, self.item_weights = [], []
         rare_t, rare_d, rare_w = [], [], []
@@ -194,13 +199,31 @@ class Index:
         return sorted(best.values())
 
 
+def by_length(items: list[tuple[object, str]], frequency: dict[str, int] | None = None, total: int | None = None, mean: float | None = None, longest: int | None = None) -> Iterator[Index]:
+    """An index of the items of up to LONG_ITEM words, and one for each doubling of that length that has items."""
+    lengths = [len(terms(text or "")) for _, text in items]
+    if frequency is None:
+        frequency = {}
+        for _, text in items:
+            for w in set(terms(text or "")):
+                frequency[w] = frequency.get(w, 0) + 1
+        total = sum(n > 0 for n in lengths)
+    if mean is None:
+        mean = sum(lengths) / max(1, sum(n > 0 for n in lengths)) or 1.0
+    longest = longest or max(lengths, default=1) or 1
+    kinds = [max(0, n - 1) // LONG_ITEM for n in lengths]
+    kinds = [k.bit_length() for k in kinds]
+    for kind in sorted({0, *kinds}):
+        yield Index([x for x, k in zip(items, kinds, strict=True) if k == kind], frequency, total, mean, 2 * min(longest, LONG_ITEM << kind))
+
+
 def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text", per_block: int = ITEMS_PER_BLOCK) -> Iterator[Index]:
-    """An index for each block of items; a block has at most about `per_block` items and is what the driver holds."""
+    """Indexes of each block of items by length; a block has at most about `per_block` items and is what the driver holds."""
     rows = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     n = rows.count()
     blocks = max(1, -(-n // per_block))
     if blocks == 1:
-        yield Index([(r["id"], r["text"]) for r in rows.orderBy("id", "text").collect()])
+        yield from by_length([(r["id"], r["text"]) for r in rows.orderBy("id", "text").collect()])
         return
     split = F.udf(lambda t: sorted(set(terms(t))), "array<string>")
     frequency = rows.select(F.explode(split("text")).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
@@ -209,7 +232,7 @@ def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text", p
         part = dealt.where(F.col("block") == k)
         own = part.select(F.explode(split("text")).alias("w")).distinct()
         df = {r["w"]: r["df"] for r in frequency.join(own, "w").collect()}
-        yield Index([(r["id"], r["text"]) for r in part.orderBy("id", "text").collect()], df, n)
+        yield from by_length([(r["id"], r["text"]) for r in part.orderBy("id", "text").collect()], df, n)
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:

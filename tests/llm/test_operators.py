@@ -348,6 +348,15 @@ def test_op6_blocks_of_items_agree(spark, docs):
     assert {(k, k) for k in range(items.count())} <= found
 
 
+def test_op6_finds_items_of_any_length(spark):
+    items = spark.createDataFrame([(k, " ".join(f"i{k}w{j}" for j in range(n))) for k, n in enumerate((40, 512, 513, 1800, 5000))], "item_id bigint, text string")
+    texts = [r.text for r in items.orderBy("item_id").collect()]
+    docs = spark.createDataFrame([(k, "filler " * (700 + 311 * k) + t + " more" * 900) for k, t in enumerate(texts)] + [(9, "filler " * 9000)], "doc_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in op6_decontam.matches(docs, items).collect()} == {(k, k) for k in range(5)}
+    assert [r.doc_id for r in op6_decontam.keep_clean(docs, items).collect()] == [9]
+    assert [i.window for i in op6_decontam.indexes(items)] == [1024, 2048, 4096, 10_000]
+
+
 def test_op6_hard_rows(spark, hard, empty):
     items = spark.createDataFrame([(0, "Where did the cat sit? on the mat"), (1, None), (2, ""), (3, "moon")], "item_id bigint, text string")
     assert op6_decontam.matches(empty, items).count() == 0 and op6_decontam.matches(hard, items.where("false")).count() == 0
