@@ -226,13 +226,17 @@ def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text", p
         yield from by_length([(r["id"], r["text"]) for r in rows.orderBy("id", "text").collect()])
         return
     split = F.udf(lambda t: sorted(set(terms(t))), "array<string>")
+    words = F.udf(lambda t: len(terms(t)), "bigint")
+    # what weights and windows rest on is that of all items, so no result depends on which items share a block
+    total, held, longest = rows.select(words("text").alias("n")).where("n > 0").agg(F.count("*"), F.sum("n"), F.max("n")).first()
+    mean = (held or 0) / max(1, total) or 1.0
     frequency = rows.select(F.explode(split("text")).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks)))
     for k in range(blocks):
         part = dealt.where(F.col("block") == k)
         own = part.select(F.explode(split("text")).alias("w")).distinct()
         df = {r["w"]: r["df"] for r in frequency.join(own, "w").collect()}
-        yield from by_length([(r["id"], r["text"]) for r in part.orderBy("id", "text").collect()], df, n)
+        yield from by_length([(r["id"], r["text"]) for r in part.orderBy("id", "text").collect()], df, total, mean, longest)
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:

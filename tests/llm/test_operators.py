@@ -357,6 +357,20 @@ def test_op6_finds_items_of_any_length(spark):
     assert [i.window for i in op6_decontam.indexes(items)] == [1024, 2048, 4096, 10_000]
 
 
+def test_op6_results_do_not_depend_on_blocks(spark):
+    draw = np.random.default_rng(4)
+    own = [(k, " ".join(f"w{j}" for j in draw.integers(0, 60, 8 + 9 * k))) for k in range(30)] + [(100 + k, "") for k in range(6)]
+    items = spark.createDataFrame(own, "item_id bigint, text string")
+    texts = [" ".join(t.split()[int(len(t.split()) * part) :]) for _, t in own for part in (0, 0.2, 0.3, 0.35)]
+
+    def found(per_block):
+        return {(t, i.ids[d]): hit for i in op6_decontam.indexes(items, per_block=per_block) for t, d, *hit in i.find(texts)}
+
+    one, many = found(1000), found(8)
+    assert one.keys() == many.keys() and len(one) > 30
+    assert all(many[k] == pytest.approx(one[k]) for k in one)
+
+
 def test_op6_hard_rows(spark, hard, empty):
     items = spark.createDataFrame([(0, "Where did the cat sit? on the mat"), (1, None), (2, ""), (3, "moon")], "item_id bigint, text string")
     assert op6_decontam.matches(empty, items).count() == 0 and op6_decontam.matches(hard, items.where("false")).count() == 0
