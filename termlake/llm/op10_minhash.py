@@ -2,9 +2,9 @@
 
 Each document's set of word shingles gives `HASHES` minima. Bands of them make candidates; of all minima only the low
 `BITS` bits are kept, packed into words, and a candidate pair's similarity is estimated from the bits that agree, corrected
-for agreement by chance. Pairs that could reach the threshold (estimate within `SLACK` of it, about 4.5 standard
-deviations) are confirmed on their full sets; what passes is a link. A pair at 0.85 shares no band with
-probability 2e-8, at 0.8 with 3e-6.
+for agreement by chance. Pairs that could reach the threshold (estimate within `slack()` of it, by the exact
+binomial law) are confirmed on their full sets; what passes is a link. A pair right at 0.85 shares no band or is estimated too
+low with probability 8e-9, at 0.8 with 3.2e-6.
 
 Copies. Documents of equal sets are one node from the start, so copies are never paired. In a band's bucket all
 nodes are compared with one, the bucket's first (rows, not pairs, of a hot bucket). Links between other
@@ -18,6 +18,7 @@ one shingle; rows repeated with one id lie in one component; null ids count as l
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -32,11 +33,30 @@ from .shingles import MinHasher, agreeing, band_keys, corrected, pack_low_bits,
 
 HASHES, BITS, BAND_ROWS, BANDS = 512, 2, 5, 32
 WORDS = HASHES // 64 * BITS
-SLACK = 0.085
 BLOCK = 1024
 SIG = [f"s{i}" for i in range(WORDS)]
 
 
+def no_band(similarity: float) -> float:
+    """Chance that a pair of this similarity shares no band."""
+    return (1 - similarity**BAND_ROWS) ** BANDS
+
+
+def too_low(similarity: float, least: float) -> float:
+    """Chance that the estimate of a pair of this similarity falls under `least`."""
+    p = similarity + (1 - similarity) / (1 << BITS)
+    return math.fsum(math.comb(HASHES, k) * p**k * (1 - p) ** (HASHES - k) for k in range(HASHES + 1) if corrected(k, HASHES, BITS) < least)
+
+
+def slack(threshold: float) -> float:
+    """How far the estimate of a pair may lie under the threshold: so far that a pair right at it falls lower with at most a tenth of
+    the chance that it shares no band."""
+    out = 0.0
+    while out < threshold and too_low(threshold, threshold - out) > no_band(threshold) / 10:
+        out += 0.005
+    return out
+
+
 def _text_key(text: Column) -> Column:
     """160 bits that stand for a text when it is fetched again."""
     return F.concat_ws("-", F.xxhash64(text).cast("string"), F.xxhash64(F.lit(1), text).cast("string"), F.crc32(text).cast("string"))
@@ -190,7 +210,7 @@ def _search(members: DataFrame, nodes: DataFrame, least: float, best: int) -> Da
 def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(row, id, tkey, n_shingles, comp, component_id of each document; confirmed links between nodes)."""
     small_batches(docs)
-    least = percent / 100 - SLACK
+    least = percent / 100 - slack(percent / 100)
     sigs = cut(signatures(docs, id_col, text_col))
     first = F.min(F.struct("row", "tkey"))
     nodes = sigs.where("digest is not null").groupBy("digest").agg(first.alias("f"), F.min("id").alias("id"), F.first("bands").alias("bands"), *[F.first(s).alias(s) for s in SIG])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -558,6 +559,21 @@ def test_op10_small_blocks_find_the_same(spark, monkeypatch):
     assert sorted(sorted(map(str, g)) for g in got.values()) == brute_components(rows, 85)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_op10_estimate_loses_less_than_the_bands(spark, monkeypatch, percent):
+    """The exact binomial chance that a pair right at the threshold is estimated below what is confirmed."""
+    seen = []
+    search = op10_minhash._search
+    monkeypatch.setattr(op10_minhash, "_search", lambda members, nodes, least, best: seen.append(least) or search(members, nodes, least, best))
+    # in a bucket not all are like its first
+    rows = [(i, " ".join(f"w{j}" for j in range(40)) + f" {i} " + " ".join(f"v{i // 4}x{j}" for j in range(12))) for i in range(40)]
+    op10_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), percent).count()
+    t = percent / 100
+    agree = t + (1 - t) / 4
+    low = sum(math.comb(512, k) * agree**k * (1 - agree) ** (512 - k) for k in range(513) if (k / 512 - 0.25) / 0.75 < seen[0])
+    assert low < (1 - t**5) ** 32
+
+
 def test_op10_hard_rows(hard, empty):
     got = by_id(op10_minhash.near_duplicates(hard))
     assert sum(map(len, got.values())) == len(HARD)
