@@ -57,6 +57,45 @@ _ODD_ASCII = ("\x1c", "\x1d", "\x1e", "\x1f")
 _ODD = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
+def maybe_in(df: DataFrame, key_col: str, keys: DataFrame, keys_col: str, most_bits: int = 27) -> DataFrame:
+    """df with `__tl_maybe`: false where the key is surely not among `keys` (nulls too), true for all keys and few others.
+
+    A bitmap of hashes with about 16 bits a key, at most 2**most_bits bits (16 MB) whatever the number of keys, is broadcast in rows
+    of 64 words; df is not shuffled.
+    """
+    bits = min(most_bits, max(12, (16 * keys.count()).bit_length()))
+
+    def parts(key: Column) -> tuple[Column, Column, Column]:
+        h = F.pmod(F.xxhash64(F.lit("maybe"), key), F.lit(1 << bits))
+        return F.shiftright(h, 12), F.shiftright(h, 6).bitwiseAND(63), h.bitwiseAND(63).cast("int")
+
+    part, word, bit = parts(F.col(keys_col))
+    words = keys.where(F.col(keys_col).isNotNull()).select(part.alias("__tl_part"), word.alias("_word"), F.expr("1L").alias("_one"), bit.alias("_bit"))
+    words = words.groupBy("__tl_part", "_word").agg(F.bit_or(F.expr("shiftleft(_one, _bit)")).alias("_bits"))
+    table = cut(words.groupBy("__tl_part").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("__tl_words")))
+    part, word, bit = parts(F.col(key_col))
+    found = df.withColumn("__tl_part", part).join(F.broadcast(table), "__tl_part", "left")
+    held = F.getbit(F.coalesce(F.try_element_at(F.col("__tl_words"), word), F.lit(0).cast("bigint")), bit)
+    return found.withColumn("__tl_maybe", F.col(key_col).isNotNull() & (held == 1)).drop("__tl_part", "__tl_words")
+
+
+def only_kept(docs: DataFrame, key: Column, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, with their own columns, but for the rows that are not kept; of rows alike in id and key as many as are kept, at most one.
+
+    `rows` holds (id, key, kept) of each row of docs. Rows whose key is surely that of kept rows alone pass without a shuffle; the
+    others are joined by key and id, and rows repeated with both are gathered by an aggregate that combines first.
+    """
+    touched = rows.groupBy("id", "key").agg(F.count("*").alias("n"), F.count_if("kept").alias("k")).where("n != k")
+    touched = cut(touched.select(F.col("id").alias("__tl_id"), F.col("key").alias("__tl_own"), F.col("k").alias("__tl_k")))
+    marked = maybe_in(docs.withColumn("__tl_key", key), "__tl_key", touched.select("__tl_own"), "__tl_own")
+    free = marked.where("not __tl_maybe").select(*docs.columns)
+    joined = marked.where("__tl_maybe").join(touched, (F.col("__tl_key") == F.col("__tl_own")) & F.col(id_col).eqNullSafe(F.col("__tl_id")), "left")
+    alone = joined.where("__tl_k is null").select(*docs.columns)
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    one = joined.where("__tl_k > 0").groupBy("__tl_key", id_col).agg(F.max_by(row, F.length(F.coalesce(F.col(text_col), F.lit("")))).alias("__tl_row")).select("__tl_row.*")
+    return free.unionByName(alone).unionByName(one)
+
+
 class WordTable(dict):
     """Index of the distinct words of a task; `rows` keeps a row of numbers for each.
 

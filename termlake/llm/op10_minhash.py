@@ -4,13 +4,16 @@ Each document's set of word shingles gives `HASHES` minima. Bands of them make c
 `BITS` bits are kept, packed into words, and a candidate pair's similarity is estimated from the bits that agree, corrected
 for agreement by chance. Pairs that could reach the threshold (estimate within `slack()` of it, by the exact
 binomial law) are confirmed on their full sets; what passes is a link. A pair right at 0.85 shares no band or is estimated too
-low with probability 8e-9, at 0.8 with 3.2e-6.
+low with probability 8e-9, at 0.8 with 3.2e-6. Sets hold 64-bit hashes of shingles, the confirmation compares those.
 
 Copies. Documents of equal sets are one node from the start, so copies are never paired. In a band's bucket all
-nodes are compared with one, the bucket's first (rows, not pairs, of a hot bucket). Links between other
-members matter only if they join what is not joined yet: the buckets whose members still lie in different
-components are searched for such pairs, block against block of `BLOCK` nodes by their packed bits, best
-estimates first, until no pair is left that could join two components. No bucket is capped.
+nodes are compared with one, the bucket's first (rows, not pairs, of a hot bucket), and the pairs that could be links are
+confirmed on their texts. Links between other members matter only if they join what is not joined yet. Buckets whose
+members still lie in different components are searched by their packed bits, block against block of `BLOCK` nodes; of all
+likely pairs of two blocks only a spanning forest comes out, so rows grow with nodes, not with pairs. What these forests hold
+together is a cluster: every link that is still missing lies within one. In a cluster with several components full sets are
+met block against block, intersections are counted exactly (`shared_counts`), and again only a forest of the links
+comes out. No bucket is capped, and no pair of texts is sent anywhere but a node with its bucket's first.
 
 Cases: null or empty text has an empty set, is linked with nothing and is a component of its own; a text under five words has
 one shingle; rows repeated with one id lie in one component; null ids count as largest; an empty table gives no rows.
@@ -27,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, maybe_in, only_kept, small_batches
 from .components import components
 from .shingles import MinHasher, agreeing, band_keys, corrected, pack_low_bits, shingle_sets, word_table
 
 HASHES, BITS, BAND_ROWS, BANDS = 512, 2, 5, 32
 WORDS = HASHES // 64 * BITS
-BLOCK = 1024
+#: A block of nodes met with another at a time: so many nodes, and where full sets are met about so many shingles.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 SIG = [f"s{i}" for i in range(WORDS)]
 
 
@@ -103,11 +107,11 @@ def _estimate(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
 
 def fetch_texts(wanted: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(node, _text) of the nodes in wanted (node, tkey)."""
+    """(node, _text) of the nodes in wanted (node, tkey); texts whose key is surely not wanted are not shuffled."""
     found = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_tkey", _text_key(F.col("_text")))
-    keys = wanted.select(F.col("tkey").alias("_tkey")).distinct()
+    keys = cut(wanted.select(F.col("tkey").alias("_tkey")).distinct())
     # equal texts are taken together before the shuffle, so a hot text moves once for each task
-    texts = found.join(keys, "_tkey", "left_semi").groupBy("_tkey").agg(F.first("_text").alias("_text"))
+    texts = maybe_in(found, "_tkey", keys, "_tkey").where("__tl_maybe").groupBy("_tkey").agg(F.first("_text").alias("_text"))
     return wanted.join(texts, F.col("tkey") == F.col("_tkey")).select("node", "_text")
 
 
@@ -137,78 +141,162 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(checked, "a bigint, b bigint")
 
 
-def _search(members: DataFrame, nodes: DataFrame, least: float, best: int) -> DataFrame:
-    """Pairs (a, b) of different components within buckets, not with a bucket's first, with estimates of `least` or more.
+def _dealt(members: DataFrame, group: str, blocks: Column, outside: Column, cols: list[str]) -> DataFrame:
+    """Rows (group, own, other, asks, *cols) sorted for `_block_pairs`: members of a group are dealt to blocks; those outside of the
+    group's main component ask every block, all members are asked by every block."""
+    placed = members.withColumn("_blocks", blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    asking = placed.where(outside).withColumn("other", every).withColumn("asks", F.lit(True))
+    asked = placed.withColumn("other", F.col("own")).drop("own").withColumn("own", every).withColumn("asks", F.lit(False))
+    names = [group, "own", "other", "asks", *cols]
+    rows = asking.select(*names).unionByName(asked.select(*names))
+    return rows.repartition(group, "own", "other").sortWithinPartitions(group, "own", "other", "asks")
 
-    Of each node's partners in a pair of blocks the `best` best come out (0: all). Members of a bucket are dealt to
-    blocks; those outside of the first's component meet every block, as rows (bucket, block, block).
+
+def _block_pairs(rows: DataFrame, group: str, load, linked) -> DataFrame:
+    """(a, b): of the pairs that `linked` finds between askers and asked of two blocks, a forest that joins what they join.
+
+    `load(batch)` gives the columns that `linked` needs, as arrays by row; `linked(columns, askers, asked)` yields for each asker
+    (its row, rows of its partners). Sorted rows stream by, whole pairs of blocks are taken as they end.
     """
-    outside = F.col("comp") != F.col("rep_comp")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = members.where("node != rep").join(nodes.select("node", "bands", *SIG), "node").withColumn("own", own)
-    asking = dealt.where(outside).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("asks", F.lit(True))
-    # F.explode over blocks of askers: as many as there are blocks
-    asked = dealt.withColumn("other", F.col("own")).drop("own").withColumn("own", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("asks", F.lit(False))
-    cols = ["key", "own", "other", "asks", "node", "comp", "bands", *SIG]
-    rows = asking.select(*cols).unionByName(asked.select(*cols))
-
-    def paired(x: slice, y: slice, c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of askers x with others y of one pair of blocks; slices of the columns c."""
+
+    def forest(c: dict[str, np.ndarray], a: int, middle: int, b: int) -> list[tuple[int, int]]:
+        _, label = np.unique(c["comp"][a:b], return_inverse=True)
         out = []
-        sx, sy, bx, by = c["sig"][x], c["sig"][y], c["bands"][x], c["bands"][y]
-        nx, ny, cx, cy = c["node"][x], c["node"][y], c["comp"][x], c["comp"][y]
-        band = int(np.argmax(bx[0] == c["key"][x.start]))
-        for a in range(0, len(nx), 64):
-            est = corrected(agreeing(sx[a : a + 64, None], sy[None], HASHES, BITS), HASHES, BITS)
-            est[(cx[a : a + 64, None] == cy[None]) | (est < least)] = -1
-            if best and best < est.shape[1]:
-                top = np.argpartition(-est, best - 1, axis=1)[:, :best]
-                i, j = np.repeat(np.arange(len(est)), best), top.ravel()
-                good = est[i, j] > 0
-                i, j = i[good], j[good]
-            else:
-                i, j = np.nonzero(est > 0)
-            # a pair belongs to the first band that both share; with a bucket's first it has been seen already
-            here = ~(bx[a + i, :band] == by[j, :band]).any(axis=1)
-            out.append((nx[a + i[here]], ny[j[here]]))
-        return tuple(np.concatenate(v) for v in zip(*out, strict=True))
+        for i, partners in linked(c, slice(middle, b), slice(a, middle)):
+            own = label[i - a]
+            kinds, first = np.unique(label[partners - a], return_index=True)
+            new = kinds != own
+            if new.any():
+                out += [(int(c["node"][i]), int(c["node"][j])) for j in partners[first[new]]]
+                label[np.isin(label, kinds[new])] = own
+        return out
+
+    def taken(c: dict[str, np.ndarray], cuts: list[int]) -> Iterator[pa.RecordBatch]:
+        found = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            middle = b - int(c["asks"][a:b].sum())  # those who ask sort last
+            if a < middle < b and (c["comp"][a:b] != c["comp"][a]).any():
+                found += forest(c, a, middle, b)
+        if found:
+            x, y = np.array(found, np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted rows stream by; whole pairs of blocks are taken as they end."""
         held: dict[str, np.ndarray] | None = None
-
-        def taken(c: dict[str, np.ndarray], cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-            found = []
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                middle = b - int(c["asks"][a:b].sum())  # those who ask sort last
-                if a < middle < b:
-                    found.append(paired(slice(middle, b), slice(a, middle), c))
-            if found:
-                x, y = (np.concatenate(v) for v in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
-
         for batch in batches:
             if not len(batch):
                 continue
-            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            new = {n: col[n].to_numpy(zero_copy_only=False) for n in ("key", "own", "other", "asks", "node", "comp")}
-            new["bands"] = col["bands"].flatten().to_numpy().reshape(len(batch), BANDS)
-            new["sig"] = np.stack([col[s].to_numpy() for s in SIG], 1)
+            new = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in (group, "own", "other", "asks", "node", "comp")} | load(batch)
             c = new if held is None else {n: np.concatenate([held[n], new[n]]) for n in new}
-            changes = np.flatnonzero((c["key"][1:] != c["key"][:-1]) | (c["own"][1:] != c["own"][:-1]) | (c["other"][1:] != c["other"][:-1])) + 1
-            cuts = np.concatenate(([0], changes))
+            changes = np.flatnonzero((c[group][1:] != c[group][:-1]) | (c["own"][1:] != c["own"][:-1]) | (c["other"][1:] != c["other"][:-1])) + 1
+            cuts = [0, *changes.tolist()]
             yield from taken(c, cuts)
             held = {n: v[cuts[-1] :] for n, v in c.items()}
         if held is not None:
-            yield from taken(held, np.array([0, len(held["key"])]))
+            yield from taken(held, [0, len(held["node"])])
+
+    return rows.mapInArrow(searched, "a bigint, b bigint").distinct()
+
+
+def likely_links(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Forest (a, b) of the pairs of different components in a bucket that are estimated at `least` or more; `members` has key, n,
+    node, comp and rep_comp."""
+    rows = _dealt(members.join(nodes.select("node", *SIG), "node"), "key", F.ceil(F.col("n") / BLOCK), F.col("comp") != F.col("rep_comp"), ["node", "comp", *SIG])
+
+    def load(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        return {"sig": np.stack([batch.column(s).to_numpy() for s in SIG], 1)}
+
+    def linked(c: dict[str, np.ndarray], askers: slice, asked: slice):
+        for at in range(askers.start, askers.stop, 64):
+            part = slice(at, min(at + 64, askers.stop))
+            good = corrected(agreeing(c["sig"][part, None], c["sig"][asked][None], HASHES, BITS), HASHES, BITS) >= least
+            good &= c["comp"][part, None] != c["comp"][asked][None]
+            for i in np.flatnonzero(good.any(axis=1)).tolist():
+                yield at + i, asked.start + np.flatnonzero(good[i])
+
+    return _block_pairs(rows, "key", load, linked)
+
+
+def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """(len(x), len(y)) sizes of the intersections of sorted sets of distinct hashes, exact.
+
+    Hashes on both sides are columns: those of few members add up pair by pair, the others by products of 0/1 matrices.
+    """
+    out = np.zeros((len(x), len(y)), np.float32)
+    hx, hy = (np.concatenate(v) if v else np.zeros(0, np.uint64) for v in (x, y))
+    ox, oy = (np.repeat(np.arange(len(v)), [len(s) for s in v]) for v in (x, y))
+    both = np.intersect1d(hx, hy)
+    if not len(both):
+        return out
+
+    def columns(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(both, h), len(both) - 1)
+        real = both[at] == h
+        order = np.argsort(at[real], kind="stable")
+        col = at[real][order]
+        return col, owner[real][order], np.searchsorted(col, np.arange(len(both) + 1))
+
+    cx, ox, sx = columns(hx, ox)
+    cy, oy, sy = columns(hy, oy)
+    nx, ny = np.diff(sx), np.diff(sy)
+    few = nx * ny <= 64
+    # pair by pair: each entry of x with all entries of y in its column
+    light = few[cx]
+    n = ny[cx[light]]
+    owner = np.repeat(ox[light], n)
+    spots = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(sy[cx[light]], n)
+    out += np.bincount(owner * len(y) + oy[spots], minlength=out.size).reshape(out.shape)
+    heavy = np.flatnonzero(~few)
+    place = np.full(len(both), -1)
+    place[heavy] = np.arange(len(heavy))
+    for a in range(0, len(heavy), 4096):
+        parts = []
+        for c, o, rows in ((cx, ox, len(x)), (cy, oy, len(y))):
+            own = (place[c] >= a) & (place[c] < a + 4096)
+            m = np.zeros((rows, min(4096, len(heavy) - a)), np.float32)
+            m[o[own], place[c[own]] - a] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def exact_links(clusters: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Forest (a, b) of all links between different components of a cluster; `clusters` has cluster, node and comp."""
+
+    def in_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = word_table()
+        for batch in batches:
+            for at in range(0, len(batch), 200):
+                part = batch.slice(at, 200)
+                sets = list(shingle_sets(part.column(1).to_pylist(), table))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], ["node", "set", "size"])
 
-    sorted_rows = rows.repartition("key", "own", "other").sortWithinPartitions("key", "own", "other", "asks")
-    return sorted_rows.mapInArrow(searched, "a bigint, b bigint").distinct()
+    sized = cut(clusters.join(texts, "node").select("node", "_text").mapInArrow(in_sets, "node bigint, set binary, size bigint"))
+    rows = clusters.join(sized, "node")
+    # the component of most nodes does not ask; a block has about BLOCK nodes or BLOCK_SHINGLES shingles
+    shares = rows.groupBy("cluster", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    shares = shares.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("all"), F.count("*").alias("comps"))
+    rows = rows.join(shares.where("comps > 1"), "cluster")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES))
+
+    def load(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        held = np.empty(len(batch), object)
+        held[:] = [np.frombuffer(s, np.uint64) for s in batch.column("set").to_pylist()]
+        return {"set": held, "size": batch.column("size").to_numpy()}
+
+    def linked(c: dict[str, np.ndarray], askers: slice, asked: slice):
+        shared = shared_counts(list(c["set"][askers]), list(c["set"][asked]))
+        good = 100 * shared >= percent * (c["size"][askers, None] + c["size"][asked][None] - shared)
+        good &= c["comp"][askers, None] != c["comp"][asked][None]
+        for i in np.flatnonzero(good.any(axis=1)).tolist():
+            yield askers.start + i, asked.start + np.flatnonzero(good[i])
+
+    return _block_pairs(_dealt(rows, "cluster", blocks, F.col("comp") != F.col("main"), ["node", "comp", "set", "size"]), "cluster", load, linked)
 
 
 def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(row, id, tkey, n_shingles, comp, component_id of each document; confirmed links between nodes)."""
+    """(row, id, tkey, n_shingles, comp, component_id of each document; confirmed links between nodes, which join all components)."""
     small_batches(docs)
     least = percent / 100 - slack(percent / 100)
     sigs = cut(signatures(docs, id_col, text_col))
@@ -219,26 +307,28 @@ def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text
     buckets = cut(keyed.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("n")).where("n > 1"))
     members = cut(keyed.join(buckets, "key"))
 
-    texts = cut(fetch_texts(members.select("node").distinct().join(nodes.select("node", "tkey"), "node"), docs, text_col))
     stars = members.where("node != rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct()
-    likely = _estimate(stars, nodes).where(F.col("estimate") >= least).select("a", "b")
-    links = cut(confirm(likely, texts, percent))
-    comps = cut(components(links))
-    # pairs away from a bucket's first: the best two partners of each node, then all
+    likely = cut(_estimate(stars, nodes).where(F.col("estimate") >= least).select("a", "b"))
     crowded = members.where("n > 2")
-    for best in (2, 0):
-        labelled = crowded.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        of_rep = comps.select(F.col("node").alias("rep"), F.col("comp").alias("rc"))
-        labelled = labelled.join(of_rep, "rep", "left").withColumn("rep_comp", F.coalesce("rc", "rep")).drop("rc")
-        mixed = labelled.groupBy("key").agg(F.max(F.col("comp") != F.col("rep_comp")).alias("open")).where("open").select("key")
-        labelled = cut(labelled.join(mixed, "key", "left_semi"))
-        pairs = cut(_search(labelled, nodes, least, best))
-        more = cut(confirm(pairs, texts, percent))
-        if more.isEmpty():
-            continue
+    ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    links = cut(confirm(likely, cut(fetch_texts(ends.join(nodes.select("node", "tkey"), "node"), docs, text_col)), percent))
+    comps = cut(components(links))
+    labelled = crowded.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    of_rep = comps.select(F.col("node").alias("rep"), F.col("comp").alias("rc"))
+    labelled = labelled.join(of_rep, "rep", "left").withColumn("rep_comp", F.coalesce("rc", "rep")).drop("rc")
+    mixed = labelled.groupBy("key").agg(F.max(F.col("comp") != F.col("rep_comp")).alias("open")).where("open").select("key")
+    forest = cut(likely_links(cut(labelled.join(mixed, "key", "left_semi")), nodes, least))
+    if not forest.isEmpty():
+        # a component counts as one node: its links to its least node stand for all
+        joined = comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+        clusters = components(forest.unionByName(joined)).withColumnRenamed("comp", "cluster")
+        clusters = cut(clusters.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+        several = clusters.groupBy("cluster").agg((F.min("comp") != F.max("comp")).alias("open")).where("open").select("cluster")
+        clusters = cut(clusters.join(several, "cluster", "left_semi"))
+        texts = fetch_texts(clusters.join(nodes.select("node", "tkey"), "node").select("node", "tkey"), docs, text_col)
+        more = cut(exact_links(clusters, texts, percent))
         links = links.unionByName(more)
-        # a component is one node from here on: its links to its least node stand for all
-        comps = cut(components(more.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))))
+        comps = cut(components(more.unionByName(joined)))
     owned = nodes.join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"), "id")
     names = owned.groupBy("comp").agg(F.min("id").alias("component_id"))
     by_digest = cut(owned.select("digest", "comp").join(cut(names), "comp"))
@@ -254,20 +344,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """One document of each group, that of the smallest id, with the columns of docs."""
+    """One document of each group, that of the smallest id, with the columns of docs (any names, extra ones too).
+
+    Texts that are null, empty or of white space alone are linked with nothing and stay; of rows repeated with one id and text one
+    stays; rows with null ids rank last; an empty table gives no rows.
+    """
     rows, _ = near_groups(docs, percent)
-    rows = cut(rows.select("row", "id", "tkey", "comp"))
-    best = rows.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "tkey", "row")).alias("best"))
-    keep = best.select(F.col("best.id").alias("__tl_id"), F.col("best.tkey").alias("__tl_kkey")).distinct()
-    often = rows.groupBy("id", "tkey").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("__tl_oid"), F.col("tkey").alias("__tl_okey"))
-    keep = keep.join(often, F.col("__tl_id").eqNullSafe(F.col("__tl_oid")) & (F.col("__tl_kkey") == F.col("__tl_okey")), "left")
-    keep = cut(keep.select("__tl_id", "__tl_kkey", F.col("__tl_okey").isNotNull().alias("__tl_often")))
-    keyed = docs.withColumn("__tl_key", _text_key(F.coalesce(F.col("text"), F.lit(""))))
-    joined = keyed.join(keep, (F.col("__tl_key") == F.col("__tl_kkey")) & F.col("doc_id").eqNullSafe(F.col("__tl_id")))
-    once = joined.where("not __tl_often").select(*docs.columns)
-    # rows alike in id and text: one of them, by an aggregate that combines before the shuffle
-    again = joined.where("__tl_often").groupBy("__tl_key", "doc_id").agg(F.first(F.struct(*docs.columns)).alias("__tl_row")).select("__tl_row.*")
-    return once.unionByName(again)
+    rows = cut(rows.select("row", "id", F.col("tkey").alias("key"), "comp"))
+    best = rows.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "row")).alias("best"))
+    # by row, so that the members of a large group do not meet in one task
+    kept = rows.join(best.select(F.col("best.row").alias("row"), F.lit(True).alias("kept")), "row", "left")
+    return only_kept(docs, _text_key(F.coalesce(F.col("text"), F.lit(""))), kept.select("id", "key", F.coalesce("kept", F.lit(False)).alias("kept")))
 
 
 #: Exact pairs over all shared shingles; for small tables.

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions
+from .common import cut, only_kept, shuffle_partitions
 
 RADIX_BITS = 4
 
@@ -76,27 +76,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group of equal texts, with the columns of docs."""
-    groups = exact_groups(docs.select("doc_id", "text"))
-    return restrict(docs, groups.where("row = keep_row").select("id", "digest"), groups.select("id", "digest"))
-
+    """One document of each group of equal texts, with the columns of docs (any names, extra ones too).
 
-def restrict(docs: DataFrame, kept: DataFrame, seen: DataFrame) -> DataFrame:
-    """The rows of docs whose (id, digest) is in `kept`; of rows alike in both, one.
-
-    `seen` holds (id, digest) of all rows of docs. Rows alike in both are rare and gathered by a combining
-    aggregate, so that even a row repeated very often does not meet in one task.
+    Null and empty texts are equal to one another and to those of white space alone; rows repeated whole count as a group; rows with
+    null ids rank last; an empty table gives no rows.
     """
-    often = seen.groupBy("id", "digest").agg(F.count("*").alias("__tl_n")).where("__tl_n > 1").select(F.col("id").alias("__tl_oid"), F.col("digest").alias("__tl_odigest"))
-    k = kept.select(F.col("id").alias("__tl_id"), F.col("digest").alias("__tl_kdigest")).distinct()
-    o = k.join(often, F.col("__tl_id").eqNullSafe(F.col("__tl_oid")) & (F.col("__tl_kdigest") == F.col("__tl_odigest")), "left")
-    k = o.select("__tl_id", "__tl_kdigest", F.col("__tl_odigest").isNotNull().alias("__tl_often"))
-    keyed = docs.withColumn("__tl_digest", F.unhex(F.sha2(normalised(F.col("text")), 256)))
-    joined = keyed.join(k, (F.col("__tl_digest") == F.col("__tl_kdigest")) & F.col("doc_id").eqNullSafe(F.col("__tl_id")))
-    once = joined.where("not __tl_often").select(*docs.columns)
-    row = F.struct(*[F.col(c) for c in docs.columns])
-    again = joined.where("__tl_often").groupBy("__tl_digest", "doc_id").agg(F.max_by(row, F.length(F.coalesce("text", F.lit("")))).alias("__tl_row")).select("__tl_row.*")
-    return once.unionByName(again)
+    groups = exact_groups(docs.select("doc_id", "text"))
+    rows = groups.select("id", F.col("digest").alias("key"), (F.col("row") == F.col("keep_row")).alias("kept"))
+    return only_kept(docs, F.unhex(F.sha2(normalised(F.col("text")), 256)), rows)
 
 
 ORACLE_SQL = """

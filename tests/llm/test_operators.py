@@ -563,8 +563,8 @@ def test_op10_small_blocks_find_the_same(spark, monkeypatch):
 def test_op10_estimate_loses_less_than_the_bands(spark, monkeypatch, percent):
     """The exact binomial chance that a pair right at the threshold is estimated below what is confirmed."""
     seen = []
-    search = op10_minhash._search
-    monkeypatch.setattr(op10_minhash, "_search", lambda members, nodes, least, best: seen.append(least) or search(members, nodes, least, best))
+    search = op10_minhash.likely_links
+    monkeypatch.setattr(op10_minhash, "likely_links", lambda members, nodes, least: seen.append(least) or search(members, nodes, least))
     # in a bucket not all are like its first
     rows = [(i, " ".join(f"w{j}" for j in range(40)) + f" {i} " + " ".join(f"v{i // 4}x{j}" for j in range(12))) for i in range(40)]
     op10_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), percent).count()
@@ -574,6 +574,42 @@ def test_op10_estimate_loses_less_than_the_bands(spark, monkeypatch, percent):
     assert low < (1 - t**5) ** 32
 
 
+def test_op10_shared_counts_against_sets(monkeypatch):
+    draw = np.random.default_rng(5)
+    x, y = ([np.unique(draw.integers(0, top, n).astype(np.uint64)) for n in draw.integers(0, 60, 30)] for top in (200, 400))
+    got = op10_minhash.shared_counts(x, y)
+    assert got.tolist() == [[len(set(a) & set(b)) for b in y] for a in x]
+    assert op10_minhash.shared_counts([x[0][:0]], [y[0][:0]]).tolist() == [[0]]
+
+
+def test_op10_unlinked_likes_make_rows_not_pairs(spark, monkeypatch):
+    """Many texts that are alike, but under the threshold: what is sent on grows with the texts, and no link comes of it."""
+    draw = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(500):
+        own = list(base)
+        own[5 + int(draw.integers(0, 280))] = f"x{i}"
+        own[5 + int(draw.integers(0, 280))] = f"y{i}"
+        own[5 + int(draw.integers(0, 280))] = f"z{i}"
+        own[5 + int(draw.integers(0, 280))] = f"u{i}"
+        rows.append((i, " ".join(own)))
+    sent = []
+    for name in ("confirm", "exact_links"):
+        made = getattr(op10_minhash, name)
+        monkeypatch.setattr(op10_minhash, name, lambda d, *rest, made=made: sent.append(d.count()) or made(d, *rest))
+    likely = op10_minhash.likely_links
+    monkeypatch.setattr(op10_minhash, "likely_links", lambda *a: (lambda d: sent.append(d.count()) or d)(op10_minhash.cut(likely(*a))))
+    got = defaultdict(list)
+    for r in op10_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 85).collect():
+        got[r.component_id].append(r.doc_id)
+    assert sorted(sorted(map(str, g)) for g in got.values()) == brute_components(rows, 85)
+    # a node meets the first of each of its buckets, and hangs in one forest a bucket; all pairs would be 124 750
+    confirmed, forest, clustered = sent
+    assert max(confirmed, forest) < op10_minhash.BANDS * len(rows) and confirmed + forest < 20 * len(rows)
+    assert clustered <= len(rows) and len(got) > 250
+
+
 def test_op10_hard_rows(hard, empty):
     got = by_id(op10_minhash.near_duplicates(hard))
     assert sum(map(len, got.values())) == len(HARD)
