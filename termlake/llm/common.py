@@ -85,7 +85,7 @@ def only_kept(docs: DataFrame, key: Column, rows: DataFrame, id_col: str = "doc_
     `rows` holds (id, key, kept) of each row of docs. Rows whose key is surely that of kept rows alone pass without a shuffle; the
     others are joined by key and id, and rows repeated with both are gathered by an aggregate that combines first.
     """
-    touched = rows.groupBy("id", "key").agg(F.count("*").alias("n"), F.count_if("kept").alias("k")).where("n != k")
+    touched = rows.groupBy("id", "key").agg(F.count("*").alias("n"), F.count_if("kept").alias("k")).where("n != k or n > 1")
     touched = cut(touched.select(F.col("id").alias("__tl_id"), F.col("key").alias("__tl_own"), F.col("k").alias("__tl_k")))
     marked = maybe_in(docs.withColumn("__tl_key", key), "__tl_key", touched.select("__tl_own"), "__tl_own")
     free = marked.where("not __tl_maybe").select(*docs.columns)
