@@ -5,13 +5,14 @@ of class k takes exactly k pieces. Each task fills sequences of its own, without
 padding low, a document is cut into full sequences and the rest, while it would waste more than `WASTE` of its
 class's sequence, into a piece of just the next class's size and what remains: at most a few pieces.
 
-What a task leaves in sequences that did not fill up is less than one sequence for each class; the leftovers of
-`GROUP` tasks are gathered and packed best-fit, longest first. The bound holds at any input size.
+What a task leaves in sequences that did not fill up is less than one sequence for each class. The leftovers of
+`GROUP` tasks fill sequences of their class again, k pieces to one; what then remains, at most k - 1 pieces of class k for `GROUP`
+tasks, is packed best-fit, longest first. The bound holds at any input size.
 
 Tokens: the given public tokenizer, then one end id.
 
-Cases: null text counts as empty: one end id, one piece; null ids stay null; repeated rows are packed each; an empty table
-gives no rows.
+Cases: null text counts as empty: one end id, one piece; null ids stay null; repeated rows are packed each; a text longer than a
+sequence fills several; columns other than id and text are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from zlib import crc32
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -119,8 +120,18 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, waste:
         rows["sequence_id"], rows["offset"] = sequences, offsets
         return rows
 
-    left = pieces.where("sequence_id is null").groupBy((F.col("worker") / GROUP).cast("int")).applyInPandas(best_fit, schema)
-    return pieces.where("sequence_id is not null").unionByName(left).drop("worker")
+    # leftovers class by class: at most GROUP * (k - 1) rows of class k
+    open_ = pieces.where("sequence_id is null").withColumn("_k", F.floor(F.lit(capacity) / F.col("length")).cast("long")).withColumn("_g", F.floor(F.col("worker") / GROUP).cast("long"))
+    of_class = Window.partitionBy("_g", "_k")
+    open_ = open_.withColumn("_at", F.row_number().over(of_class.orderBy("worker", "start", "length", "ids_crc32")) - 1).withColumn("_n", F.count("*").over(of_class))
+    open_ = open_.withColumn("_bin", F.floor(F.col("_at") / F.col("_k")).cast("long"))
+    before = Window.partitionBy("_g", "_k", "_bin").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    full = F.col("_bin") < F.floor(F.col("_n") / F.col("_k"))
+    merged = cut(open_.withColumn("_offset", F.coalesce(F.sum("length").over(before), F.lit(0))))
+    again = merged.where(full).withColumn("sequence_id", F.lit(1 << 60) + F.shiftleft("_g", 32) + F.shiftleft("_k", 12) + F.col("_bin")).withColumn("offset", F.col("_offset"))
+    names = pieces.columns
+    left = merged.where(~full).select(*names).groupBy((F.col("worker") / GROUP).cast("int")).applyInPandas(best_fit, schema)
+    return pieces.where("sequence_id is not null").unionByName(again.select(*names)).unionByName(left).drop("worker")
 
 
 def packed(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
