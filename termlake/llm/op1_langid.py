@@ -1,10 +1,11 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 Counts are summed over all training rows by Spark, so they follow the corpus; the log-probability matrix
-(buckets x languages, at most `max_langs` of them) is broadcast; a batch of texts is scored as a sparse product
-of the counts of its distinct words with the words' summed log-probabilities, in numpy.
+(buckets x languages) is broadcast; a batch of texts is scored as a sparse product
+of the counts of its distinct words with the words' summed log-probabilities, in numpy. Every language is learned: more than
+`GROUP_LANGS` make several matrices, each of a bounded size and scored by itself, and the best of all groups is taken.
 
-Cases: null text or a text without any letter gives `und` with score 0; a table without training rows gives
+Cases: a long text is scored whole, a chunk of texts at a time; an empty table gives no rows; null text or a text without any letter gives `und` with score 0; a table without training rows gives
 `und` for all; ties go to the language that sorts first; repeated rows are scored alike; extra columns are kept
 out of the result unless asked for with `keep`.
 """
@@ -17,14 +18,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, chunks, gram_hashes, held_out, sum_by, words_of
+from .common import WordTable, chunks, cut, gram_hashes, held_out, sum_by, words_of
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
-MAX_LANGS = 512
+#: Languages of one matrix: 64 MB at 32 768 buckets.
+GROUP_LANGS = 512
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -71,32 +74,29 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", max_langs: int = MAX_LANGS, smoothing: float = 0.5):
-    """(languages in order, log-probabilities buckets x languages, log-priors) from all rows with text and language.
-
-    Of more than `max_langs` languages those with the most documents are learned.
-    """
+def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", group_langs: int = GROUP_LANGS, smoothing: float = 0.5):
+    """For each group of languages, in order: (languages, log-probabilities buckets x languages, log-priors), from all rows with text and language."""
     rows = train.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    sums = rows.mapInArrow(_counted, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = sums.toArrow()
-    lang, bucket, n = got["lang"].to_pylist(), got["bucket"].to_numpy(), got["n"].to_numpy()
-    docs = {name: c for name, b, c in zip(lang, bucket, n, strict=True) if b < 0}
-    kept = sorted(sorted(docs, key=lambda x: (-docs[x], x))[:max_langs])
-    place = {name: i for i, name in enumerate(kept)}
-    counts = np.full((BUCKETS, len(kept)), smoothing)
-    for name, b, c in zip(lang, bucket, n, strict=True):
-        if b >= 0 and name in place:
-            counts[b, place[name]] += c
-    logp = np.log(counts / counts.sum(axis=0)) if kept else counts
-    prior = np.log(np.array([docs[x] for x in kept], np.float64) / max(1, sum(docs[x] for x in kept))) if kept else np.zeros(0)
-    return kept, logp.astype(np.float32), prior
-
-
-def predict(docs: DataFrame, model, text_col: str = "text", out: str = "lang_id") -> DataFrame:
-    """docs with a column struct<lang_pred string, score double>; no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("lang_pred string, score double")
+    sums = cut(rows.mapInArrow(_counted, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    docs = {r["lang"]: r["n"] for r in sums.where("bucket < 0").collect()}  # a row for each language
+    langs, total = sorted(docs), max(1, sum(docs.values()))
+    out = []
+    for a in range(0, len(langs), group_langs):
+        kept = langs[a : a + group_langs]
+        # a group's counts only: at most buckets x languages of a group
+        got = sums.where((F.col("bucket") >= 0) & F.col("lang").between(kept[0], kept[-1])).toArrow()
+        counts = np.full((BUCKETS, len(kept)), smoothing)
+        place = pc.index_in(got["lang"], pa.array(kept, pa.string())).to_numpy()
+        counts[got["bucket"].to_numpy(), place] += got["n"].to_numpy()
+        prior = np.log(np.array([docs[x] for x in kept], np.float64) / total)
+        out.append((kept, np.log(counts / counts.sum(axis=0)).astype(np.float32), prior))
+    return out
+
+
+def _scorer(shared):
+    """Column function: best language of the shared group, its log-probability with the text and the log of the group's sum."""
+
+    @F.pandas_udf("lang string, top double, total double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         langs, logp, prior = shared.value
 
@@ -107,20 +107,38 @@ def predict(docs: DataFrame, model, text_col: str = "text", out: str = "lang_id"
         table = WordTable(describe)
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch]
-            names = np.full(len(texts), "und", object)
-            scores = np.zeros(len(texts))
-            for a, b in chunks(texts) if langs else ():
+            names, top, all_ = np.full(len(texts), None, object), np.zeros(len(texts)), np.zeros(len(texts))
+            for a, b in chunks(texts):
                 words, starts = words_of(texts[a:b])
                 total = sum_by(table.take(words), starts) if words else np.zeros((b - a, len(langs)))
                 total += prior
                 best = total.argmax(axis=1)
-                share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+                top[a:b] = total.max(axis=1)
+                all_[a:b] = top[a:b] + np.log(np.exp(total - top[a:b, None]).sum(axis=1))
                 for i in range(b - a):
                     if has_letter(texts[a + i]):
-                        names[a + i], scores[a + i] = langs[best[i]], share[i]
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+                        names[a + i] = langs[best[i]]
+            yield pd.DataFrame({"lang": names, "top": top, "total": all_})
+
+    return scored
+
 
-    return docs.withColumn(out, scored(F.col(text_col)))
+def predict(docs: DataFrame, model, text_col: str = "text", out: str = "lang_id") -> DataFrame:
+    """docs with a column struct<lang_pred string, score double>; no shuffle."""
+    und = F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    if not model:
+        return docs.withColumn(out, und)
+    names = [f"__tl_group{i}" for i in range(len(model))]
+    for name, group in zip(names, model, strict=True):
+        docs = docs.withColumn(name, _scorer(docs.sparkSession.sparkContext.broadcast(group))(F.col(text_col)))
+    # groups are in the order of languages, so of ties the first is taken
+    best = F.col(names[0])
+    for name in names[1:]:
+        best = F.when(F.col(name)["top"] > best["top"], F.col(name)).otherwise(best)
+    highest = F.greatest(*[F.col(n)["total"] for n in names]) if len(names) > 1 else F.col(names[0])["total"]
+    total = highest + F.log(sum((F.exp(F.col(n)["total"] - highest) for n in names[1:]), F.exp(F.col(names[0])["total"] - highest)))
+    found = F.struct(best["lang"].alias("lang_pred"), F.least(F.lit(1.0), F.exp(best["top"] - total)).alias("score"))
+    return docs.withColumn(out, F.when(best["lang"].isNull(), und).otherwise(found)).drop(*names)
 
 
 def language_id(docs: DataFrame) -> DataFrame:
