@@ -17,7 +17,7 @@ from ..session import cut as cut  # noqa: PLC0414  operators take it from here
 
 #: Characters of text that a Python worker holds as words at a time.
 CHUNK_CHARS = 1_500_000
-#: Bound of what a classifier's sample brings to the driver, at eight bytes each.
+#: Bound of what a classifier's sample brings to the driver, at eight bytes each; a parameter of the classifiers' fit().
 MOST_FEATURES = 30_000_000
 
 
@@ -207,22 +207,25 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.fromiter((digest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_label: int, id_col: str = "doc_id") -> DataFrame:
-    """(id, label) of at most `per_label` rows of `labels` for each label 0 and 1, by the order of a hash of the id.
+def labelled_sample(labels: DataFrame, label_col: str, per_label: int, kinds: tuple[int, ...] = (0, 1), id_col: str = "doc_id") -> DataFrame:
+    """(id, label) of at most `per_label` rows of `labels` for each label in `kinds`, by the order of a hash of the id.
 
     The bound is the caller's documented parameter; it holds for fitting a classifier only.
     """
     own = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_id is not null")
-    parts = [own.where(F.col("_label") == k).orderBy(F.xxhash64("_id"), "_id").limit(per_label) for k in (0, 1)]
-    return parts[0].unionByName(parts[1])
+    out = None
+    for k in kinds:
+        part = own.where(F.col("_label") == k).orderBy(F.xxhash64("_id"), "_id").limit(per_label)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-def sample_features(docs: DataFrame, sample: DataFrame, features, text_col: str = "text", id_col: str = "doc_id", most: int = 20_000):
+def sample_features(docs: DataFrame, sample: DataFrame, features, text_col: str = "text", id_col: str = "doc_id", most: int = 20_000, most_features: int = MOST_FEATURES):
     """The sample's documents as sparse rows: list of (label, buckets int32, counts float32), on the driver.
 
     `features(texts)` gives for each text its buckets and counts; it runs on the executors. The sample is
     bounded, so it is broadcast, and the documents are not shuffled. Rows come in the order of a hash, at most `most`
-    of them, and no more than hold MOST_FEATURES features together.
+    of them, and no more than hold `most_features` features together.
     """
 
     def rows(batches):
@@ -245,7 +248,7 @@ def sample_features(docs: DataFrame, sample: DataFrame, features, text_col: str
     total, last = 0, None
     for r in sizes:
         total += r["s"] // 4
-        if total > MOST_FEATURES and last is not None:
+        if total > most_features and last is not None:
             break
         last = r["_h"]
     got = found.where(F.col("_h") <= last).orderBy("_h").limit(most).collect() if last is not None else []

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, chunks, gram_hashes, held_out, labelled_sample, sample_features, sum_by, word_hashes, words_of
+from .common import MOST_FEATURES, WordTable, chunks, gram_hashes, held_out, labelled_sample, sample_features, sum_by, word_hashes, words_of
 
 ORDERS = (2, 3, 4)
 BITS = 17
@@ -81,9 +81,9 @@ def train(rows, epochs: int = 8, rate: float = 8.0, batch: int = 32, seed: int =
     return vectors, out, bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_label: int = PER_LABEL, id_col: str = "doc_id", text_col: str = "text"):
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_label: int = PER_LABEL, id_col: str = "doc_id", text_col: str = "text", most_features: int = MOST_FEATURES):
     """(a number for each bucket, bias): the two-class softmax as one difference of scores."""
-    rows = sample_features(docs, labelled_sample(docs, labels, label_col, per_label, id_col), _sparse, text_col, id_col)
+    rows = sample_features(docs, labelled_sample(labels, label_col, per_label, id_col=id_col), _sparse, text_col, id_col, most_features=most_features)
     known = [sum(r[0] == k for r in rows) for k in (0, 1)]
     if not all(known):
         return np.zeros(1 << BITS, np.float32), float(np.log(known[1] + 1) - np.log(known[0] + 1))
@@ -125,6 +125,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents with a score of `threshold` or more, with their own columns."""
+    """The documents with a score of `threshold` or more, with their own columns (any names, extra ones too).
+
+    Null and empty texts have the score of the bias alone; repeated rows are judged alike; without labels of both kinds all documents
+    have one score; an empty table gives no rows.
+    """
     scored = score(docs, fit(docs, labels.where(~held_out("doc_id", 3, 1))), out="__tl_quality_score")
     return scored.where(F.col("__tl_quality_score") >= threshold).select(*[scored[c] for c in docs.columns])

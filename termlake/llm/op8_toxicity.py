@@ -9,8 +9,9 @@ Grades. A label of 0 is grade 0. `labels` marks toxic rows only by 1, so their d
 themselves: the number of uses of terms that stand mostly in toxic training rows, cut at `GRADE_CUTS`. A label column
 with values above 1 is taken as grades as it is.
 
-Cases: null or empty text has no features and gets the cuts' own probabilities; without toxic training rows all
-documents get grade 0 with severity 0; repeated rows are scored alike.
+Cases: a negative label or one above MOST_GRADES raises an error, null labels are not read; null or empty text has no features and gets the cuts' own probabilities; without toxic training rows all
+documents get grade 0 with severity 0; repeated rows are scored alike; long texts are scored whole, a chunk of texts at a time; columns
+other than id and text are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, chunks, gram_hashes, labelled_sample, sample_features, sum_by, word_hashes, words_of
+from .common import MOST_FEATURES, WordTable, chunks, gram_hashes, labelled_sample, sample_features, sum_by, word_hashes, words_of
 
 ORDERS = (4, 5, 6)
 BITS = 18
 #: Bound of the training sample: rows of each label.
 PER_LABEL = 2000
+#: Highest grade that a label column may hold.
+MOST_GRADES = 16
 #: Grade 1 up to the first number of uses, 2 up to the second, else 3.
 GRADE_CUTS = (3, 8)
 LENGTH_POWER = 0.25
@@ -163,8 +166,14 @@ def probabilities(s: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([np.zeros((len(s), 1)), below, np.ones((len(s), 1))], 1), axis=1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_label: int = PER_LABEL, id_col: str = "doc_id", text_col: str = "text"):
-    return calibrated(sample_features(docs, labelled_sample(docs, labels, label_col, per_label, id_col), _sparse, text_col, id_col))
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_label: int = PER_LABEL, id_col: str = "doc_id", text_col: str = "text", most_features: int = MOST_FEATURES):
+    """(weights, cuts) from at most `per_label` rows of each grade that `labels` holds (0 to MOST_GRADES)."""
+    value = F.col(label_col).cast("int")
+    kinds = sorted(r[0] for r in labels.select(value.alias("k")).where("k is not null").distinct().limit(4 * MOST_GRADES).collect())
+    if kinds and not 0 <= kinds[0] <= kinds[-1] <= MOST_GRADES:
+        raise ValueError(f"grades are whole numbers from 0 to {MOST_GRADES}")
+    sample = labelled_sample(labels, label_col, per_label, tuple(kinds) or (0, 1), id_col)
+    return calibrated(sample_features(docs, sample, _sparse, text_col, id_col, most=per_label * max(2, len(kinds)), most_features=most_features))
 
 
 def grade(docs: DataFrame, model, text_col: str = "text", out: str = "toxicity") -> DataFrame:

@@ -108,6 +108,15 @@ def test_op1_against_plain_bayes(spark, docs):
     assert right / total > 0.95 and agree / len(rows) > 0.97
 
 
+def test_op1_groups_of_languages_give_the_same(spark, docs):
+    train = docs.where("doc_id % 3 > 0")
+    one, two = op1_langid.fit(train), op1_langid.fit(train, group_langs=1)
+    assert len(one) == 1 and len(two) == len(one[0][0]) > 1
+    a = {r.doc_id: r.lang_id for r in op1_langid.predict(docs, one).collect()}
+    for r in op1_langid.predict(docs, two).collect():
+        assert r.lang_id.lang_pred == a[r.doc_id].lang_pred and abs(r.lang_id.score - a[r.doc_id].score) < 1e-6
+
+
 def test_op1_hard_rows(hard, empty):
     got = by_id(op1_langid.language_id(hard))
     assert sum(map(len, got.values())) == len(HARD)
@@ -292,16 +301,52 @@ def test_op5_law_and_slots(spark, docs):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
-def test_op5_weights_move_rows_only_in_their_subtree(spark):
+def plain_descent(key, tree):
+    """Region, rack and shard by one weighted draw for each child, level by level."""
+    import xxhash
+
+    def least(level, weights):
+        def draw(name):
+            h = xxhash.xxh64_intdigest(f"{level}-{name}".encode(), xxhash.xxh64_intdigest(key.encode(), 42))
+            return -math.log(((h >> 12) + 0.5) / (1 << 52)) / weights[name]
+
+        return min((n for n in weights if weights[n] > 0), key=draw)
+
+    region = least("region", {r: sum(sum(s.values()) for s in racks.values()) for r, racks in tree.items()})
+    rack = least("rack", {k: sum(s.values()) for k, s in tree[region].items()})
+    return region, rack, least("shard", tree[region][rack])
+
+
+def test_op5_against_plain_descent(spark):
+    tree = op5_sharding.even_tree(11, 2, 3)
+    tree["region0"]["rack0"][1] = 0.0
+    tree["region1"]["rack2"][7] = 2.5
+    rows = spark.range(3000).withColumnRenamed("id", "k")
+    for t in (tree, op5_sharding.with_shard(tree, 11)):
+        for r in op5_sharding.assign(rows, "k", t).collect():
+            assert (r.place.region, r.place.rack, r.place.shard) == plain_descent(str(r.k), t)
+
+
+def test_op5_movement_stays_in_subtrees_whose_weights_change(spark):
     rows = spark.range(20_000).withColumnRenamed("id", "k")
     a = op5_sharding.even_tree(12, 2, 2)
     b = {r: {k: dict(s) for k, s in racks.items()} for r, racks in a.items()}
     b["region1"]["rack2"][5] = 3.0
-    both = op5_sharding.assign(op5_sharding.assign(rows, "k", a, "p"), "k", b, "q")
-    moved = both.where("p.shard != q.shard").select("q.shard").distinct().collect()
-    assert [r[0] for r in moved] == [5]
-    share = both.where("q.shard = 5").count() / 20_000
-    assert abs(share - 3 / 14) < 0.02
+    both = [(r.p, r.q) for r in op5_sharding.assign(op5_sharding.assign(rows, "k", a, "p"), "k", b, "q").collect()]
+    moved = [(p, q) for p, q in both if p.shard != q.shard]
+    regions = [(p, q) for p, q in moved if p.region != q.region]
+    racks = [(p, q) for p, q in moved if p.region == q.region and p.rack != q.rack]
+    shards = [(p, q) for p, q in moved if p.rack == q.rack]
+    # a level's moves go into the child whose weight grew, and what stays in other subtrees stays where it was
+    assert {q.region for _, q in regions} == {"region1"} and {q.rack for _, q in racks} == {"rack2"} and {q.shard for _, q in shards} == {5}
+    assert abs(len(regions) / 20_000 - (6 / 14 - 4 / 12)) < 0.02
+    assert abs(sum(q.shard == 5 for _, q in both) / 20_000 - 3 / 14) < 0.02
+
+
+def test_op5_repeated_rows_are_dealt_to_all_buckets(spark):
+    rows = spark.range(4000).select(F.lit(7).alias("doc_id"), F.lit("same").alias("text"), F.lit(1).alias("slot"))
+    got = op5_sharding.shard_documents(rows).collect()
+    assert len({r.shard for r in got}) == 1 and sorted(r.slot for r in got) == list(range(4000))
 
 
 def test_op5_hard_rows(hard, empty):
@@ -381,6 +426,19 @@ def test_op6_hard_rows(spark, hard, empty):
     assert kept.columns == hard.columns and kept.count() == len(HARD) - 3
 
 
+def test_op7_rounds_merge_runs_in_order(spark):
+    rows = spark.range(3000).select(F.col("id"), F.concat(F.lit("text "), (F.col("id") % 40).cast("string")).alias("text"))
+    many = rows.unionByName(spark.range(2000).select((F.col("id") + 3000).alias("id"), F.lit("hot  copy").alias("text")))
+    entries = op7_exact_dedup.cut(op7_exact_dedup.digests(many, 6, 3, "id"))
+    first, top = op7_exact_dedup.merge_tree(entries, 6, radix_bits=1)
+    got = {(r.best.id, r.n) for r in top.collect()}
+    assert got == {(i, 75) for i in range(40)} | {(3000, 2000)}
+    # in a partition of a run, entries come in the order of digests; a hot text has one entry for each task and run
+    parts = first.select(F.spark_partition_id().alias("p"), "run", "part", "digest").collect()
+    at = [(r.p, r.run, r.part, bytes(r.digest)) for r in parts]
+    assert at == sorted(at) and len({(r[1], r[2], r[0]) for r in at}) == len({(r[1], r[2]) for r in at})
+
+
 def test_op7_hard_rows(hard, empty):
     got = by_id(op7_exact_dedup.deduplicated(hard))
     assert sum(map(len, got.values())) == len(HARD)
@@ -406,6 +464,24 @@ def test_op8_learns(spark):
     assert np.mean(toxic) > 0.85 and np.mean(clean) < 0.03
 
 
+def test_op8_learns_grades_as_they_are(spark):
+    """Labels above 1 are grades; each has its own word, and documents not learned from get their grade."""
+    draw = np.random.default_rng(2)
+    plain = [f"word{i}" for i in range(60)]
+    strong = {1: ["mild", "silly"], 2: ["nasty", "rotten"], 3: ["vicious", "hateful"]}
+    rows = [(i, i % 4, " ".join([*draw.choice(plain, 30), *draw.choice(strong.get(i % 4, plain), 4 + 2 * (i % 4))])) for i in range(800)]
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, g) for i, g, _ in rows if i % 8 < 4], "doc_id bigint, toxic int")
+    model = op8_toxicity.fit(docs, labels)
+    assert len(model[1]) == 3
+    got = {r.doc_id: r.toxicity.severity for r in op8_toxicity.grade(docs, model).collect()}
+    right = [got[i] == g for i, g, _ in rows if i % 8 >= 4]
+    by_grade = [np.mean([got[i] for i, g, _ in rows if i % 8 >= 4 and g == k]) for k in range(4)]
+    assert np.mean(right) > 0.7 and by_grade == sorted(by_grade)
+    with pytest.raises(ValueError):
+        op8_toxicity.fit(docs, labels.withColumn("toxic", F.lit(99)))
+
+
 def test_op8_probabilities_and_gradient():
     cuts = np.array([-1.0, 0.5, 2.0])
     s = np.array([-3.0, 0.0, 0.7, 5.0])
@@ -425,6 +501,21 @@ def test_op8_hard_rows(hard, empty, labels):
     assert {(r.severity, round(r.expected_severity, 6), r.toxic) for r in calm} == {(0, 0.0, False)}
 
 
+def test_op9_encoder_gives_the_ids_of_tokenizers():
+    """Random Latin-1 texts, words of the vocabulary's own pieces, and what trips regular expressions."""
+    from tokenizers import Tokenizer
+
+    from termlake.llm.tokens import Encoder, default_tokenizer
+
+    own, encode = Tokenizer.from_file(default_tokenizer()), Encoder(default_tokenizer())
+    draw = np.random.default_rng(4)
+    pieces = ["'s", "'S", "'ll", "don't", "  ", " ", "\n", "\n\n", " \n ", "\t", "\r\n", "\x00", "\xad", "\xb2", "\xbc", "\xaa", "\xb5", "\xdf", "é", "12", "3", "_", "--", "...", "<|", "|>", "a", "Th", "ing", "\x85", "\xa0"]
+    texts = ["".join(map(chr, draw.integers(0, 256, n))) for n in draw.integers(1, 60, 1500)]
+    texts += ["".join(draw.choice(pieces, n)) for n in draw.integers(1, 40, 1500)] + ["a" * 399, "a" * 401, "=" * 1000, "a " * 500]
+    for t in texts:
+        assert np.frombuffer(encode(t), "<u4").tolist() == own.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def check_packing(rows, texts):
     """Pieces give back each document's ids, sequences hold together."""
     from tokenizers import Tokenizer
