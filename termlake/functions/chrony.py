@@ -53,18 +53,23 @@ def chrony_float(bits: Column) -> Column:
     return coef.cast("double") * F.pow(F.lit(2.0), exp.cast("double"))
 
 
-def _ip(digits: Column, at: int) -> Column:
-    """Address text in its usual short form."""
-    v4 = F.concat_ws(".", *[_number(digits, at + i, 1).cast("string") for i in range(4)])
-    group = [F.lower(F.regexp_replace(_slice(digits, at + 2 * i, 2), "^0{1,3}", "")) for i in range(8)]
-    full = F.concat(F.lit(":"), F.concat_ws(":", *group), F.lit(":"))
-    out = full
-    for n in range(2, 9):  # the longest run of zero groups, tried last, wins
+def _shortened(full: Column) -> Column:
+    """Eight groups between colons with the first of the longest runs of zero groups left out."""
+    out = None
+    for n in range(8, 1, -1):
         zeros = ":0" * n + ":"
         place = F.instr(full, zeros)
         short = F.concat(F.substring(full, F.lit(1), place - 1), F.lit("::"), F.substring(full, place + len(zeros), F.lit(99)))
-        out = F.when(place > 0, short).otherwise(out)
-    v6 = F.regexp_replace(out, "^:(?!:)|(?<!:):$", "")
+        out = F.when(place > 0, short) if out is None else out.when(place > 0, short)
+    return F.regexp_replace(out.otherwise(full), "^:(?!:)|(?<!:):$", "")
+
+
+def _ip(digits: Column, at: int) -> Column:
+    """Address text in its usual short form. The text is bound once: the short forms name it many times."""
+    v4 = F.concat_ws(".", *[_number(digits, at + i, 1).cast("string") for i in range(4)])
+    groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.lower(F.regexp_replace(F.substring(digits, i * 4 + 2 * at + 1, F.lit(4)), "^0{1,3}", "")))
+    full = F.concat(F.lit(":"), F.array_join(groups, ":"), F.lit(":"))
+    v6 = F.transform(F.array(full), _shortened)[0]
     return F.when(_number(digits, at + 16, 2) == 1, v4).otherwise(v6)
 
 
@@ -179,3 +184,36 @@ def request(command: str, sequence: int = 1, index: int | None = None, address:
         body = ip_bytes(address or "::") + struct.pack(">i", 0)
     padding = REQUEST_DATA - {"sourcedata": 4, "sourcestats": 4, "ntpdata": 16}.get(command, 0)
     return struct.pack(">BBBBHHIII", VERSION, 1, 0, 0, COMMANDS[command], 0, sequence, 0, 0) + body + bytes(padding)
+
+
+def request_bytes(command: str, sequence: Column, index: Column | None = None) -> Column:
+    """BINARY request packets of one kind, for columns of sequence numbers and source indexes (sourcedata and sourcestats)."""
+    plain = request(command)
+    first = F.lit(plain[:8].hex())
+    number = F.lpad(F.hex(sequence.cast("bigint")), 8, "0")
+    rest = plain[12:].hex()
+    if index is None or command not in ("sourcedata", "sourcestats"):
+        return F.unhex(F.concat(first, number, F.lit(rest)))
+    return F.unhex(F.concat(first, number, F.lit(rest[:16]), F.lpad(F.hex(index.cast("bigint")), 8, "0"), F.lit(rest[24:])))
+
+
+#: Fixed values, in nanoseconds: half of a channel's margin, that an estimated error may reach; drift between clocks that is an error.
+MOST_ERROR_NS, MOST_DRIFT_NS = 4_100_000, 1_000_000
+
+
+def clock_problems(tracking: DataFrame, stats: DataFrame, drift_ns: Column | int = 0) -> DataFrame:
+    """ref_id, ip, error_ns, problem for each tracking reply: what is wrong with the clock, null where all is well.
+
+    `tracking` and `stats` are decoded replies; the source of a tracking reply is the one of its reference id. `drift_ns` is how far the
+    wall clock lies from the monotonic one. An error over half a margin comes before a drift; the newest statistics (by sequence) count.
+    """
+    newest = stats.groupBy("ref_id").agg(F.max_by(F.struct("ip", "estimated_offset_err"), "sequence").alias("s"))
+    drift = F.lit(drift_ns) if isinstance(drift_ns, int) else drift_ns
+    rows = tracking.select("ref_id", drift.alias("_drift")).join(newest, "ref_id", "left")
+    error = F.floor(F.col("s.estimated_offset_err") * 1e9).cast("bigint")
+    problem = (
+        F.when(F.col("s").isNull(), F.lit("no statistics of the source"))
+        .when(error > MOST_ERROR_NS, F.lit("estimated error too large"))
+        .when(F.abs("_drift") >= MOST_DRIFT_NS, F.lit("wall clock and monotonic clock differ"))
+    )
+    return rows.select("ref_id", F.col("s.ip").alias("ip"), error.alias("error_ns"), problem.alias("problem"))

@@ -121,3 +121,8 @@ def key_hash(key: Column) -> Column:
     digits = F.hex(key)
     half = [F.conv(F.concat(*[F.substring(digits, off + 15 - 2 * i, 2) for i in range(8)]), 16, -10).cast("bigint") for off in (0, 16)]
     return pair_hash(*half)
+
+
+def row_hash(index: Column, h: Column) -> Column:
+    """32 bits: a row's index above the low 17 bits of a hash."""
+    return F.shiftleft(index.cast("bigint"), 17).bitwiseOR(h.cast("bigint").bitwiseAND(0x1FFFF)).bitwiseAND(M32)

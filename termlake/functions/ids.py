@@ -94,12 +94,22 @@ def future_stamp(block: Column, channel: Column, counter: Column, late: Column |
 def assign_futures(df: DataFrame, ns: str, channel: str, order: list[str], out: str = "future") -> DataFrame:
     """df with a unique stamp for each event, in the block after its time; events of a channel and block are numbered in `order`.
 
-    Events beyond what a block holds move to later blocks.
+    The lower half of a channel's part of a block holds the first PER_BLOCK events. Those beyond wait in the channel's line for the
+    upper halves of the blocks behind, first come first served: whatever the overflow of a block and its neighbours, no two events meet.
     """
     own = Window.partitionBy("_block", channel).orderBy(*order)
     numbered = df.withColumn("_block", _div(F.col(ns), BLOCK_NS) + 1).withColumn("_n", F.row_number().over(own) - 1)
-    stamp = future_stamp(F.col("_block") + _div(F.col("_n"), PER_BLOCK), F.col(channel), F.col("_n") % PER_BLOCK, F.col("_n") >= PER_BLOCK)
-    return numbered.withColumn(out, stamp).drop("_block", "_n")
+    # a row for each block that overflows: how many wait, and at which place of the line (block x PER_BLOCK) the first of them is served
+    waiting = numbered.groupBy(F.col("_block").alias("_b"), F.col(channel).alias("_c")).agg((F.count("*") - PER_BLOCK).alias("_w")).where("_w > 0")
+    line = Window.partitionBy("_c").orderBy("_b")
+    before = F.sum("_w").over(line) - F.col("_w")
+    waiting = waiting.withColumn("_before", before).withColumn("_idle", F.max((F.col("_b") + 1) * PER_BLOCK - F.col("_before")).over(line))
+    waiting = waiting.select("_b", "_c", (F.col("_before") + F.col("_idle")).alias("_first"))
+    joined = numbered.join(waiting, (F.col("_block") == F.col("_b")) & (F.col(channel) == F.col("_c")), "left")
+    late = F.col("_n") >= PER_BLOCK
+    place = F.when(late, F.col("_first") + F.col("_n") - PER_BLOCK).otherwise(F.col("_block") * PER_BLOCK + F.col("_n"))
+    stamp = future_stamp(_div(place, PER_BLOCK), F.col(channel), place % PER_BLOCK, late)
+    return joined.withColumn(out, stamp).drop("_block", "_n", "_b", "_c", "_first")
 
 
 def future_channel(stamp: Column) -> Column:
@@ -118,36 +128,36 @@ def with_cookie(stamp: Column, cookie: Column) -> Column:
     return _div(stamp, BLOCK_NS) * BLOCK_NS + (BLOCK_NS - 1) - cookie
 
 
-def rule_table() -> bytes:
-    """A permutation of all bytes by rule (an affine map of the inverse in GF(2**8)), for when no table is given."""
-    out = []
-    for x in range(256):
-        inverse = next((y for y in range(256) if _gf(x, y) == 1), 0)
-        out.append(inverse ^ 0x63)
-    return bytes(out)
-
-
-def _gf(a: int, b: int) -> int:
-    out = 0
-    while b:
-        out ^= a if b & 1 else 0
-        a = (a << 1) ^ (0x11B if a & 0x80 else 0)
-        b >>= 1
-    return out
-
-
-def skip32(key: bytes, decrypt: bool = False, table: bytes | None = None) -> Callable[[Column], Column]:
+# The F-table of the published SKIPJACK algorithm, a permutation of all bytes in order.
+F_TABLE = bytes.fromhex("""
+    a3 d7 09 83 f8 48 f6 f4 b3 21 15 78 99 b1 af f9
+    e7 2d 4d 8a ce 4c ca 2e 52 95 d9 1e 4e 38 44 28
+    0a df 02 a0 17 f1 60 68 12 b7 7a c3 e9 fa 3d 53
+    96 84 6b ba f2 63 9a 19 7c ae e5 f5 f7 16 6a a2
+    39 b6 7b 0f c1 93 81 1b ee b4 1a ea d0 91 2f b8
+    55 b9 da 85 3f 41 bf e0 5a 58 80 5f 66 0b d8 90
+    35 d5 c0 a7 33 06 65 69 45 00 94 56 6d 98 9b 76
+    97 fc b2 c2 b0 fe db 20 e1 eb d6 e4 dd 47 4a 1d
+    42 ed 9e 6e 49 3c cd 43 27 d2 07 d4 de c7 67 18
+    89 cb 30 1f 8d c6 8f aa c8 74 dc c9 5d 5c 31 a4
+    70 88 61 2c 9f 0d 2b 87 50 82 54 64 26 7d 03 40
+    34 4b 1c 73 d1 c4 fd 3b cc fb 7f ab e6 3e 5b a5
+    ad 04 23 9c 14 51 22 f0 29 79 71 7e ff 8c 0e e2
+    0c ef bc 72 75 6f 37 a1 ec d3 8e 62 8b 86 10 e8
+    08 77 11 be 92 4f 24 c5 32 36 9d cf f3 a6 bb ac
+    5e 6c a9 13 57 25 b5 e3 bd a8 3a 01 05 59 2a 46
+""")
+
+
+def skip32(key: bytes, decrypt: bool = False, table: bytes = F_TABLE) -> Callable[[Column], Column]:
     """A 24-round Feistel cipher on 32-bit numbers in built-in functions.
 
-    `key` counts with its first 10 bytes, filled up with zeros. `table` is the round function's byte table: give the 256
-    published bytes of the Skipjack F-table for the standard cipher; without it a table made by rule is taken, which
-    enciphers as well but to other numbers.
+    `key` counts with its first 10 bytes, filled up with zeros. `table` is the round function's byte table.
     """
     key = key[:10].ljust(10, b"\0")
-    entries = table or rule_table()
-    if len(entries) != 256:
+    if len(table) != 256:
         raise ValueError("the byte table has 256 entries")
-    lookup, keys = F.array(*[F.lit(int(b)) for b in entries]), F.array(*[F.lit(int(b)) for b in key])
+    lookup, keys = F.array(*[F.lit(int(b)) for b in table]), F.array(*[F.lit(int(b)) for b in key])
 
     def g(k: Column, w: Column) -> Column:
         high, low = F.shiftright(w, 8).bitwiseAND(0xFF), w.bitwiseAND(0xFF)
@@ -168,3 +178,21 @@ def skip32(key: bytes, decrypt: bool = False, table: bytes | None = None) -> Cal
         return F.aggregate(rounds, halves, one_round, lambda s: F.shiftleft(s["b"].cast("bigint"), 16).bitwiseOR(s["a"].cast("bigint")))
 
     return cipher
+
+
+def skip32_bytes(key: bytes, decrypt: bool = False) -> Callable[[Column], Column]:
+    """The same on BINARY of four bytes, the least byte first; null for any other length."""
+    cipher = skip32(key, decrypt)
+
+    def turned(raw: Column) -> Column:
+        digits = F.hex(raw)
+        return F.concat(*[F.substring(digits, 7 - 2 * i, 2) for i in range(4)])
+
+    def run(raw: Column) -> Column:
+        number = cipher(F.conv(turned(raw), 16, 10).cast("bigint"))
+        return F.when(F.octet_length(raw) == 4, turned_back(number))
+
+    def turned_back(number: Column) -> Column:
+        return F.unhex(turned(F.unhex(F.lpad(F.hex(number), 8, "0"))))
+
+    return run

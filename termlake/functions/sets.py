@@ -75,3 +75,34 @@ def show_map(m: Column) -> Column:
     """Text {k: v, ...} in order of keys."""
     entries = F.array_sort(F.map_entries(m))
     return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(e["key"].cast("string"), F.lit(": "), e["value"].cast("string"))), ", "), F.lit("}"))
+
+
+def new_map(keys: Column, values: Column) -> Column:
+    """A map of arrays of keys and values; of equal keys the last value counts."""
+    entries = F.arrays_zip(keys.alias("k"), values.alias("v"))
+    empty = F.map_from_arrays(F.slice(keys, 1, 0), F.slice(values, 1, 0))
+    return F.aggregate(entries, empty, lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["k"]), F.map_from_arrays(F.array(e["k"]), F.array(e["v"]))))
+
+
+def clear(m: Column) -> Column:
+    return F.map_filter(m, lambda k, v: F.lit(False))
+
+
+def map_keys(m: Column) -> Column:
+    """Keys in rising order."""
+    return F.array_sort(F.map_keys(m))
+
+
+def map_values(m: Column) -> Column:
+    """Values in the order of their keys."""
+    return F.transform(F.array_sort(F.map_entries(m)), lambda e: e["value"])
+
+
+def first_entry(m: Column) -> Column:
+    """struct<key, value> of the least key; null for an empty map."""
+    return F.try_element_at(F.array_sort(F.map_entries(m)), F.lit(1))
+
+
+def next_entry(m: Column, key: Column) -> Column:
+    """struct<key, value> of the least key above the given one; null behind the last."""
+    return F.try_element_at(F.filter(F.array_sort(F.map_entries(m)), lambda e: e["key"] > key), F.lit(1))

@@ -61,6 +61,30 @@ def show_token(t: Column) -> Column:
     return F.when(t["name"] == t["raw"], F.concat(t["name"], freq)).otherwise(F.concat(F.lit("<"), t["name"], F.lit(","), t["raw"], F.lit(">"), freq))
 
 
+def show_tokens(tokens: Column) -> Column:
+    """A line for each token of a map in the order of names: show_token() and the token's code points in hexadecimal."""
+    entries = F.array_sort(F.map_entries(tokens))
+    return F.array_join(F.transform(entries, lambda e: F.concat(show_token(e["value"]), F.lit(" "), F.lower(F.hex(F.encode(e["key"], "UTF-32"))))), "\n")
+
+
+def code_points(text: Column) -> Column:
+    """Characters of a line of code points ("U+1F468 U+200D ..." or "1F468 200D"); null where one is none."""
+    parts = F.filter(F.split(F.trim(text), "\\s+"), lambda x: x != "")
+    digits = F.transform(parts, lambda x: F.regexp_replace(x, "^[Uu]\\+", ""))
+    good = F.forall(digits, lambda x: x.rlike("^[0-9A-Fa-f]{1,6}$"))
+    return F.when(good, F.decode(F.unhex(F.array_join(F.transform(digits, lambda x: F.lpad(x, 8, "0")), "")), "UTF-32"))
+
+
+def emoji_dictionary(spark, path: str, column: str = "value") -> list[str]:
+    """Emoji sequences, longest first, of a text file with a line of code points for each; lines that are none are left out.
+
+    What it returns is the tokenizer's `emoji`. The file is the caller's, for one of Unicode's releases (some thousand lines).
+    """
+    line = F.trim(F.regexp_replace(F.col(column), "[;#\\t].*$", ""))
+    rows = spark.read.text(path).select(code_points(line).alias("e")).where("e is not null and e <> ''").distinct()
+    return [r["e"] for r in rows.orderBy(F.desc(F.length("e")), "e").collect()]
+
+
 def remove_accents(text: str) -> str:
     if text.isascii():
         return text

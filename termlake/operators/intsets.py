@@ -116,8 +116,14 @@ def rank(s: DataFrame, value: int) -> DataFrame:
 
 
 def select(s: DataFrame, i: int) -> DataFrame:
-    """The i-th least x, from 0; no row beyond the last."""
-    return dense_number(_x(s), ["x"], "k").where(F.col("k") == i).select("x")
+    """The i-th least x, from 0; no row beyond the last. Chunks of 2**16 are counted, and only the one that holds it is sorted."""
+    own = _x(s)
+    chunk = F.shiftright(F.col("x"), 16)
+    counts = own.groupBy(chunk.alias("_c")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_c")) - F.col("_n")  # one row for each chunk
+    hit = counts.withColumn("_before", before).where((F.col("_before") <= i) & (F.col("_before") + F.col("_n") > i))
+    place = F.row_number().over(Window.partitionBy("_c").orderBy("x")) - 1 + F.col("_before")
+    return own.join(F.broadcast(hit), chunk == F.col("_c")).withColumn("_k", place).where(F.col("_k") == i).select("x")
 
 
 def intersects_interval(sets: DataFrame, low: int, high: int, by: str = "set_id") -> DataFrame:
@@ -131,14 +137,14 @@ def intersects(a: DataFrame, b: DataFrame) -> bool:
 
 
 def equals(sets: DataFrame, by: str = "set_id") -> DataFrame:
-    """(a, b, equal) for each pair of sets, by size and an order-free checksum of two hashes.
+    """For each set the least name of a set equal to it (`same_as`): two sets are equal where these are. Sets are grouped, not paired.
 
-    Sets of many rows are not compared row by row; two that differ have equal sums with probability about 2**-128.
+    Sets are told apart by size and an order-free checksum of two hashes, not row by row; two that differ have equal sums with
+    probability about 2**-128.
     """
     sums = sets.select(by, "x").distinct().groupBy(by).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("x")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "x")).alias("h2"))
-    a, b = sums.select(*[F.col(c).alias(f"{c}_a") for c in sums.columns]), sums.select(*[F.col(c).alias(f"{c}_b") for c in sums.columns])
-    pairs = a.join(b, F.col(f"{by}_a") < F.col(f"{by}_b"))
-    return pairs.select(F.col(f"{by}_a").alias("a"), F.col(f"{by}_b").alias("b"), ((F.col("n_a") == F.col("n_b")) & (F.col("h1_a") == F.col("h1_b")) & (F.col("h2_a") == F.col("h2_b"))).alias("equal"))
+    kinds = sums.groupBy("n", "h1", "h2").agg(F.min(by).alias("same_as"))
+    return sums.join(kinds, ["n", "h1", "h2"]).select(by, "same_as")
 
 
 def runs(s: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -229,3 +235,36 @@ def checksum(s: DataFrame) -> DataFrame:
     """One row that is alike for alike sets, however they are stored: size and two order-free sums of hashes."""
     d = _x(s).distinct()
     return d.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("x")), F.lit(0)).alias("h1"), F.coalesce(F.bit_xor(F.xxhash64(F.lit(1), "x")), F.lit(0)).alias("h2"))
+
+
+def is_empty(s: DataFrame) -> DataFrame:
+    """One row: whether the set has no members; a single one is looked for."""
+    return _x(s).limit(1).agg((F.count("*") == 0).alias("is_empty"))
+
+
+def peek(s: DataFrame, least: int | None = None) -> DataFrame:
+    """One row: the member that ascending() would give next, without giving it; null at the end."""
+    own = _x(s) if least is None else _x(s).where(F.col("x") >= least)
+    return own.agg(F.min("x").alias("x"))
+
+
+def cleared(s: DataFrame) -> DataFrame:
+    """The empty set."""
+    return _x(s).limit(0)
+
+
+def memory_size(s: DataFrame) -> DataFrame:
+    """One row: about how many bytes the set takes in memory, its containers being the smallest."""
+    held = F.when(F.col("kind") == "run", 4 * F.col("n_runs") + 24).otherwise(F.col("bytes"))
+    return containers(s).agg((F.coalesce(F.sum(held + 2), F.lit(0)) + 8).cast("bigint").alias("size"))
+
+
+def frozen_size(s: DataFrame) -> DataFrame:
+    """One row: bytes of the frozen form, its containers being the smallest."""
+    held = F.when(F.col("kind") == "run", 4 * F.col("n_runs")).otherwise(F.col("bytes"))
+    return containers(s).agg((F.coalesce(F.sum(held + 5), F.lit(0)) + 4).cast("bigint").alias("size"))
+
+
+def has_runs(s: DataFrame) -> DataFrame:
+    """One row: whether any of the smallest containers is one of runs."""
+    return containers(s).agg(F.coalesce(F.bool_or(F.col("kind") == "run"), F.lit(False)).alias("has_runs"))

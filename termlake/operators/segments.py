@@ -147,3 +147,58 @@ def report(df: DataFrame, by: str = "segment", terms: str = "terms") -> DataFram
     rows = df.groupBy(by).agg(F.count("*").alias("rows"), F.count_distinct("slot").alias("slots"), F.sum(F.size(terms)).alias("terms"))
     kinds = df.select(by, F.explode(terms).alias("t")).groupBy(by).agg(F.approx_count_distinct("t", 0.02).alias("about_distinct"))
     return rows.join(kinds, by, "left")
+
+
+class Directory:
+    """The segments of a table at `path`, of which the newest `most` are kept, with `switch_rows` rows each."""
+
+    def __init__(self, spark: SparkSession, path: str, switch_rows: int = CAPACITY, most: int | None = None):
+        if not 0 < switch_rows <= CAPACITY:
+            raise ValueError(f"a segment has 1 to {CAPACITY} rows")
+        self.spark, self.path, self.switch_rows, self.most = spark, path, switch_rows, most
+
+    def list_starts(self) -> list[int]:
+        return list_starts(self.spark, self.path)
+
+    def rows(self, schema: str = "local_id INT, key BINARY, terms ARRAY<BIGINT>, seg_start BIGINT") -> DataFrame:
+        return read(self.spark, self.path, schema)
+
+    def current(self) -> DataFrame:
+        """Rows of the newest segment: the filter names a partition, so no other is read."""
+        return self.rows().where(F.col("seg_start") == (self.list_starts() or [-1])[-1])
+
+    def reload(self) -> list[int]:
+        """Starts of the segments after the oldest beyond `most` were deleted; a folder that is no segment's raises and nothing is deleted."""
+        jvm = self.spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+        names = [n for n in names if not n.startswith(("_", ".")) and not n.endswith(".bak")]
+        for n in names:
+            if not n.startswith("seg_start=") or not n.partition("=")[2].isdigit():
+                raise ValueError(f"{n} is no segment")
+        starts = sorted(int(n.partition("=")[2]) for n in names)
+        for old in starts[: max(0, len(starts) - self.most)] if self.most is not None else ():
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/seg_start={old}"), True)
+        self.spark.catalog.refreshByPath(self.path)
+        return self.list_starts()
+
+    def walk_rows(self, start: int | None = None, desc: bool = True, limit: int | None = None) -> DataFrame:
+        """Rows of the segments from `start` on (None: from the end), of `limit` segments at most: only their partitions are read."""
+        own = self.list_starts()
+        own = [s for s in (reversed(own) if desc else own) if start is None or (s <= start if desc else s >= start)][:limit]
+        return self.rows().where(F.col("seg_start").isin(own) if own else F.lit(False))
+
+    def walk_many(self, starts: dict[str, int], limit: int, desc: bool = True) -> DataFrame:
+        """walk_rows() from several starts in one scan: rows with `walk`, the name of the walk that they belong to."""
+        own, pairs = self.list_starts(), []
+        for name, start in starts.items():
+            pairs += [(name, s) for s in [s for s in (reversed(own) if desc else own) if (s <= start if desc else s >= start)][:limit]]
+        named = self.spark.createDataFrame(pairs, "walk string, _start bigint")  # a row for each walk and segment
+        wanted = sorted({s for _, s in pairs})
+        rows = self.rows().where(F.col("seg_start").isin(wanted) if wanted else F.lit(False))
+        return rows.join(F.broadcast(named), F.col("seg_start") == F.col("_start")).drop("_start")
+
+    def __str__(self) -> str:
+        own = self.list_starts()
+        return f"{len(own)} segments from {own[0] if own else '-'} to {own[-1] if own else '-'}, {self.switch_rows} rows each, newest {self.most or 'all'} kept"

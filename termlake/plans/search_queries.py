@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text
@@ -50,7 +49,7 @@ def search_combined(spark, d):
 def search_major_threshold_small(spark, d):
     docs, parts = _docs(spark, d), []
     for n in (2, 3, 4):
-        parts.append(search.search(docs, TermQuery(major=FIVE[:n]), ["doc_id"], limit=20).select(F.lit(n).alias("n_terms"), "doc_id", "score"))
+        parts.append(search.search(docs, TermQuery(major=FIVE[:n]), ["doc_id"], limit=None).select(F.lit(n).alias("n_terms"), "doc_id", "score"))
     return parts[0].union(parts[1]).union(parts[2])
 
 
@@ -162,9 +161,7 @@ def segment_rough_size(spark, d):
 
 
 def newest_per_source(spark, d):
-    w = Window.partitionBy("source")
-    rows = _table(spark, d, "documents").select("source", "doc_id", F.max("doc_id").over(w).alias("last_id"), F.count("*").over(w).alias("rows"))
-    return rows.where("doc_id = last_id").select("source", "last_id", "rows")
+    return _table(spark, d, "documents").groupBy("source").agg(F.max("doc_id").alias("last_id"), F.count("*").alias("rows"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -182,7 +179,7 @@ ORACLE_SQL = {
     "search_exact_all": f"with {_T} select doc_id, 0 as score from t where {_sql_has('the', 'of', 'with')} = 3 order by doc_id desc limit 20",
     "search_oneof_any": f"with {_T} select doc_id, 0 as score from t where {_sql_has('und', 'les')} >= 1",
     "search_combined": _COMBINED_SQL,
-    "search_major_threshold_small": " union all ".join(f"(with {_T} select {n} as n_terms, doc_id, {_sql_has(*FIVE[:n])} as score from t where {_sql_has(*FIVE[:n])} >= {need} order by doc_id desc limit 20)" for n, need in ((2, 2), (3, 2), (4, 3))),
+    "search_major_threshold_small": " union all ".join(f"(with {_T} select {n} as n_terms, doc_id, {_sql_has(*FIVE[:n])} as score from t where {_sql_has(*FIVE[:n])} >= {need})" for n, need in ((2, 2), (3, 2), (4, 3))),
     "search_asc_from_id": _major(FIVE, 4, "and doc_id >= 100 order by doc_id limit 15"),
     "search_desc_before_id": _major(FIVE, 4, "and doc_id <= 150 order by doc_id desc limit 15"),
     "search_by_score": _major(FIVE, 4, "order by score desc, doc_id desc limit 25"),

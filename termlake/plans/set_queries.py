@@ -93,11 +93,11 @@ def set_checked_remove(spark, d):
 
 
 def set_seek(spark, d):
-    return intsets.ascending(_flag(spark, d, "A"), 150).limit(30)
+    return intsets.ascending(_flag(spark, d, "A"), 150)
 
 
 def set_reverse(spark, d):
-    return intsets.descending(_flag(spark, d, "A"), 180).limit(30)
+    return intsets.descending(_flag(spark, d, "A"), 180)
 
 
 def set_high_bits(spark, d):
@@ -114,7 +114,9 @@ def set_intersects_interval(spark, d):
 
 
 def set_equals(spark, d):
-    return intsets.equals(_by_flag(spark, d))
+    """Sets by flag and a copy of each under another name."""
+    own = _by_flag(spark, d)
+    return intsets.equals(own.unionByName(own.select(F.concat(F.col("set_id"), F.lit("2")).alias("set_id"), "x")))
 
 
 def set_containers(spark, d):
@@ -283,7 +285,7 @@ def key_pack_unpack(spark, d):
 def key_order(spark, d):
     k = keys.uint64_key(F.col("o_orderkey") - 700)  # negative numbers are the greatest, as unsigned ones
     rows = _table(spark, d, "orders").select("o_orderkey", k.alias("k"))
-    return rows.orderBy("k").limit(40).select("o_orderkey", keys.hex_key(F.col("k")).alias("key_hex"))
+    return rows.orderBy("k").select("o_orderkey", keys.hex_key(F.col("k")).alias("key_hex"))
 
 
 def hash_pair(spark, d):
@@ -379,11 +381,11 @@ ORACLE_SQL = {
     "set_checked_add": f"select x from {_R} except select x from {_A}",
     "set_checked_remove": f"select x from {_A} intersect select x from {_R}",
     "set_intersects_interval": "select o_custkey as set_id, bool_or(o_orderkey >= 1000 and o_orderkey < 2000) as hit from orders group by 1",
-    "set_seek": f"select x from {_A} where x >= 150 order by x limit 30",
-    "set_reverse": f"select x from {_A} where x <= 180 order by x desc limit 30",
+    "set_seek": f"select x from {_A} where x >= 150 order by x",
+    "set_reverse": f"select x from {_A} where x <= 180 order by x desc",
     "set_high_bits": f"select x + 30064771072 as x from {_A}",
     "set_contains": f"select x, x in (select x from {_A}) as found from {_R}",
-    "set_equals": f"with s as (select set_id, list(x order by x) as xs from {_FLAGS} group by set_id) select a.set_id as a, b.set_id as b, a.xs = b.xs as equal from s a join s b on a.set_id < b.set_id",
+    "set_equals": f"with f as (select * from {_FLAGS} union all select set_id || '2', x from {_FLAGS}), s as (select set_id, list(x order by x) as xs from f group by set_id) select set_id, min(set_id) over (partition by xs) as same_as from s",
     "set_containers": f"{_CHUNKS} select chunk, cardinality, n_runs, case when rb <= pb then 'run' when cardinality <= 4096 then 'array' else 'bitmap' end as kind, least(rb, pb) as bytes from k",
     "set_serialized_size": f"{_CHUNKS} select (sum(least(rb, pb)) + case when not bool_or(rb <= pb) then 8 + 8 * count(*) when count(*) < 4 then 4 + (count(*) + 7) // 8 + 4 * count(*) else 4 + (count(*) + 7) // 8 + 8 * count(*) end)::bigint as size from k",
     "set_size_bound": f"with s as (select set_id, count(*) as n, max(x) + 1 as u from {_FLAGS} group by set_id), h as (select *, least((u + 65535) // 65536, n) as c from s) select set_id, (8 * c + 4 + greatest(4, (c + 7) // 8) + least(2 * n, c * 8192))::bigint as bound from h",
@@ -421,7 +423,7 @@ ORACLE_SQL = {
         select count(*) as n, count(distinct f) as n_distinct, min(f) as least, max(f) as greatest from f""",
     "group_commit_batches": "select epoch_us(ts) // 3600000000 as batch, count(*) as rows from events group by 1",
     "key_pack_unpack": f"select o_orderkey, {_KEY.format('o_orderkey')} as key_hex, o_custkey as high, o_orderkey as low, {_KEY.format('o_orderkey + 1')} as next_hex from orders",
-    "key_order": "select o_orderkey, lpad(lower(to_hex(o_orderkey - 700)), 32, '0') as key_hex from orders order by (case when o_orderkey < 700 then 1 else 0 end), o_orderkey limit 40",
+    "key_order": "select o_orderkey, lpad(lower(to_hex(o_orderkey - 700)), 32, '0') as key_hex from orders order by (case when o_orderkey < 700 then 1 else 0 end), o_orderkey",
     "hash_pair": f"with h as (select o_orderkey, {_PAIR.format(a='o_custkey::hugeint', b='o_orderkey::hugeint')} as h from orders) select o_orderkey, {_SIGNED} as h from h",
     "hash_key": f"""
         with s as (select o_orderkey, {_SWAP.format('o_custkey')} as a, {_SWAP.format('o_orderkey')} as b from orders),

@@ -18,14 +18,19 @@ def session(name: str = "termlake", **conf: str) -> SparkSession:
     return builder.config(map=base | conf).getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the cluster's checkpoint folder and read from there: lineage ends, and a lost executor loses nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate tables go: the folder in spark.checkpoint.dir; only in local mode, where all share one disk, one of the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+
 
-    The folder is the one in spark.checkpoint.dir; only where that is unset a folder of the warehouse, which executors share too.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the cluster's checkpoint folder (`shared_folder`) and read from there: lineage ends, and a lost executor loses nothing."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()

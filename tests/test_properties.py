@@ -72,7 +72,7 @@ def test_skip32_with_a_given_table_and_key_padding(spark):
     x = spark.range(1000).select((F.col("id") * 4294967).alias("x"))
     enc, dec = ids.skip32(b"k", table=table), ids.skip32(b"k", decrypt=True, table=table)
     assert x.withColumn("y", enc(F.col("x"))).where((dec(F.col("y")) != F.col("x")) | (F.col("y") < 0) | (F.col("y") >= 1 << 32)).count() == 0
-    assert sorted(ids.rule_table()) == list(range(256))
+    assert sorted(ids.F_TABLE) == list(range(256))
 
 
 def test_cookie_round_trip_and_plain_stamps_have_none(spark):
