@@ -1,8 +1,9 @@
-"""A small causal self-attention model over token classes, trained and run in numpy.
+"""A small causal self-attention model over subword ids, trained and run in numpy.
 
-One head reads a window of `WINDOW` tokens; its output, added to the token's own vector, corrects the logits of a fixed
-bigram table. A class is a frequent token or a band of rarer ones with like counts; which token of a band it is depends on
-the class before, by corpus counts.
+One head reads a window of `WINDOW` ids. An id's vector is that of its class and one of its own; scores depend on queries, keys and
+the distance. What comes out, added to the id's own vector, corrects the logits of a fixed bigram table. The next id is told in three
+steps: a group of classes, a class of that group (a softmax of `BRANCH` each, so no step looks at all classes), then which id of
+the class, by corpus counts behind the class before. A class is a frequent id or a band of rarer ones with like counts.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import numpy as np
 WINDOW, FRESH, DIM = 32, 24, 24
 SINGLES, BANDS = 224, 32
 CLASSES = SINGLES + BANDS
+#: Classes of a group, and groups.
+BRANCH = 16
 #: Class of the place before a text.
 START = CLASSES
 
@@ -36,7 +39,7 @@ def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     kind: np.ndarray  # class of each id
     share: np.ndarray  # log of each id's share of its class
-    bigram: np.ndarray  # log-probability of a class behind a class
+    priors: tuple[np.ndarray, np.ndarray]  # log-probabilities of a group, and of a class in its group, behind a class
     place: np.ndarray  # of each id in the columns of `after`
     after: np.ndarray  # log-probability of an id in its class behind a class
     left: np.ndarray  # log of what is left behind a class for the ids of a class that have no column
@@ -44,6 +47,8 @@ class Model:
 
 
 _SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+#: Places (i, j) by how far j lies behind i.
+_APART = np.maximum(np.arange(WINDOW)[:, None] - np.arange(WINDOW), 0)
 #: Queries and keys are held to this length, so the exponentials need no shift.
 LONGEST = np.float32(7.0)
 
@@ -55,72 +60,105 @@ def _held(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _attend(w: dict[str, np.ndarray], x: np.ndarray):
-    """Vectors after attention for class windows x (n, WINDOW), and what the backward pass needs."""
-    v = (w["embed"][x] + w["place"]).reshape(-1, DIM)
-    shape = (len(x), WINDOW, DIM)
-    q, k, val = (_held(v @ w["q"]).reshape(shape), _held(v @ w["k"]).reshape(shape), (v @ w["v"]).reshape(shape))
-    s = q @ k.transpose(0, 2, 1)
-    np.exp(s, out=s)
-    s *= _SEEN
-    total = s.sum(axis=2, keepdims=True)
-    o = (s @ val) / total
-    h = v + o.reshape(-1, DIM) @ w["o"]
-    return h.reshape(shape), (v.reshape(shape), q, k, val, s, total, o)
+def _shares(logits: np.ndarray) -> np.ndarray:
+    """Softmax of rows; logits over 60 count as 60."""
+    np.minimum(logits, 60, out=logits)
+    np.exp(logits, out=logits)
+    logits /= logits @ np.ones((logits.shape[1], 1), np.float32) + 1e-30
+    return logits
 
 
-def initial(seed: int = 3) -> dict[str, np.ndarray]:
+def levels(by_class: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probabilities from counts (CLASSES + 1, CLASSES): (class before, group), and (group, class before, class in the group)."""
+    prior = by_class.sum(axis=0) + 0.5
+    counts = (by_class + 2 * prior / prior.sum()).reshape(len(by_class), -1, BRANCH)
+    groups = counts.sum(axis=2)
+    return np.log(groups / groups.sum(axis=1, keepdims=True)).astype(np.float32), np.ascontiguousarray(np.log(counts / groups[..., None]).transpose(1, 0, 2)).astype(np.float32)
+
+
+def initial(n_ids: int, seed: int = 3) -> dict[str, np.ndarray]:
+    """Weights to begin with; the place behind all ids stands before a text."""
     draw = np.random.default_rng(seed)
 
     def normal(*shape, scale):
         return draw.normal(0, scale, shape).astype(np.float32)
 
-    return {"embed": normal(CLASSES + 1, DIM, scale=0.3), "place": normal(WINDOW, DIM, scale=0.1), **{k: normal(DIM, DIM, scale=0.5 * DIM**-0.5) for k in "qkvo"}, "out": normal(DIM, CLASSES, scale=0.02)}
+    groups = CLASSES // BRANCH
+    dense = {"embed": normal(CLASSES + 1, DIM, scale=0.3), "apart": np.zeros(WINDOW, np.float32), **{k: normal(DIM, DIM, scale=0.5 * DIM**-0.5) for k in "qkvo"}}
+    return dense | {"out": normal(DIM, groups, scale=0.02), "inner": normal(groups, DIM, BRANCH, scale=0.02), "own": np.zeros((n_ids + 1, DIM), np.float32)}
 
 
 class Fitting:
-    """Weights that Adam changes batch by batch."""
+    """Weights that Adam changes batch by batch; the ids' own vectors by AdaGrad, only those that a batch holds."""
 
-    def __init__(self, weights: dict[str, np.ndarray], bigram: np.ndarray):
-        self.w, self.bigram, self.t = {k: x.copy() for k, x in weights.items()}, bigram, 0
-        self.m, self.s = ({k: np.zeros_like(x) for k, x in weights.items()} for _ in range(2))
+    def __init__(self, weights: dict[str, np.ndarray], kind: np.ndarray, priors: tuple[np.ndarray, np.ndarray]):
+        self.w, self.kind, self.priors, self.t = {k: x.copy() for k, x in weights.items()}, np.append(kind, START).astype(np.int32), priors, 0
+        dense = [k for k in weights if k != "own"]
+        self.m, self.s = ({k: np.zeros_like(weights[k]) for k in dense} for _ in range(2))
+        self.moved = np.full(len(weights["own"]), 1e-4, np.float32)
 
     def step(self, own: np.ndarray, lr: float) -> None:
-        """One step on windows (n, WINDOW + 1) of classes, -1 behind a text's end."""
-        w, m, s = self.w, self.m, self.s
-        x, y = np.maximum(own[:, :-1], 0), own[:, 1:]
-        real = y.ravel() >= 0
-        h, (v, q, k, val, att, sums, o) = _attend(w, x)
-        att = att / sums
-        logits = h.reshape(-1, DIM) @ w["out"] + self.bigram[x.ravel()]
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(p)), np.maximum(y.ravel(), 0)] -= 1
-        p *= (real / max(1, real.sum()))[:, None].astype(np.float32)
-        g = {"out": h.reshape(-1, DIM).T @ p}
-        dh = (p @ w["out"].T).reshape(h.shape)
-        flat = lambda z: z.reshape(-1, DIM)
-        g["o"] = flat(o).T @ flat(dh)
-        do = dh @ w["o"].T
+        """One step on windows (n, WINDOW + 1) of ids, -1 behind a text's end."""
+        w = self.w
+        ids, after = np.maximum(own[:, :-1], 0).ravel(), own[:, 1:].ravel()
+        x, real = self.kind[ids], after >= 0
+        y = self.kind[np.maximum(after, 0)]
+        shape = (len(own), WINDOW, DIM)
+        v = w["embed"][x] + w["own"][ids]
+        q, k, val = _held(v @ w["q"]).reshape(shape), _held(v @ w["k"]).reshape(shape), (v @ w["v"]).reshape(shape)
+        att = q @ k.transpose(0, 2, 1)
+        np.exp(att, out=att)
+        att *= _SEEN * np.exp(w["apart"])[_APART]
+        att /= att.sum(axis=2, keepdims=True)
+        o = (att @ val).reshape(-1, DIM)
+        h = v + o @ w["o"]
+        scale = (real / max(1, real.sum())).astype(np.float32)
+        # which group
+        group, inner = y // BRANCH, y % BRANCH
+        p = _shares(h @ w["out"] + self.priors[0][x])
+        p[np.arange(len(p)), group] -= 1
+        p *= scale[:, None]
+        g = {"out": h.T @ p, "inner": np.zeros_like(w["inner"])}
+        dh = p @ w["out"].T
+        # which class of the group: rows of one group together
+        order = np.argsort(group, kind="stable")
+        begins = np.searchsorted(group[order], np.arange(len(w["inner"]) + 1))
+        for c in np.flatnonzero(np.diff(begins)).tolist():
+            at = order[begins[c] : begins[c + 1]]
+            hc = h[at]
+            p = _shares(hc @ w["inner"][c] + self.priors[1][c][x[at]])
+            p[np.arange(len(p)), inner[at]] -= 1
+            p *= scale[at, None]
+            g["inner"][c] = hc.T @ p
+            dh[at] += p @ w["inner"][c].T
+        g["o"] = o.T @ dh
+        do = (dh @ w["o"].T).reshape(shape)
         datt = do @ val.transpose(0, 2, 1)
-        dval = att.transpose(0, 2, 1) @ do
+        dval = (att.transpose(0, 2, 1) @ do).reshape(-1, DIM)
         ds = att * (datt - (datt * att).sum(axis=2, keepdims=True))
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g["q"], g["k"], g["v"] = (flat(v).T @ flat(z) for z in (dq, dk, dval))
+        dq, dk = (ds @ k).reshape(-1, DIM), (ds.transpose(0, 2, 1) @ q).reshape(-1, DIM)
+        g["q"], g["k"], g["v"] = v.T @ dq, v.T @ dk, v.T @ dval
+        g["apart"] = np.bincount(_APART.ravel(), (ds.sum(axis=0) * _SEEN).ravel(), WINDOW)
         dv = dh + dq @ w["q"].T + dk @ w["k"].T + dval @ w["v"].T
-        g["place"] = dv.sum(axis=0)
-        g["embed"] = np.stack([np.bincount(x.ravel(), flat(dv)[:, j], CLASSES + 1) for j in range(DIM)], 1).astype(np.float32)
+        # sums by id, stretch by stretch of rows in order; then those of the ids of a class
+        order = np.argsort(ids, kind="stable")
+        first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+        rows, sums = ids[order][first], np.add.reduceat(dv[order], first, axis=0)
+        g["embed"] = np.zeros_like(w["embed"])
+        np.add.at(g["embed"], self.kind[rows], sums)
+        self.moved[rows] += np.einsum("ij,ij->i", sums, sums)
+        w["own"][rows] -= (5 * lr / np.sqrt(self.moved[rows]))[:, None] * sums
         self.t += 1
         for name, grad in g.items():
-            m[name] += 0.1 * (grad - m[name])
-            s[name] += 0.001 * (grad * grad - s[name])
-            w[name] -= (lr * (m[name] / (1 - 0.9**self.t)) / (np.sqrt(s[name] / (1 - 0.999**self.t)) + 1e-8)).astype(np.float32)
+            m, s = self.m[name], self.s[name]
+            m += 0.1 * (grad - m)
+            s += 0.001 * (grad * grad - s)
+            w[name] -= (lr * (m / (1 - 0.9**self.t)) / (np.sqrt(s / (1 - 0.999**self.t)) + 1e-8)).astype(np.float32)
 
 
-def train(windows: np.ndarray, bigram: np.ndarray, epochs: int = 3, batch: int = 64, rate: float = 4e-3, seed: int = 3) -> dict[str, np.ndarray]:
-    """Weights by Adam on windows (n, WINDOW + 1) of classes, -1 behind a text's end."""
-    fitting = Fitting(initial(seed), bigram)
+def train(windows: np.ndarray, kind: np.ndarray, priors, epochs: int = 3, batch: int = 64, rate: float = 4e-3, seed: int = 3) -> dict[str, np.ndarray]:
+    """Weights by Adam on windows (n, WINDOW + 1) of ids, -1 behind a text's end; `kind` has the class of each id."""
+    fitting = Fitting(initial(len(kind), seed), kind, priors)
     draw = np.random.default_rng(seed)
     steps = max(1, epochs * -(-len(windows) // batch))
     for _ in range(epochs):
@@ -130,24 +168,25 @@ def train(windows: np.ndarray, bigram: np.ndarray, epochs: int = 3, batch: int =
     return fitting.w
 
 
-def windows_of(classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Windows (n, WINDOW + 1) that hold every class of sequences of the given sizes (none empty) once as what is to be told:
-    the class before each window's first one stands before it, -1 behind a sequence's end."""
+def windows_of(ids: np.ndarray, sizes: np.ndarray, start: int) -> np.ndarray:
+    """Windows (n, WINDOW + 1) that hold every id of sequences of the given sizes (none empty) once as what is to be told: the id
+    before each window's first one, or `start`, stands before it, -1 behind a sequence's end."""
     n = -(-sizes // WINDOW)
     owner = np.repeat(np.arange(len(sizes)), n)
     ends = np.cumsum(sizes)
     at = (ends - sizes)[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)) * WINDOW
     spots = at[:, None] + np.arange(-1, WINDOW)
-    out = classes[np.clip(spots, 0, len(classes) - 1)].astype(np.int32)
+    out = ids[np.clip(spots, 0, len(ids) - 1)].astype(np.int32)
     out[spots >= ends[owner][:, None]] = -1
-    out[at == (ends - sizes)[owner], 0] = START
+    out[at == (ends - sizes)[owner], 0] = start
     return out
 
 
-def train_on(windows: Iterator[np.ndarray], start: dict[str, np.ndarray], bigram: np.ndarray, batch: int = 64, rate: float = 1e-3, seed: int = 3, held: int = 16_384) -> tuple[int, dict[str, np.ndarray]]:
-    """(number of windows, weights) from one pass over all windows, beginning with the weights given; about `held` windows are
-    shuffled at a time."""
-    fitting, draw, n = Fitting(start, bigram), np.random.default_rng(seed), 0
+def train_on(windows: Iterator[np.ndarray], start: dict[str, np.ndarray], kind: np.ndarray, priors, batch: int = 128, rate: float = 1e-3, seed: int = 3, held: int = 16_384) -> tuple[int, dict[str, np.ndarray], np.ndarray]:
+    """(number of windows, weights, how often each id stood in a window) from one pass over all windows, beginning with the weights given;
+    about `held` windows are shuffled at a time."""
+    fitting, draw, n = Fitting(start, kind, priors), np.random.default_rng(seed), 0
+    often = np.zeros(len(kind) + 1, np.int64)
     rest: list[np.ndarray] = []
 
     def passed() -> None:
@@ -158,6 +197,7 @@ def train_on(windows: Iterator[np.ndarray], start: dict[str, np.ndarray], bigram
 
     for own in windows:
         n += len(own)
+        often += np.bincount(np.maximum(own[:, :-1], 0).ravel(), minlength=len(often))
         for a in range(0, len(own), held):
             rest.append(own[a : a + held])
             if sum(map(len, rest)) >= held:
@@ -165,17 +205,15 @@ def train_on(windows: Iterator[np.ndarray], start: dict[str, np.ndarray], bigram
                 rest = []
     if rest:
         passed()
-    return n, fitting.w
+    return n, fitting.w, often
 
 
-def _tables(model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """With one layer, what a token puts in depends on its class and place alone: (query, key and value through the output
-    matrix; logits without attention) for each class and place."""
+def _tables(model: Model) -> np.ndarray:
+    """With one layer, what an id puts in depends on itself alone: query, key, value through the output matrix, a one (which sums up
+    the weights in the same product) and its own vector, for each id and the place before a text."""
     w = model.weights
-    v = (w["embed"][:, None] + w["place"]).reshape(-1, DIM)
-    # a column of ones behind the values sums up the weights in the same product
-    parts = np.concatenate([_held(v @ w["q"]), _held(v @ w["k"]), v @ w["v"] @ w["o"], np.ones((len(v), 1), np.float32)], axis=1)
-    return parts, v @ w["out"] + np.repeat(model.bigram, WINDOW, axis=0)
+    v = w["embed"][np.append(model.kind, START)] + w["own"]
+    return np.concatenate([_held(v @ w["q"]), _held(v @ w["k"]), v @ w["v"] @ w["o"], np.ones((len(v), 1), np.float32), v], axis=1)
 
 
 def log_probability(model: Model, ids: np.ndarray, sizes: np.ndarray, most: int = 160) -> np.ndarray:
@@ -188,10 +226,13 @@ def log_probability(model: Model, ids: np.ndarray, sizes: np.ndarray, most: int
         return np.zeros(0)
     if "tables" not in model.__dict__:
         model.tables = _tables(model)
-    parts, plain = model.tables
-    kind = model.kind[ids]
-    # inputs: the start class, then the tokens but for the last
+    parts, (to_group, to_class) = model.tables, model.priors
+    kind, w = model.kind[ids], model.weights
+    seen = _SEEN * np.exp(w["apart"])[_APART]
+    # inputs: the place before a text, then the ids but for the last
     begin = np.cumsum(sizes) - sizes
+    fed = np.concatenate(([len(model.kind)], ids[:-1])).astype(np.int64)
+    fed[begin[sizes > 0]] = len(model.kind)
     before = np.concatenate(([START], kind[:-1])).astype(np.int32)
     before[begin[sizes > 0]] = START
     place = model.place[ids]
@@ -205,20 +246,29 @@ def log_probability(model: Model, ids: np.ndarray, sizes: np.ndarray, most: int
     old = np.where(no > 0, WINDOW - FRESH, 0)
     steps = np.arange(WINDOW)
     last = len(before) - 1
-    out_weights, ones = model.weights["out"], np.ones(CLASSES, np.float32)
     for a in range(0, len(at), most):
         spots = at[a : a + most, None] + steps
         scored = (spots < end[a : a + most, None]) & (steps >= old[a : a + most, None])
-        table = before[np.minimum(spots, last)] * WINDOW + steps
-        own = parts[table]
+        own = parts[fed[np.minimum(spots, last)]]
         s = own[..., :DIM] @ own[..., DIM : 2 * DIM].transpose(0, 2, 1)
         np.exp(s, out=s)
-        s *= _SEEN
-        o = (s @ own[..., 2 * DIM :])[scored]
+        s *= seen
+        o = (s @ own[..., 2 * DIM : 3 * DIM + 1])[scored]
         picked = spots[scored]
-        logits = (o[:, :DIM] / o[:, DIM:]) @ out_weights
-        logits += plain[table[scored]]
-        target = logits[np.arange(len(picked)), kind[picked]]
-        np.exp(logits, out=logits)
-        out[picked] += target - np.log(logits @ ones)
+        h = o[:, :DIM] / o[:, DIM:] + own[..., 3 * DIM + 1 :][scored]
+        x, y = before[picked], kind[picked]
+        group = y // BRANCH
+        # rows of one group together
+        order = np.argsort(group, kind="stable")
+        h, x, y, picked = h[order], x[order], y[order], picked[order]
+        begins = np.searchsorted(group[order], np.arange(CLASSES // BRANCH + 1)).tolist()
+        logits = h @ w["out"] + to_group[x]
+        ones = np.ones(BRANCH, np.float32)
+        got = logits[np.arange(len(y)), y // BRANCH] - np.log(np.exp(logits) @ ones)
+        for c in range(CLASSES // BRANCH):
+            b, e = begins[c], begins[c + 1]
+            if b < e:
+                logits = h[b:e] @ w["inner"][c] + to_class[c][x[b:e]]
+                got[b:e] += logits[np.arange(e - b), y[b:e] % BRANCH] - np.log(np.exp(logits) @ ones)
+        out[picked] += got
     return out

@@ -26,14 +26,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .attention import CLASSES, START, WINDOW, Model, classes_of, initial, log_probability, train, train_on, windows_of
+from .attention import CLASSES, START, WINDOW, Model, classes_of, initial, levels, log_probability, train, train_on, windows_of
 from .common import chunks, cut, held_out, lower_ascii, small_batches, split_words
 from .tokens import LONGEST_WORD, Encoder, default_tokenizer
 
 HEAD = 200_000
 FIT_DOCS, FIT_WINDOWS = 1500, 48
-IDS = 50_258  # of the tokenizer, and one behind them for the end of a text
-END = IDS - 1
 #: Weight of an id's share of its class among the counts behind one class.
 BACKOFF = 20.0
 LN10 = float(np.log(10))
@@ -122,8 +120,7 @@ def coded(train_docs: DataFrame, shared, tokenizer_path: str, text_col: str = "t
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, base = shared.value
-        encode = Encoder(tokenizer_path)
-        units = Units(encode, np.append(encode.id_bytes(END), 1), known, base)
+        units = Units(Encoder(tokenizer_path), known, base)
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             for a, b in chunks(texts, 600_000):
@@ -144,16 +141,16 @@ def _flat(batches: Iterator[pa.RecordBatch], most: int = 500_000) -> Iterator[tu
             yield np.frombuffer(b"".join(batch.column(0).slice(a, b - a).to_pylist()), "<u2").astype(np.int64), sizes[a:b]
 
 
-def id_pairs(ids: DataFrame) -> DataFrame:
+def id_pairs(ids: DataFrame, n_ids: int) -> DataFrame:
     """(a, b, n): how often id b follows id a in the training rows; a = -1 stands before a text, a = -2 counts b alone."""
 
     def counted(batches):
-        alone = np.zeros(IDS, np.int64)
+        alone = np.zeros(n_ids, np.int64)
         raw: list[np.ndarray] = []
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def out(kinds: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(kinds // IDS - 2), pa.array(kinds % IDS), pa.array(n.astype(np.int64))], ["a", "b", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(kinds // n_ids - 2), pa.array(kinds % n_ids), pa.array(n.astype(np.int64))], ["a", "b", "n"])
 
         def sum_up() -> None:
             """What is raw is counted, and added to what is held."""
@@ -164,10 +161,10 @@ def id_pairs(ids: DataFrame) -> DataFrame:
                 held[:] = [(kinds, np.bincount(back, np.concatenate([n for _, n in held]), len(kinds)))]
 
         for flat, sizes in _flat(batches):
-            alone += np.bincount(flat, minlength=IDS)
+            alone += np.bincount(flat, minlength=n_ids)
             before = np.concatenate(([0], flat[:-1] + 2))
             before[np.cumsum(sizes) - sizes] = 1
-            raw.append(before * IDS + flat)
+            raw.append(before * n_ids + flat)
             if sum(map(len, raw)) > 3_000_000:
                 sum_up()
                 if len(held[0][0]) > 1_000_000:
@@ -182,10 +179,10 @@ def id_pairs(ids: DataFrame) -> DataFrame:
     return ids.mapInArrow(counted, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def subword_counts(pairs: DataFrame) -> np.ndarray:
+def subword_counts(pairs: DataFrame, n_ids: int) -> np.ndarray:
     """Occurrences of each id."""
     got = pairs.where("a = -2").select("b", "n").toArrow()
-    out = np.zeros(IDS)
+    out = np.zeros(n_ids)
     out[got["b"].to_numpy()] = got["n"].to_numpy()
     return out
 
@@ -201,7 +198,8 @@ def class_pairs(pairs: DataFrame, kind: np.ndarray, place: np.ndarray) -> np.nda
 
 
 def _ids(encode: Encoder, text: str) -> np.ndarray:
-    return np.append(np.frombuffer(encode(lower_ascii(text)), "<u4"), np.uint32(END))
+    """Ids of a text and of its end, which is the one behind the tokenizer's."""
+    return np.append(np.frombuffer(encode(lower_ascii(text)), "<u4"), np.uint32(encode.size))
 
 
 def fit_windows(train_docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
@@ -227,50 +225,73 @@ def fit_windows(train_docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
     return np.stack([np.frombuffer(r["w"], "<i4") for r in got]) if got else np.zeros((0, WINDOW + 1), np.int32)
 
 
-def trained_on_all(ids: DataFrame, start: dict[str, np.ndarray], kind: np.ndarray, bigram: np.ndarray) -> dict[str, np.ndarray]:
-    """Weights after one pass of each task over all windows of its rows, averaged by the tasks' numbers of windows."""
-    shared = ids.sparkSession.sparkContext.broadcast((start, kind, bigram))
+#: Ids whose vectors are added up together.
+ROWS = 2048
 
-    def trained(batches):
-        start, kind, bigram = shared.value
 
-        n, w = train_on((windows_of(kind[flat], sizes) for flat, sizes in _flat(batches)), start, bigram)
+def trained_on_all(ids: DataFrame, start: dict[str, np.ndarray], kind: np.ndarray, priors) -> dict[str, np.ndarray]:
+    """Weights after one pass of each task over all windows of its rows: those that all ids share are averaged by the tasks' numbers
+    of windows, an id's own vector by how often the tasks met it.
+
+    Tasks give their weights in parts, which are added up part by part as they stream by; the driver gets one sum of each part.
+    """
+    shared = ids.sparkSession.sparkContext.broadcast((start, kind, priors))
+    dense = sorted(k for k in start if k != "own")
+
+    def trained(batches):
+        start, kind, priors = shared.value
+        n, w, often = train_on((windows_of(flat, sizes, len(kind)) for flat, sizes in _flat(batches)), start, kind, priors)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([b"".join(w[k].astype("<f4").tobytes() for k in sorted(w))], pa.binary())], ["n", "w"])
+            flat = np.concatenate([w[k].ravel() for k in dense]).astype("<f8") * n
+            parts = [(0, np.append(flat, n))]
+            for a in range(0, len(often), ROWS):
+                m = often[a : a + ROWS, None].astype("<f8")
+                parts.append((1 + a // ROWS, np.concatenate([w["own"][a : a + ROWS] * m, m], 1).ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in parts], pa.int32()), pa.array([x.astype("<f8").tobytes() for _, x in parts], pa.binary())], ["part", "sums"])
+
+    def added(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(raw.as_buffer(), "<f8")
+                held[part] = held[part] + x if part in held else x
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["part", "sums"])
 
-    total, windows = 0.0, 0
-    for r in cut(ids.mapInArrow(trained, "n bigint, w binary")).toLocalIterator():
-        total = total + np.frombuffer(r["w"], "<f4").astype(float) * r["n"]
-        windows += r["n"]
-    if not windows:
+    kinds = "part int, sums binary"
+    got = cut(ids.mapInArrow(trained, kinds)).repartition("part").mapInArrow(added, kinds).collect()  # parts of one set of weights
+    if not got:
         return start
-    names = sorted(start)
-    parts = np.split(total / windows, np.cumsum([start[k].size for k in names])[:-1])
-    return {k: x.reshape(start[k].shape).astype(np.float32) for k, x in zip(names, parts, strict=True)}
+    sums = {r["part"]: np.frombuffer(r["sums"], "<f8") for r in got}
+    flat, out = sums[0][:-1] / sums[0][-1], {}
+    for name, x in zip(dense, np.split(flat, np.cumsum([start[k].size for k in dense])[:-1]), strict=True):
+        out[name] = x.reshape(start[name].shape).astype(np.float32)
+    width = start["own"].shape[1] + 1
+    own = np.concatenate([sums[p].reshape(-1, width) for p in sorted(sums) if p])
+    out["own"] = np.where(own[:, -1:] > 0, own[:, :-1] / np.maximum(own[:, -1:], 1), start["own"]).astype(np.float32)
+    return out
 
 
-def fit(ids: DataFrame, train_docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """The model of the training rows, of which `ids` has the encoded texts."""
-    pairs_of_ids = cut(id_pairs(ids))
-    total = subword_counts(pairs_of_ids)
+def fit(ids: DataFrame, train_docs: DataFrame, tokenizer_path: str, n_ids: int, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The model of the training rows, of which `ids` has the encoded texts; n_ids counts the tokenizer's ids and the end."""
+    pairs_of_ids = cut(id_pairs(ids, n_ids))
+    total = subword_counts(pairs_of_ids, n_ids)
     kind, share = classes_of(total)
     used = np.flatnonzero(total > 0)
-    place = np.full(IDS, -1, np.int32)
+    place = np.full(n_ids, -1, np.int32)
     place[used] = np.arange(len(used))
     pairs = class_pairs(pairs_of_ids, kind, place)
     by_class = np.stack([np.bincount(kind[used], r, CLASSES) for r in pairs]) if len(used) else np.zeros((CLASSES + 1, CLASSES))
-    prior = by_class.sum(axis=0) + 0.5
-    bigram = by_class + 2 * prior / prior.sum()
-    bigram = np.log(bigram / bigram.sum(axis=1, keepdims=True)).astype(np.float32)
+    priors = levels(by_class)
     # which id of its class: the corpus's counts behind the class before, leaning on its share
     after = np.zeros((CLASSES + 1, max(1, len(used))), np.float32)
     for c in range(CLASSES + 1 if len(used) else 0):
         after[c] = np.log((pairs[c] + BACKOFF * np.exp(share[used])) / (by_class[c, kind[used]] + BACKOFF))
     windows = fit_windows(train_docs, tokenizer_path, id_col, text_col)
-    classes = np.where(windows >= 0, kind[np.maximum(windows, 0)], np.where(windows == -2, START, -1)).astype(np.int32)
-    weights = trained_on_all(ids, train(classes, bigram) if len(classes) else initial(), kind, bigram)
+    windows = np.where(windows == -2, n_ids, windows)
+    weights = trained_on_all(ids, train(windows, kind, priors) if len(windows) else initial(n_ids), kind, priors)
     left = np.log(BACKOFF / (by_class + BACKOFF)).astype(np.float32)
-    return Model(kind, share, bigram, place, after, left, weights)
+    return Model(kind, share, priors, place, after, left, weights)
 
 
 def word_spans(raw: list[bytes], ids: list[np.ndarray], id_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -308,9 +329,9 @@ class Units(dict):
     it; others are encoded as a whole and parted by word_spans().
     """
 
-    def __init__(self, encode: Encoder, id_bytes: np.ndarray, known: dict[str, int], base: tuple | None = None, limit: int = 200_000):
+    def __init__(self, encode: Encoder, known: dict[str, int], base: tuple | None = None, limit: int = 200_000):
         super().__init__()
-        self.encode, self.id_bytes, self.known, self.limit = encode, id_bytes, known, limit + (len(base[0]) if base else 0)
+        self.encode, self.id_bytes, self.known, self.limit = encode, np.append(encode.id_bytes(encode.size), 1), known, limit + (len(base[0]) if base else 0)
         nothing = np.zeros(0, np.int64)
         self.base = base or ([], [nothing, nothing, np.zeros(0), np.zeros(0)], np.zeros(0, np.uint32))
         self._reset()
@@ -380,7 +401,7 @@ class Units(dict):
         return units
 
     def __call__(self, texts: list[str]):
-        """units as text (a line end or NUL may stand before the word), words of each text, ids, ids of each text, unit of each id, white space before each unit and
+        """units as text (a line end or a NUL may stand before the word, one character in any case), words of each text, ids, ids of each text, unit of each id, white space before each unit and
         log10 of each unit's count + 1 (nan where it is not among the known, and for ends)."""
         if len(self) > self.limit:
             self._reset()
@@ -402,7 +423,7 @@ class Units(dict):
         ends = np.cumsum(n_words + 1) - 1
         counts[ends] = np.nan
         # ids of each unit: a stretch of the flat table, of a slow text's own ids, or an end
-        flat, extra = [self.flat, np.array([END], np.uint32)], len(self.flat) + 1
+        flat, extra = [self.flat, np.array([self.encode.size], np.uint32)], len(self.flat) + 1
         starts[ends], sizes[ends] = len(self.flat), 1
         for i, (first, own) in slow.items():
             raw = [texts[i].encode("utf-8", "surrogatepass")]
@@ -411,7 +432,7 @@ class Units(dict):
             n = np.bincount(unit, minlength=len(own) + 1)
             spot = slice(first, first + len(own) + 1)
             sizes[spot], starts[spot], white[spot] = n, extra + np.cumsum(n) - n, gaps
-            keys[spot] = [*own, ""]
+            keys[spot] = [*("\0" + w for w in own), "\0"]
             counts[first : first + len(own)] = [np.log10(self.known[w] + 1) if w in self.known else np.nan for w in own]
             flat.append(ids)
             extra += len(ids)
@@ -438,16 +459,14 @@ def score(docs: DataFrame, train_docs: DataFrame, tokenizer_path: str | None = N
     top = frequent(counts, head)
     known = dict(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True))
     encode = Encoder(path)
-    base = Units(encode, np.append(encode.id_bytes(END), 1), known, limit=head).learned([w for w in known if plain(w)])
+    base = Units(encode, known, limit=head).learned([w for w in known if plain(w)])
     begun = spark.sparkContext.broadcast((known, base))
-    fitted = spark.sparkContext.broadcast(fit(cut(coded(train_docs, begun, path, text_col)), train_docs, path, id_col, text_col))
+    fitted = spark.sparkContext.broadcast(fit(cut(coded(train_docs, begun, path, text_col)), train_docs, path, encode.size + 1, id_col, text_col))
     per_token, end_log = float(np.log10(n + v + 1)), float(np.log10(ends + 1))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (known, base), model = begun.value, fitted.value
-        encode = Encoder(path)
-        id_bytes = np.append(encode.id_bytes(END), 1)
-        units = Units(encode, id_bytes, known, base)
+        units = Units(Encoder(path), known, base)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in chunks(texts, 600_000):
@@ -463,7 +482,7 @@ def score(docs: DataFrame, train_docs: DataFrame, tokenizer_path: str | None = N
                 mixed = np.where(rare, 0, _mixed(by_subwords, by_whole + np.where(rare, 0, count_log)))
                 in_head = ~is_end & ~rare
                 head_log = np.bincount(doc, np.where(in_head, counts, 0), b - a)
-                tail = pa.StructArray.from_arrays([pa.array([keys[i].lstrip("\n\0") for i in np.flatnonzero(rare).tolist()], pa.string()), pa.array(by_subwords[rare]), pa.array(np.maximum(by_whole[rare], -1e9))], ["word", "sub", "whole"])
+                tail = pa.StructArray.from_arrays([pa.array([k[1:] if k[0] in "\n\0" else k for k in map(keys.__getitem__, np.flatnonzero(rare).tolist())], pa.string()), pa.array(by_subwords[rare]), pa.array(np.maximum(by_whole[rare], -1e9))], ["word", "sub", "whole"])
                 tails = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(doc, rare, b - a)))), pa.int32()), tail)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), *[batch.column(i).slice(a, b - a) for i in range(2, batch.num_columns)], pa.array(n_words + 1), pa.array(head_log), pa.array(np.bincount(doc, in_head, b - a).astype(np.int64)), pa.array(np.bincount(doc, mixed, b - a)), pa.array(sizes), tails],

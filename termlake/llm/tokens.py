@@ -29,6 +29,8 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        #: One more than the greatest id.
+        self.size = 1 + max(self.tokenizer.get_vocab(with_added_tokens=True).values())
         self.fast = self._same_vocabulary(spec)
 
     def _same_vocabulary(self, spec: dict):

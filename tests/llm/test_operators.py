@@ -156,40 +156,46 @@ def test_op2_rare_words_join_the_same(spark, docs):
 
 def test_op2_units_and_windows_against_plain_versions():
     encode = Encoder(default_tokenizer())
-    id_bytes = np.append(encode.id_bytes(op2_lm.END), 1)
+    n_ids = encode.size + 1
     known = {"the": 3, "b": 1}
-    fast, slow = op2_lm.Units(encode, id_bytes, known), op2_lm.Units(encode, id_bytes, known)
+    fast, slow = op2_lm.Units(encode, known), op2_lm.Units(encode, known)
     slow._simple = lambda _: None
     texts = [lower_ascii(r[1] or "") for r in HARD if len(r[1] or "") < 9000] + ["the b\nthe c", "a\nb", "the\x00b"]
     for x, y in zip(fast(texts)[1:], slow(texts)[1:], strict=True):
         assert np.array_equal(np.nan_to_num(np.asarray(x, float), nan=-7), np.nan_to_num(np.asarray(y, float), nan=-7))
     ids = np.concatenate([op2_lm._ids(encode, t) for t in texts])
     assert np.array_equal(fast(texts)[2], ids)
-    kind, share = attention.classes_of(np.bincount(ids, minlength=op2_lm.IDS).astype(float))
+    kind, share = attention.classes_of(np.bincount(ids, minlength=n_ids).astype(float))
     draw = np.random.default_rng(1)
-    w = attention.initial()
-    bigram = draw.normal(-5, 1, (attention.CLASSES + 1, attention.CLASSES)).astype(np.float32)
-    model = attention.Model(kind, share, bigram, np.full(op2_lm.IDS, -1), np.zeros((attention.CLASSES + 1, 1), np.float32), np.zeros((attention.CLASSES + 1, attention.CLASSES), np.float32), w)
+    w = attention.initial(n_ids)
+    w["own"], w["apart"] = draw.normal(0, 0.3, w["own"].shape).astype(np.float32), draw.normal(0, 0.5, attention.WINDOW).astype(np.float32)
+    priors = attention.levels(draw.gamma(1, 20, (attention.CLASSES + 1, attention.CLASSES)))
+    model = attention.Model(kind, share, priors, np.full(n_ids, -1), np.zeros((attention.CLASSES + 1, 1), np.float32), np.zeros((attention.CLASSES + 1, attention.CLASSES), np.float32), w)
     sizes = np.array([40, 0, 1, len(ids) - 41])
     got = attention.log_probability(model, ids, sizes)
     at = 0
     for n in sizes:
-        own, inputs = kind[ids[at : at + n]], np.concatenate(([attention.START], kind[ids[at : at + n]]))[:n]
+        own, fed = kind[ids[at : at + n]], np.concatenate(([n_ids], ids[at : at + n]))[:n]
+        inputs = np.append(kind, attention.START)[fed]
         for t in range(n):
             s = 0 if t < attention.WINDOW else ((t - attention.WINDOW) // attention.FRESH + 1) * attention.FRESH
-            v = w["embed"][inputs[s : t + 1]] + w["place"][: t + 1 - s]
-            a = np.exp((v @ w["k"]) @ (v[-1] @ w["q"]))
-            logits = (v[-1] + (a @ (v @ w["v"])) / a.sum() @ w["o"]) @ w["out"] + bigram[inputs[t]]
-            assert got[at + t] == pytest.approx(share[ids[at + t]] + logits[own[t]] - np.log(np.exp(logits).sum()), abs=2e-3)
+            v = w["embed"][inputs[s : t + 1]] + w["own"][fed[s : t + 1]]
+            q, k = (attention._held(x.copy()) for x in ((v[-1:] @ w["q"]), v @ w["k"]))
+            a = np.exp(k @ q[0] + w["apart"][: t + 1 - s][::-1])
+            h = v[-1] + (a @ (v @ w["v"])) / a.sum() @ w["o"]
+            group, inner = divmod(int(own[t]), attention.BRANCH)
+            first, second = h @ w["out"] + priors[0][inputs[t]], h @ w["inner"][group] + priors[1][group, inputs[t]]
+            told = sum(x[i] - np.log(np.exp(x).sum()) for x, i in ((first, group), (second, inner)))
+            assert got[at + t] == pytest.approx(share[ids[at + t]] + told, abs=2e-3)
         at += n
 
 
 def test_op2_every_token_hears_those_eight_places_before_it():
     kind = np.arange(attention.CLASSES, dtype=np.int32)
     draw = np.random.default_rng(5)
-    w = attention.initial()
+    w = attention.initial(len(kind))
     shape = (attention.CLASSES + 1, attention.CLASSES)
-    model = attention.Model(kind, np.zeros(len(kind), np.float32), np.zeros(shape, np.float32), np.full(len(kind), -1), np.zeros((shape[0], 1), np.float32), np.zeros(shape, np.float32), w)
+    model = attention.Model(kind, np.zeros(len(kind), np.float32), attention.levels(np.ones(shape)), np.full(len(kind), -1), np.zeros((shape[0], 1), np.float32), np.zeros(shape, np.float32), w)
     ids = draw.integers(0, attention.CLASSES, 120)
     plain = attention.log_probability(model, ids, np.array([120]))
     for i in range(112):
@@ -229,11 +235,51 @@ def test_op2_learns_from_rows_outside_of_the_first_sample(spark, monkeypatch):
 def test_op2_windows_tell_every_id_once():
     sizes = np.array([1, attention.WINDOW, attention.WINDOW + 1, 70])
     classes = np.arange(sizes.sum()) % attention.CLASSES
-    w = attention.windows_of(classes, sizes)
+    w = attention.windows_of(classes, sizes, attention.START)
     assert w[:, 1:][w[:, 1:] >= 0].tolist() == classes.tolist() and (w[:, 0] == attention.START).sum() == 4
     assert all(r[0] == r[1] - 1 for r in w.tolist() if r[0] != attention.START)
 
 
+def test_op2_gradient_against_differences():
+    """A step's direction against finite differences of the log-probability."""
+    draw = np.random.default_rng(3)
+    kind = np.concatenate([np.arange(attention.CLASSES), draw.integers(0, attention.CLASSES, 40)]).astype(np.int32)
+    n = len(kind)
+    priors = attention.levels(draw.gamma(1, 5, (attention.CLASSES + 1, attention.CLASSES)))
+    w = attention.initial(n)
+    w["own"] = draw.normal(0, 0.2, w["own"].shape).astype(np.float32)
+    ids, sizes = draw.integers(0, n, 90), np.array([90])
+    windows = attention.windows_of(ids[: attention.WINDOW], np.array([attention.WINDOW]), n)
+
+    def loss(weights):
+        zero = np.zeros((attention.CLASSES + 1, 1), np.float32)
+        model = attention.Model(kind, np.zeros(n, np.float32), priors, np.full(n, -1), zero, np.zeros((attention.CLASSES + 1, attention.CLASSES), np.float32), weights)
+        return -attention.log_probability(model, ids[: attention.WINDOW], np.array([attention.WINDOW])).mean()
+
+    fitting = attention.Fitting(w, kind, priors)
+    fitting.step(windows, 1e-9)
+    for name in ("embed", "apart", "q", "k", "v", "o", "out", "inner"):
+        grad = fitting.m[name] / 0.1
+        at = np.unravel_index(np.argsort(-np.abs(grad), axis=None)[:3], grad.shape)
+        for spot in zip(*at, strict=True):
+            both = []
+            for e in (2e-2, -2e-2):
+                moved = {k: x.copy() for k, x in w.items()}
+                moved[name][spot] += e
+                both.append(loss(moved))
+            assert grad[spot] == pytest.approx((both[0] - both[1]) / 4e-2, rel=0.1, abs=2e-4), name
+    trained = attention.train(np.repeat(windows, 20, 0), kind, priors, epochs=150)
+    assert loss(trained) < loss(w) - 1
+
+
+def test_op2_words_that_begin_with_nul_are_words_of_their_own(spark):
+    rows = spark.createDataFrame([(1, "the cat sat"), (2, "the cat ran"), (3, "\0the cat")], "doc_id bigint, text string")
+    got = by_id(op2_lm.score(rows, rows.where("doc_id < 3")), "id")
+    n, v = 8, 5  # with two ends: the 2, cat 2, sat, ran
+    assert got[3][0].n_known == 2 and got[3][0].n_tokens == 3
+    assert got[3][0].base_score == pytest.approx(sum(math.log10((c + 1) / (n + v + 1)) for c in (0, 2, 2)))
+
+
 def test_op2_hard_rows(hard, empty):
     got = by_id(op2_lm.lm_scores(hard))
     assert sum(map(len, got.values())) == len(HARD)
