@@ -1,7 +1,11 @@
 """From raw documents to packed training sequences.
 
 Each stage takes all that the stage before it kept and returns a DataFrame, which is written as Parquet and read again as
-the next one's documents. All but the last keep the columns of documents.
+the next one's documents. All but the last keep the columns of documents, extra ones and ones of any name too.
+
+Cases, alike in all stages: an empty table gives an empty one; null texts count as empty and null ids are ids like others, ranked last.
+Empty texts are judged by the classifier's bias, are equal to one another, near to nothing and hold no item; of rows repeated with id and
+text one is left after the exact dedup; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from termlake.llm import op4_quality, op6_decontam, op7_exact_dedup, op9_packing, op10_minhash
+from termlake.session import shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +57,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents; what each returns lies in the shared checkpoint folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    out = f"{folder}/pipeline-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{out}/{i}")
         docs = spark.read.parquet(f"{out}/{i}")
+        if i:  # what the stage before wrote has been read for the last time
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{i - 1}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
     return docs

@@ -1,6 +1,6 @@
 """Benchmark decontamination: a BM25 inverted index of test items, queried with every passage by block-max WAND.
 
-The index holds the items of one block of the benchmark (`ITEMS_PER_BLOCK`, a bound on what is broadcast; a larger
+The index holds the items of one block of the benchmark (`ITEMS_PER_BLOCK` and `WORDS_PER_BLOCK`, bounds on what is broadcast; a larger
 benchmark is searched block by block, each against all documents) with document frequencies over all items. Passages are
 windows of each whole text, twice as long as the longest item and half overlapping, so every stretch as long as an item
 lies in one window. Items over `LONG_ITEM` words have indexes of their own by length, one for each doubling, with wider windows:
@@ -31,9 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import chunks
+from .common import chunks, cut
 
 ITEMS_PER_BLOCK = 20_000
+WORDS_PER_BLOCK = 4_000_000
 LONG_ITEM = 512
 SHARE = 0.6
 OVERLAP = 0.5
@@ -217,26 +218,37 @@ def by_length(items: list[tuple[object, str]], frequency: dict[str, int] | None
         yield Index([x for x, k in zip(items, kinds, strict=True) if k == kind], frequency, total, mean, 2 * min(longest, LONG_ITEM << kind))
 
 
-def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text", per_block: int = ITEMS_PER_BLOCK) -> Iterator[Index]:
-    """Indexes of each block of items by length; a block has at most about `per_block` items and is what the driver holds."""
+def _measured(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, text, n, kinds) of the items with text: number of their terms, and the distinct ones; cut, as rows are dealt by `row`."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [terms(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(w) for w in words], pa.int64()), pa.array([sorted(set(w)) for w in words], pa.list_(pa.string()))], ["id", "text", "n", "kinds"])
+
     rows = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    n = rows.count()
-    blocks = max(1, -(-n // per_block))
-    if blocks == 1:
-        yield from by_length([(r["id"], r["text"]) for r in rows.orderBy("id", "text").collect()])
-        return
-    split = F.udf(lambda t: sorted(set(terms(t))), "array<string>")
-    words = F.udf(lambda t: len(terms(t)), "bigint")
+    kind = items.schema[id_col].dataType.simpleString()
+    return cut(rows.mapInArrow(counted, f"id {kind}, text string, n bigint, kinds array<string>").withColumn("row", F.monotonically_increasing_id()))
+
+
+def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text", per_block: int = ITEMS_PER_BLOCK, words_per_block: int = WORDS_PER_BLOCK) -> Iterator[Index]:
+    """Indexes of each block of items by length; a block has about `per_block` items or `words_per_block` terms at most and is what the
+    driver holds and broadcasts. Items are dealt to blocks one by one, equal ones too."""
+    rows = _measured(items, id_col, text_col)
+    n, words = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    blocks = max(1, -(-n // per_block), -(-words // words_per_block))
     # what weights and windows rest on is that of all items, so no result depends on which items share a block
-    total, held, longest = rows.select(words("text").alias("n")).where("n > 0").agg(F.count("*"), F.sum("n"), F.max("n")).first()
+    total, held, longest = rows.where("n > 0").agg(F.count("*"), F.sum("n"), F.max("n")).first()
     mean = (held or 0) / max(1, total) or 1.0
-    frequency = rows.select(F.explode(split("text")).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks)))
+    frequency = rows.select(F.explode("kinds").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    if blocks > 1:
+        frequency = cut(frequency)
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
     for k in range(blocks):
         part = dealt.where(F.col("block") == k)
-        own = part.select(F.explode(split("text")).alias("w")).distinct()
-        df = {r["w"]: r["df"] for r in frequency.join(own, "w").collect()}
-        yield from by_length([(r["id"], r["text"]) for r in part.orderBy("id", "text").collect()], df, total, mean, longest)
+        own = frequency if blocks == 1 else frequency.join(part.select(F.explode("kinds").alias("w")).distinct(), "w")
+        df = {r["w"]: r["df"] for r in own.collect()}
+        yield from by_length([(r["id"], r["text"]) for r in part.select("id", "text", "row").orderBy("id", "text", "row").collect()], df, total, mean, longest)
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -288,7 +300,10 @@ def _holds(shared):
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents that hold no item, with their own columns; no shuffle."""
+    """The documents that hold no item, with their own columns (any names, extra ones too); no shuffle.
+
+    Null and empty texts hold nothing and stay; repeated rows are judged alike; without items all documents stay; an empty table gives no rows.
+    """
     for index in indexes(items):
         holds = _holds(docs.sparkSession.sparkContext.broadcast(index))
         docs = docs.where(~holds(F.col(text_col)))

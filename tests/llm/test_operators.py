@@ -785,3 +785,19 @@ def test_pipeline_stages_against_plain_versions(spark, tmp_path):
             assert kept == {r.doc_id for r in before}
             assert after.agg(F.sum("length")).first()[0] == sum({r.doc_id: r.doc_tokens for r in after.collect()}.values())
         docs = after
+
+
+def test_pipeline_run_on_empty_and_hard_tables(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        for d in ("none", "hard"):
+            spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(tmp_path / d / f"{name}.parquet"))
+    docs.where("false").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    rows = [(i, t, lang, source, len(t or "")) for i, t, lang, source in HARD]
+    odd = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumn("row", F.lit(1)).withColumn("key", F.lit("k"))
+    odd.write.parquet(str(tmp_path / "hard" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    got = corpus_pipeline.run(spark, str(tmp_path / "hard"))
+    kept = {r.doc_id for r in got.collect()}
+    # the three spellings of one text leave the longest, which is number 2
+    assert not kept & {1, 9} and kept <= {i for i, *_ in HARD}
