@@ -28,7 +28,7 @@ from .common import MOST_FEATURES, WordTable, chunks, gram_hashes, labelled_samp
 ORDERS = (4, 5, 6)
 BITS = 18
 #: Bound of the training sample: rows of each label.
-PER_LABEL = 2000
+PER_LABEL = 3000
 #: Highest grade that a label column may hold.
 MOST_GRADES = 16
 #: Grade 1 up to the first number of uses, 2 up to the second, else 3.
