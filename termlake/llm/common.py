@@ -19,6 +19,8 @@ from ..session import cut as cut  # noqa: PLC0414  operators take it from here
 CHUNK_CHARS = 1_500_000
 #: Bound of what a classifier's sample brings to the driver, at eight bytes each; a parameter of the classifiers' fit().
 MOST_FEATURES = 30_000_000
+#: Parts in which a sample reaches the driver.
+SAMPLE_PARTS = 16
 
 
 def small_batches(df: DataFrame, most: int = 16 << 20) -> None:
@@ -225,7 +227,7 @@ def sample_features(docs: DataFrame, sample: DataFrame, features, text_col: str
 
     `features(texts)` gives for each text its buckets and counts; it runs on the executors. The sample is
     bounded, so it is broadcast, and the documents are not shuffled. Rows come in the order of a hash, at most `most`
-    of them, and no more than hold `most_features` features together.
+    of them, and no more than hold `most_features` features together. They reach the driver in `SAMPLE_PARTS` parts, one at a time.
     """
 
     def rows(batches):
@@ -251,5 +253,8 @@ def sample_features(docs: DataFrame, sample: DataFrame, features, text_col: str
         if total > most_features and last is not None:
             break
         last = r["_h"]
-    got = found.where(F.col("_h") <= last).orderBy("_h").limit(most).collect() if last is not None else []
-    return [(r["_label"], np.frombuffer(r["at"], "<i4"), np.frombuffer(r["n"], "<f4")) for r in got]
+    if last is None:
+        return []
+    parts = found.where(F.col("_h") <= last).select("_h", "_label", "at", "n").repartition(SAMPLE_PARTS, "_h")
+    got = sorted((tuple(r) for r in parts.toLocalIterator()), key=lambda r: r[:2])[:most]
+    return [(label, np.frombuffer(at, "<i4"), np.frombuffer(n, "<f4")) for _, label, at, n in got]

@@ -94,7 +94,8 @@ def train(rows, epochs: int = 12, rate: float = 0.05, sparsity: float = 1e-3, ba
     few = sum(r[0] > 0 for r in rows)
     often = max(1, round((len(rows) - few) / max(few, 1) / 2))
     scale = _evidence(rows) / 4
-    rows = [r for r in rows for _ in range(often if r[0] > 0 else 1)]
+    once, times = rows, [often if r[0] > 0 else 1 for r in rows]
+    rows = [r for r, k in zip(rows, times, strict=True) for _ in range(k)]
     grade = _grades(rows)
     top = int(grade.max(initial=0))
     if not top or not (grade == 0).any():
@@ -104,9 +105,9 @@ def train(rows, epochs: int = 12, rate: float = 0.05, sparsity: float = 1e-3, ba
     share = np.cumsum(np.bincount(grade, minlength=top + 1))[:-1] / len(grade)
     cuts = np.log(share / np.maximum(1 - share, 1e-3)) + np.arange(top) * 1e-3
     x = []
-    for _, at, n in rows:
+    for (_, at, n), k in zip(once, times, strict=True):
         good = at[:-1][scale[at[:-1]] > 0] if len(at) else at
-        x.append((good, n[:-1][scale[at[:-1]] > 0] / n[-1] ** LENGTH_POWER * scale[good]) if len(at) else (at, n))
+        x += [(good, n[:-1][scale[at[:-1]] > 0] / n[-1] ** LENGTH_POWER * scale[good]) if len(at) else (at, n)] * k
     for _ in range(epochs):
         order = draw.permutation(len(rows))
         for a in range(0, len(order), batch):
