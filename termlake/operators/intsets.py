@@ -154,6 +154,21 @@ def runs(s: DataFrame, by: list[str] | None = None) -> DataFrame:
     return numbered.groupBy(*keys, "_g").agg(F.min("x").alias("first_x"), F.max("x").alias("last_x")).drop("_g")
 
 
+def intervals(s: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Maximal intervals of consecutive x, over the borders of chunks too: first_x, last_x.
+
+    Runs that touch a border of their chunk, two for each chunk at most, are joined in one task for each set; all others stay with their chunk.
+    """
+    low, high = F.col("first_x").bitwiseAND(F.lit(CHUNK - 1)), F.col("last_x").bitwiseAND(F.lit(CHUNK - 1))
+    touches = F.coalesce((low == 0) | (high == CHUNK - 1), F.lit(False))
+    parted = runs(s, by).withColumn("_t", touches).withColumn("_c", F.when(~F.col("_t"), F.col("chunk")))
+    keys = (by or []) + ["_t", "_c"]
+    w = Window.partitionBy(*keys).orderBy("first_x")
+    begins = F.coalesce(F.col("first_x") - F.lag("last_x").over(w) != 1, F.lit(True))
+    numbered = parted.withColumn("_b", begins).withColumn("_g", F.count_if("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "_g").agg(F.min("first_x").alias("first_x"), F.max("last_x").alias("last_x")).drop("_t", "_c", "_g")
+
+
 def containers(s: DataFrame) -> DataFrame:
     """For each chunk of 2**16: cardinality, runs, the smallest kind of container and its bytes in the portable format."""
     by_chunk = runs(s).groupBy("chunk").agg(F.sum(F.col("last_x") - F.col("first_x") + 1).alias("cardinality"), F.count("*").alias("n_runs"))

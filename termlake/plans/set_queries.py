@@ -133,7 +133,7 @@ def set_size_bound(spark, d):
 
 
 def set_runs(spark, d):
-    return intsets.runs(_flag(spark, d, "A")).select("first_x", "last_x")
+    return intsets.intervals(_flag(spark, d, "A")).select("first_x", "last_x")
 
 
 def set_codec_roundtrip(spark, d):

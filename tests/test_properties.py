@@ -329,3 +329,22 @@ def test_iteration_and_checksum(spark):
     assert intsets.checksum(s).first() == intsets.checksum(twice).first() != intsets.checksum(intsets.of(spark, 1)).first()
     rows = spark.createDataFrame([(0, 0, [1, 2]), (0, 1, [2, 3]), (1, 0, [5])], "segment int, slot int, terms array<int>")
     assert sorted(tuple(r) for r in segments.report(rows).collect()) == [(0, 2, 2, 4, 3), (1, 1, 1, 1, 1)]
+
+
+def test_intervals_run_over_borders_of_chunks(spark, tmp_path):
+    xs = [0, 1, 65534, 65535, 65536, 70000, *range(131071, 196610), 262143, 262145, 2**32 - 1]
+    s = spark.createDataFrame([(x,) for x in xs] + [(None,)], "x bigint")
+    want = [(None, None), (0, 1), (65534, 65536), (70000, 70000), (131071, 196609), (262143, 262143), (262145, 262145), (2**32 - 1, 2**32 - 1)]
+    assert sorted((tuple(r) for r in intsets.intervals(s).collect()), key=lambda r: -1 if r[0] is None else r[0]) == want
+    two = spark.createDataFrame([("a", 65535), ("a", 65536), ("b", 65536), ("b", 65537)], "set_id string, x bigint")
+    assert sorted(tuple(r) for r in intsets.intervals(two, ["set_id"]).collect()) == [("a", 65535, 65536), ("b", 65536, 65537)]
+    assert intsets.intervals(s.limit(0)).count() == 0
+    # the query, against its SQL, on keys over one chunk
+    import duckdb
+
+    from termlake import plans
+
+    rows = spark.range(65000, 66000).selectExpr("'A' as l_returnflag", "id as l_partkey").where("l_partkey <> 65100")
+    rows.union(rows).write.parquet(f"{tmp_path}/lineitem.parquet")
+    sql = duckdb.execute(plans.ORACLE_SQL["set_runs"].replace("lineitem", f"'{tmp_path}/lineitem.parquet/*.parquet'")).fetchall()
+    assert sorted(tuple(r) for r in plans.QUERIES["set_runs"](spark, str(tmp_path)).collect()) == sorted(sql) == [(65000, 65099), (65101, 65999)]
