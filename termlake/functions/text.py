@@ -33,9 +33,14 @@ def simple_tokens(text: Column) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    """Overlapping stretches of three characters; a shorter text as it is."""
-    n = F.length(text)
-    return F.when(n < 3, F.array(text)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3))))
+    """Overlapping stretches of three characters; a shorter text, or none, as it is. One pass, whatever the text's length."""
+    return F.when((F.length(text) < 3) | text.isNull(), F.array(text)).otherwise(F.regexp_extract_all(text, F.lit("(?s)(?=(...))."), F.lit(1)))
+
+
+def stretches(text: Column, n: int = 4096) -> Column:
+    """The text in stretches whose trigrams are the text's, each at n places at most; a text below three characters, or none, as it is."""
+    whole = F.when((F.length(text) <= n) | text.isNull(), F.array(text))
+    return whole.otherwise(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{3,{n + 2}}})).{{1,{n}}}"), F.lit(1)))
 
 
 def is_code(text: Column) -> Column:

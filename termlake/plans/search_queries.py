@@ -115,7 +115,8 @@ def token_freq(spark, d):
 
 
 def trigrams(spark, d):
-    return _table(spark, d, "documents").select(F.explode(text.trigrams(F.col("text"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    parts = _table(spark, d, "documents").select(F.explode(text.stretches(F.col("text"))).alias("part"))  # long texts never stand as one array
+    return parts.select(F.explode(text.trigrams(F.col("part"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
 def code_string_flag(spark, d):

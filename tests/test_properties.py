@@ -348,3 +348,25 @@ def test_intervals_run_over_borders_of_chunks(spark, tmp_path):
     rows.union(rows).write.parquet(f"{tmp_path}/lineitem.parquet")
     sql = duckdb.execute(plans.ORACLE_SQL["set_runs"].replace("lineitem", f"'{tmp_path}/lineitem.parquet/*.parquet'")).fetchall()
     assert sorted(tuple(r) for r in plans.QUERIES["set_runs"](spark, str(tmp_path)).collect()) == sorted(sql) == [(65000, 65099), (65101, 65999)]
+
+
+def test_trigrams_take_one_pass_over_long_texts(spark, tmp_path):
+    from collections import Counter
+    from time import monotonic
+
+    from termlake import plans
+
+    def grams(t):
+        return [t] if t is None or len(t) < 3 else [t[i : i + 3] for i in range(len(t) - 2)]
+
+    texts = [None, "", "a", "ab", "abc", "a\nb\r\n😀é中", "😀" * 3, *("xyz😀\n"[: 1 + n % 5] * n for n in (4094, 4096, 4097, 4098, 4099, 8192, 8193))]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [r[0] for r in rows.select(text.trigrams(F.col("text"))).collect()] == [grams(t) for t in texts]
+    for t, r in zip(texts, rows.select(text.stretches(F.col("text"))).collect(), strict=True):
+        assert [g for p in r[0] for g in grams(p)] == grams(t)
+    long = "".join(chr(97 + i * i % 26) for i in range(600_000))
+    rows.union(spark.createDataFrame([(long,)], "text string")).write.parquet(f"{tmp_path}/documents.parquet")
+    start = monotonic()
+    got = {r.gram: r.n for r in plans.QUERIES["trigrams"](spark, str(tmp_path)).collect()}
+    assert monotonic() - start < 30
+    assert got == Counter(g for t in [*texts, long] for g in grams(t))
