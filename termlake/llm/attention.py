@@ -60,14 +60,6 @@ def _held(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _shares(logits: np.ndarray) -> np.ndarray:
-    """Softmax of rows; logits over 60 count as 60."""
-    np.minimum(logits, 60, out=logits)
-    np.exp(logits, out=logits)
-    logits /= logits @ np.ones((logits.shape[1], 1), np.float32) + 1e-30
-    return logits
-
-
 def levels(by_class: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log-probabilities from counts (CLASSES + 1, CLASSES): (class before, group), and (group, class before, class in the group)."""
     prior = by_class.sum(axis=0) + 0.5
@@ -88,72 +80,137 @@ def initial(n_ids: int, seed: int = 3) -> dict[str, np.ndarray]:
     return dense | {"out": normal(DIM, groups, scale=0.02), "inner": normal(groups, DIM, BRANCH, scale=0.02), "own": np.zeros((n_ids + 1, DIM), np.float32)}
 
 
+def _beside(priors: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """(group * (CLASSES + 1) + class before, 2 * BRANCH): log-probabilities of all groups, then of the group's classes."""
+    groups, inner = priors
+    return np.concatenate([np.broadcast_to(groups, (len(inner), *groups.shape)), inner], axis=2).reshape(-1, groups.shape[1] + inner.shape[2])
+
+
+def _told(w: dict[str, np.ndarray]) -> np.ndarray:
+    """(group, DIM, 2 * BRANCH): the matrix of the groups, beside that of each group's classes."""
+    return np.concatenate([np.broadcast_to(w["out"], (len(w["inner"]), *w["out"].shape)), w["inner"]], axis=2)
+
+
+def _order(x: np.ndarray, most: int) -> np.ndarray:
+    """Stable order of numbers from 0 to `most`; short ones are sorted by their digits."""
+    return np.argsort(x.astype(np.uint8 if most < 1 << 8 else np.uint16) if most < 1 << 16 else x, kind="stable")
+
+
+def _begins(x: np.ndarray) -> np.ndarray:
+    """Where a sorted row's stretches of equal numbers begin."""
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1])))
+
+
 class Fitting:
-    """Weights that Adam changes batch by batch; the ids' own vectors by AdaGrad, only those that a batch holds."""
+    """Weights that Adam changes batch by batch; the ids' own vectors by AdaGrad, only those that a batch holds.
+
+    The dense weights, and their gradients, are stretches of one array each. Attention's shares are never divided by their sums:
+    what they give is, and so is what comes back to them, which is DIM numbers a place instead of WINDOW.
+    """
 
     def __init__(self, weights: dict[str, np.ndarray], kind: np.ndarray, priors: tuple[np.ndarray, np.ndarray]):
-        self.w, self.kind, self.priors, self.t = {k: x.copy() for k, x in weights.items()}, np.append(kind, START).astype(np.int32), priors, 0
-        dense = [k for k in weights if k != "own"]
-        self.m, self.s = ({k: np.zeros_like(weights[k]) for k in dense} for _ in range(2))
+        self.kind, self.priors, self.t = np.append(kind, START).astype(np.int32), _beside(priors), 0
+        shapes = {k: weights[k].shape for k in ("embed", "apart", "o", "out", "inner")} | {"qkv": (DIM, 3 * DIM)}
+        ends = np.cumsum([int(np.prod(x)) for x in shapes.values()]).tolist()
+        self.flat = [np.zeros(ends[-1], np.float32) for _ in range(4)]
+        self.w, self.g, self.m, self.s = ({k: x.reshape(shapes[k]) for k, x in zip(shapes, np.split(flat, ends[:-1]), strict=True)} for flat in self.flat)
+        for views in (self.w, self.m):
+            views |= {k: views["qkv"][:, i * DIM : (i + 1) * DIM] for i, k in enumerate("qkv")}
+        self.w["own"] = weights["own"].copy()
+        for k, x in weights.items():
+            self.w[k][...] = x
         self.moved = np.full(len(weights["own"]), 1e-4, np.float32)
 
+    def weights(self) -> dict[str, np.ndarray]:
+        return {k: np.ascontiguousarray(x) for k, x in self.w.items() if k != "qkv"}
+
     def step(self, own: np.ndarray, lr: float) -> None:
         """One step on windows (n, WINDOW + 1) of ids, -1 behind a text's end."""
-        w = self.w
+        w, g = self.w, self.g
         ids, after = np.maximum(own[:, :-1], 0).ravel(), own[:, 1:].ravel()
         x, real = self.kind[ids], after >= 0
         y = self.kind[np.maximum(after, 0)]
-        shape = (len(own), WINDOW, DIM)
-        v = w["embed"][x] + w["own"][ids]
-        q, k, val = _held(v @ w["q"]).reshape(shape), _held(v @ w["k"]).reshape(shape), (v @ w["v"]).reshape(shape)
+        n, size = len(own), len(ids)
+        v = w["embed"].take(x, axis=0)
+        v += w["own"].take(ids, axis=0)
+        flat = np.empty((size, 3 * DIM + 1), np.float32)  # query, key, value and a one, which sums up the shares
+        flat[:, : 3 * DIM] = v @ w["qkv"]
+        flat[:, 3 * DIM] = 1
+        _held(flat[:, : 2 * DIM].reshape(size, 2, DIM, copy=False))
+        parts = flat.reshape(n, WINDOW, -1)
+        q, k, val = parts[..., :DIM], parts[..., DIM : 2 * DIM], parts[..., 2 * DIM :]
         att = q @ k.transpose(0, 2, 1)
         np.exp(att, out=att)
         att *= _SEEN * np.exp(w["apart"])[_APART]
-        att /= att.sum(axis=2, keepdims=True)
-        o = (att @ val).reshape(-1, DIM)
-        h = v + o @ w["o"]
-        scale = (real / max(1, real.sum())).astype(np.float32)
-        # which group
-        group, inner = y // BRANCH, y % BRANCH
-        p = _shares(h @ w["out"] + self.priors[0][x])
-        p[np.arange(len(p)), group] -= 1
-        p *= scale[:, None]
-        g = {"out": h.T @ p, "inner": np.zeros_like(w["inner"])}
-        dh = p @ w["out"].T
-        # which class of the group: rows of one group together
-        order = np.argsort(group, kind="stable")
-        begins = np.searchsorted(group[order], np.arange(len(w["inner"]) + 1))
-        for c in np.flatnonzero(np.diff(begins)).tolist():
-            at = order[begins[c] : begins[c + 1]]
-            hc = h[at]
-            p = _shares(hc @ w["inner"][c] + self.priors[1][c][x[at]])
-            p[np.arange(len(p)), inner[at]] -= 1
-            p *= scale[at, None]
-            g["inner"][c] = hc.T @ p
-            dh[at] += p @ w["inner"][c].T
-        g["o"] = o.T @ dh
-        do = (dh @ w["o"].T).reshape(shape)
-        datt = do @ val.transpose(0, 2, 1)
-        dval = (att.transpose(0, 2, 1) @ do).reshape(-1, DIM)
-        ds = att * (datt - (datt * att).sum(axis=2, keepdims=True))
-        dq, dk = (ds @ k).reshape(-1, DIM), (ds.transpose(0, 2, 1) @ q).reshape(-1, DIM)
-        g["q"], g["k"], g["v"] = v.T @ dq, v.T @ dk, v.T @ dval
-        g["apart"] = np.bincount(_APART.ravel(), (ds.sum(axis=0) * _SEEN).ravel(), WINDOW)
-        dv = dh + dq @ w["q"].T + dk @ w["k"].T + dval @ w["v"].T
+        o = (att @ val).reshape(size, -1)
+        total = o[:, DIM:]
+        o = o[:, :DIM] / total
+        h = o @ w["o"]
+        h += v
+        # which group, and which class of it: rows of one group together
+        group = y // BRANCH
+        order = _order(group, len(w["inner"]))
+        told, hs, group, ys = _told(w), h.take(order, axis=0), group[order], y[order]
+        begins = np.searchsorted(group, np.arange(len(told) + 1)).tolist()
+        p = self.priors.take(group * (CLASSES + 1) + x[order], axis=0)
+        some = [(c, b, e) for c, (b, e) in enumerate(zip(begins[:-1], begins[1:], strict=True)) if b < e]
+        for c, b, e in some:
+            p[b:e] += hs[b:e] @ told[c]
+        np.minimum(p, 60, out=p)
+        np.exp(p, out=p)
+        scale = (real[order] / max(1, real.sum())).astype(np.float32)
+        halves = p.reshape(-1, BRANCH)
+        halves *= (scale.repeat(2) / (halves @ np.ones(BRANCH, np.float32) + 1e-30))[:, None]
+        spots = np.arange(0, 2 * BRANCH * size, 2 * BRANCH)
+        line = p.reshape(-1)
+        line[spots + group] -= scale
+        line[spots + (BRANCH + ys % BRANCH)] -= scale
+        back = np.empty_like(hs)
+        both = np.zeros_like(told)
+        for c, b, e in some:
+            np.matmul(hs[b:e].T, p[b:e], out=both[c])
+            np.matmul(p[b:e], told[c].T, out=back[b:e])
+        both[..., :BRANCH].sum(axis=0, out=g["out"])
+        g["inner"][...] = both[..., BRANCH:]
+        dh = np.empty_like(h)
+        dh[order] = back
+        np.matmul(o.T, dh, out=g["o"])
+        # what comes back to a place's shares: its gradient with each value, less that with what came out
+        do = np.empty((size, DIM + 1), np.float32)
+        np.divide(dh @ w["o"].T, total, out=do[:, :DIM])
+        np.negative(np.einsum("ij,ij->i", do[:, :DIM], o), out=do[:, DIM])
+        do = do.reshape(n, WINDOW, -1)
+        ds = do @ val.transpose(0, 2, 1)
+        ds *= att
+        d = np.empty((n, WINDOW, 3 * DIM), np.float32)
+        np.matmul(ds, k, out=d[..., :DIM])
+        np.matmul(ds.transpose(0, 2, 1), q, out=d[..., DIM : 2 * DIM])
+        np.matmul(att.transpose(0, 2, 1), do[..., :DIM], out=d[..., 2 * DIM :])
+        d = d.reshape(size, -1)
+        np.matmul(v.T, d, out=g["qkv"])
+        g["apart"][...] = np.bincount(_APART.ravel(), np.ones(n, np.float32) @ ds.reshape(n, -1) * _SEEN.ravel(), WINDOW)
+        dv = d @ w["qkv"].T
+        dv += dh
         # sums by id, stretch by stretch of rows in order; then those of the ids of a class
-        order = np.argsort(ids, kind="stable")
-        first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        rows, sums = ids[order][first], np.add.reduceat(dv[order], first, axis=0)
-        g["embed"] = np.zeros_like(w["embed"])
-        np.add.at(g["embed"], self.kind[rows], sums)
-        self.moved[rows] += np.einsum("ij,ij->i", sums, sums)
-        w["own"][rows] -= (5 * lr / np.sqrt(self.moved[rows]))[:, None] * sums
+        order = _order(ids, len(self.kind))
+        rows = ids[order]
+        first = _begins(rows)
+        rows, sums = rows[first], np.add.reduceat(dv.take(order, axis=0), first, axis=0)
+        kinds = self.kind[rows]
+        order = _order(kinds, CLASSES)
+        kinds = kinds[order]
+        first = _begins(kinds)
+        g["embed"][...] = 0
+        g["embed"][kinds[first]] = np.add.reduceat(sums.take(order, axis=0), first, axis=0)
+        moved = self.moved[rows] + np.einsum("ij,ij->i", sums, sums)
+        self.moved[rows] = moved
+        sums *= (5 * lr / np.sqrt(moved))[:, None]
+        w["own"][rows] = w["own"].take(rows, axis=0) - sums
         self.t += 1
-        for name, grad in g.items():
-            m, s = self.m[name], self.s[name]
-            m += 0.1 * (grad - m)
-            s += 0.001 * (grad * grad - s)
-            w[name] -= (lr * (m / (1 - 0.9**self.t)) / (np.sqrt(s / (1 - 0.999**self.t)) + 1e-8)).astype(np.float32)
+        dense, grad, m, s = self.flat
+        m += 0.1 * (grad - m)
+        s += 0.001 * (grad * grad - s)
+        dense -= lr * (m / (1 - 0.9**self.t)) / (np.sqrt(s / (1 - 0.999**self.t)) + 1e-8)
 
 
 def train(windows: np.ndarray, kind: np.ndarray, priors, epochs: int = 3, batch: int = 64, rate: float = 4e-3, seed: int = 3) -> dict[str, np.ndarray]:
@@ -165,7 +222,7 @@ def train(windows: np.ndarray, kind: np.ndarray, priors, epochs: int = 3, batch:
         order = draw.permutation(len(windows))
         for a in range(0, len(order), batch):
             fitting.step(windows[order[a : a + batch]], rate * (1 - fitting.t / steps))
-    return fitting.w
+    return fitting.weights()
 
 
 def windows_of(ids: np.ndarray, sizes: np.ndarray, start: int) -> np.ndarray:
@@ -205,15 +262,15 @@ def train_on(windows: Iterator[np.ndarray], start: dict[str, np.ndarray], kind:
                 rest = []
     if rest:
         passed()
-    return n, fitting.w, often
+    return n, fitting.weights(), often
 
 
-def _tables(model: Model) -> np.ndarray:
-    """With one layer, what an id puts in depends on itself alone: query, key, value through the output matrix, a one (which sums up
-    the weights in the same product) and its own vector, for each id and the place before a text."""
+def _tables(model: Model) -> tuple[np.ndarray, ...]:
+    """With one layer, what an id puts in depends on itself alone: query, key, value through the output matrix and a one (which sums up
+    the weights in the same product), for each id and the place before a text; then its vector, the classes' matrices and priors."""
     w = model.weights
     v = w["embed"][np.append(model.kind, START)] + w["own"]
-    return np.concatenate([_held(v @ w["q"]), _held(v @ w["k"]), v @ w["v"] @ w["o"], np.ones((len(v), 1), np.float32), v], axis=1)
+    return np.concatenate([_held(v @ w["q"]), _held(v @ w["k"]), v @ w["v"] @ w["o"], np.ones((len(v), 1), np.float32)], axis=1), v, _told(w), _beside(model.priors)
 
 
 def log_probability(model: Model, ids: np.ndarray, sizes: np.ndarray, most: int = 160) -> np.ndarray:
@@ -226,9 +283,9 @@ def log_probability(model: Model, ids: np.ndarray, sizes: np.ndarray, most: int
         return np.zeros(0)
     if "tables" not in model.__dict__:
         model.tables = _tables(model)
-    parts, (to_group, to_class) = model.tables, model.priors
-    kind, w = model.kind[ids], model.weights
-    seen = _SEEN * np.exp(w["apart"])[_APART]
+    parts, vectors, told, priors = model.tables
+    kind = model.kind[ids]
+    seen = _SEEN * np.exp(model.weights["apart"])[_APART]
     # inputs: the place before a text, then the ids but for the last
     begin = np.cumsum(sizes) - sizes
     fed = np.concatenate(([len(model.kind)], ids[:-1])).astype(np.int64)
@@ -237,38 +294,41 @@ def log_probability(model: Model, ids: np.ndarray, sizes: np.ndarray, most: int
     before[begin[sizes > 0]] = START
     place = model.place[ids]
     out = np.where(place >= 0, model.after[before, place], model.share[ids] + model.left[before, kind])
+    groups, inner = (kind // BRANCH).astype(np.uint8), BRANCH + kind % BRANCH
     windows = np.where(sizes > 0, 1 + np.maximum(0, -(-(sizes - WINDOW) // FRESH)), 0)
     first = np.cumsum(windows) - windows
     owner = np.repeat(np.arange(len(sizes)), windows)
     no = np.arange(int(windows.sum())) - first[owner]
     at = begin[owner] + no * FRESH
     end = (begin + sizes)[owner]
-    old = np.where(no > 0, WINDOW - FRESH, 0)
-    steps = np.arange(WINDOW)
-    last = len(before) - 1
-    for a in range(0, len(at), most):
-        spots = at[a : a + most, None] + steps
-        scored = (spots < end[a : a + most, None]) & (steps >= old[a : a + most, None])
-        own = parts[fed[np.minimum(spots, last)]]
-        s = own[..., :DIM] @ own[..., DIM : 2 * DIM].transpose(0, 2, 1)
-        np.exp(s, out=s)
-        s *= seen
-        o = (s @ own[..., 2 * DIM : 3 * DIM + 1])[scored]
-        picked = spots[scored]
-        h = o[:, :DIM] / o[:, DIM:] + own[..., 3 * DIM + 1 :][scored]
-        x, y = before[picked], kind[picked]
-        group = y // BRANCH
-        # rows of one group together
-        order = np.argsort(group, kind="stable")
-        h, x, y, picked = h[order], x[order], y[order], picked[order]
-        begins = np.searchsorted(group[order], np.arange(CLASSES // BRANCH + 1)).tolist()
-        logits = h @ w["out"] + to_group[x]
-        ones = np.ones(BRANCH, np.float32)
-        got = logits[np.arange(len(y)), y // BRANCH] - np.log(np.exp(logits) @ ones)
-        for c in range(CLASSES // BRANCH):
-            b, e = begins[c], begins[c + 1]
-            if b < e:
-                logits = h[b:e] @ w["inner"][c] + to_class[c][x[b:e]]
-                got[b:e] += logits[np.arange(e - b), y[b:e] % BRANCH] - np.log(np.exp(logits) @ ones)
-        out[picked] += got
+    steps, ones, last = np.arange(WINDOW), np.ones(BRANCH, np.float32), len(before) - 1
+    for old, some in ((0, np.flatnonzero(no == 0)), (WINDOW - FRESH, np.flatnonzero(no > 0))):
+        for a in range(0, len(some), most):
+            own = some[a : a + most]
+            spots = at[own, None] + steps
+            rows = parts.take(fed.take(np.minimum(spots, last)), axis=0)
+            s = rows[:, old:, :DIM] @ rows[..., DIM : 2 * DIM].transpose(0, 2, 1)
+            np.exp(s, out=s)
+            s *= seen[old:]
+            o = (s @ rows[..., 2 * DIM :]).reshape(-1, DIM + 1)
+            spots = spots[:, old:]
+            scored = np.flatnonzero(spots < end[own, None])
+            picked = spots.ravel()[scored]
+            # rows of one group together
+            order = np.argsort(groups[picked], kind="stable")
+            picked = picked[order]
+            o = o.take(scored[order], axis=0)
+            h = o[:, :DIM] / o[:, DIM:]
+            h += vectors.take(fed[picked], axis=0)
+            group = groups[picked].astype(np.int64)
+            p = priors.take(group * (CLASSES + 1) + before[picked], axis=0)
+            begins = np.searchsorted(group, np.arange(len(told) + 1)).tolist()
+            for c, (b, e) in enumerate(zip(begins[:-1], begins[1:], strict=True)):
+                if b < e:
+                    p[b:e] += h[b:e] @ told[c]
+            line, spots = p.reshape(-1), np.arange(0, p.size, 2 * BRANCH)
+            got = line[spots + group] + line[spots + inner[picked]]
+            np.exp(line, out=line)
+            sums = np.log(p.reshape(-1, BRANCH) @ ones)
+            out[picked] += got - sums[::2] - sums[1::2]
     return out
