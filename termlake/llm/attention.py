@@ -101,6 +101,44 @@ def _begins(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1])))
 
 
+class _Met:
+    """The different numbers of a row, the most frequent first: `rows`, and `of` has for each place where its number stands there."""
+
+    #: Rows of a number with more places than this are added up by a product, others place by place.
+    MANY = 12
+
+    def __init__(self, x: np.ndarray, most: int):
+        order = _order(x, most)
+        first = _begins(x[order])
+        sizes = np.diff(first, append=len(x))
+        by = np.argsort(-sizes, kind="stable")
+        first, self.sizes = first[by], sizes[by]
+        self.ends = np.cumsum(self.sizes)
+        self.rows = x[order[first]]
+        self.order = order[(first - self.ends + self.sizes).repeat(self.sizes) + np.arange(len(x))]
+        self.of = np.empty(len(x), np.int64)
+        self.of[self.order] = np.arange(len(by)).repeat(self.sizes)
+
+    def sums(self, d: np.ndarray) -> np.ndarray:
+        """Sums of the rows of d whose places hold the same number."""
+        out = np.empty((len(self.rows), d.shape[1]), d.dtype)
+        have = len(self.sizes) - np.cumsum(np.bincount(self.sizes, minlength=self.MANY + 1)[: self.MANY + 1])  # numbers with more places than 0, 1, ...
+        many = int(have[-1])
+        ends = self.ends[:many].tolist()
+        if many:
+            rows, ones, b = d.take(self.order[: ends[-1]], axis=0), np.ones(int(self.sizes[0]), d.dtype), 0
+            for i, e in enumerate(ends):
+                np.dot(ones[: e - b], rows[b:e], out=out[i])
+                b = e
+        begins = self.ends - self.sizes
+        d.take(self.order[begins[many:]], axis=0, out=out[many:], mode="clip")
+        for i, m in enumerate(have[1:].tolist(), 1):
+            if m == many:
+                break
+            out[many:m] += d.take(self.order[begins[many:m] + i], axis=0)
+        return out
+
+
 class Fitting:
     """Weights that Adam changes batch by batch; the ids' own vectors by AdaGrad, only those that a batch holds.
 
@@ -131,22 +169,28 @@ class Fitting:
         x, real = self.kind[ids], after >= 0
         y = self.kind[np.maximum(after, 0)]
         n, size = len(own), len(ids)
-        v = w["embed"].take(x, axis=0)
-        v += w["own"].take(ids, axis=0)
-        flat = np.empty((size, 3 * DIM + 1), np.float32)  # query, key, value and a one, which sums up the shares
-        flat[:, : 3 * DIM] = v @ w["qkv"]
-        flat[:, 3 * DIM] = 1
-        _held(flat[:, : 2 * DIM].reshape(size, 2, DIM, copy=False))
+        # what an id puts in, once for each that the batch holds: query, key, value through the output matrix, a one (which sums up the shares), vector
+        met = _Met(ids, len(self.kind))
+        kinds = self.kind[met.rows]
+        vectors = w["embed"].take(kinds, axis=0)
+        vectors += w["own"].take(met.rows, axis=0)
+        each = np.empty((len(kinds), 4 * DIM + 1), np.float32)
+        put = vectors @ w["qkv"]
+        _held(put[:, : 2 * DIM].reshape(-1, 2, DIM, copy=False))
+        each[:, : 2 * DIM] = put[:, : 2 * DIM]
+        np.matmul(put[:, 2 * DIM :], w["o"], out=each[:, 2 * DIM : 3 * DIM])
+        each[:, 3 * DIM] = 1
+        each[:, 3 * DIM + 1 :] = vectors
+        flat = each.take(met.of, axis=0)
         parts = flat.reshape(n, WINDOW, -1)
-        q, k, val = parts[..., :DIM], parts[..., DIM : 2 * DIM], parts[..., 2 * DIM :]
+        q, k, val = parts[..., :DIM], parts[..., DIM : 2 * DIM], parts[..., 2 * DIM : 3 * DIM + 1]
         att = q @ k.transpose(0, 2, 1)
         np.exp(att, out=att)
         att *= _SEEN * np.exp(w["apart"])[_APART]
         o = (att @ val).reshape(size, -1)
         total = o[:, DIM:]
         o = o[:, :DIM] / total
-        h = o @ w["o"]
-        h += v
+        h = o + flat[:, 3 * DIM + 1 :]
         # which group, and which class of it: rows of one group together
         group = y // BRANCH
         order = _order(group, len(w["inner"]))
@@ -172,32 +216,32 @@ class Fitting:
             np.matmul(p[b:e], told[c].T, out=back[b:e])
         both[..., :BRANCH].sum(axis=0, out=g["out"])
         g["inner"][...] = both[..., BRANCH:]
-        dh = np.empty_like(h)
-        dh[order] = back
-        np.matmul(o.T, dh, out=g["o"])
+        # gradients with each place's query, key, value through the output matrix and vector
+        d = np.empty((size, 4 * DIM), np.float32)
+        back_at = np.empty_like(order)
+        back_at[order] = np.arange(size)
+        dh = back.take(back_at, axis=0)
+        d[:, 3 * DIM :] = dh
         # what comes back to a place's shares: its gradient with each value, less that with what came out
         do = np.empty((size, DIM + 1), np.float32)
-        np.divide(dh @ w["o"].T, total, out=do[:, :DIM])
+        np.divide(dh, total, out=do[:, :DIM])
         np.negative(np.einsum("ij,ij->i", do[:, :DIM], o), out=do[:, DIM])
         do = do.reshape(n, WINDOW, -1)
         ds = do @ val.transpose(0, 2, 1)
         ds *= att
-        d = np.empty((n, WINDOW, 3 * DIM), np.float32)
-        np.matmul(ds, k, out=d[..., :DIM])
-        np.matmul(ds.transpose(0, 2, 1), q, out=d[..., DIM : 2 * DIM])
-        np.matmul(att.transpose(0, 2, 1), do[..., :DIM], out=d[..., 2 * DIM :])
-        d = d.reshape(size, -1)
-        np.matmul(v.T, d, out=g["qkv"])
+        places = d.reshape(n, WINDOW, -1)
+        np.matmul(ds, k, out=places[..., :DIM])
+        np.matmul(ds.transpose(0, 2, 1), q, out=places[..., DIM : 2 * DIM])
+        np.matmul(att.transpose(0, 2, 1), do[..., :DIM], out=places[..., 2 * DIM : 3 * DIM])
         g["apart"][...] = np.bincount(_APART.ravel(), np.ones(n, np.float32) @ ds.reshape(n, -1) * _SEEN.ravel(), WINDOW)
-        dv = d @ w["qkv"].T
-        dv += dh
-        # sums by id, stretch by stretch of rows in order; then those of the ids of a class
-        order = _order(ids, len(self.kind))
-        rows = ids[order]
-        first = _begins(rows)
-        rows, sums = rows[first], np.add.reduceat(dv.take(order, axis=0), first, axis=0)
-        kinds = self.kind[rows]
-        order = _order(kinds, CLASSES)
+        # summed by id, through the matrices that all ids share; then by class
+        d = met.sums(d)
+        np.matmul(put[:, 2 * DIM :].T, d[:, 2 * DIM : 3 * DIM], out=g["o"])
+        d[:, 2 * DIM : 3 * DIM] = d[:, 2 * DIM : 3 * DIM] @ w["o"].T
+        np.matmul(vectors.T, d[:, : 3 * DIM], out=g["qkv"])
+        sums = d[:, : 3 * DIM] @ w["qkv"].T
+        sums += d[:, 3 * DIM :]
+        rows, order = met.rows, _order(kinds, CLASSES)
         kinds = kinds[order]
         first = _begins(kinds)
         g["embed"][...] = 0

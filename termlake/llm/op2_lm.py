@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .attention import CLASSES, START, WINDOW, Model, classes_of, initial, levels, log_probability, train, train_on, windows_of
 from .common import chunks, cut, held_out, lower_ascii, small_batches, split_words
-from .tokens import LONGEST_WORD, Encoder, default_tokenizer
+from .tokens import LONGEST_WORD, Encoder, default_tokenizer, encoder
 
 HEAD = 200_000
 FIT_DOCS, FIT_WINDOWS = 1500, 48
@@ -120,7 +120,7 @@ def coded(train_docs: DataFrame, shared, tokenizer_path: str, text_col: str = "t
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, base = shared.value
-        units = Units(Encoder(tokenizer_path), known, base)
+        units = Units(encoder(tokenizer_path), known, base)
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             for a, b in chunks(texts, 600_000):
@@ -208,7 +208,7 @@ def fit_windows(train_docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
     texts = train_docs.join(F.broadcast(some), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi").select(text_col)
 
     def cut_out(batches):
-        encode = Encoder(tokenizer_path)
+        encode = encoder(tokenizer_path)
         for batch in batches:
             out = []
             for t in batch.column(0).to_pylist():
@@ -458,7 +458,7 @@ def score(docs: DataFrame, train_docs: DataFrame, tokenizer_path: str | None = N
     n, v = words + ends, kinds + (ends > 0)
     top = frequent(counts, head)
     known = dict(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True))
-    encode = Encoder(path)
+    encode = encoder(path)
     base = Units(encode, known, limit=head).learned([w for w in known if plain(w)])
     begun = spark.sparkContext.broadcast((known, base))
     fitted = spark.sparkContext.broadcast(fit(cut(coded(train_docs, begun, path, text_col)), train_docs, path, encode.size + 1, id_col, text_col))
@@ -466,7 +466,7 @@ def score(docs: DataFrame, train_docs: DataFrame, tokenizer_path: str | None = N
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (known, base), model = begun.value, fitted.value
-        units = Units(Encoder(path), known, base)
+        units = Units(encoder(path), known, base)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in chunks(texts, 600_000):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from functools import lru_cache
 
 import numpy as np
 
@@ -76,6 +77,17 @@ class Encoder:
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
+@lru_cache(maxsize=1)
+def _read(path: str, size: int, changed: int) -> Encoder:
+    return Encoder(path)
+
+
+def encoder(path: str) -> Encoder:
+    """The Encoder of the file at `path`; a worker reads the file once for all its tasks, and again when it has changed."""
+    now = os.stat(path)
+    return _read(path, now.st_size, now.st_mtime_ns)
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 

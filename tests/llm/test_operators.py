@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from termlake.llm import attention, op1_langid, op2_lm, op3_secrets, op4_quality, op5_sharding, op6_decontam, op7_exact_dedup, op8_toxicity, op9_packing, op10_minhash, queries
+from termlake.llm import attention, op1_langid, op2_lm, op3_secrets, op4_quality, op5_sharding, op6_decontam, op7_exact_dedup, op8_toxicity, op9_packing, op10_minhash, queries, tokens
 from termlake.llm.common import lower_ascii, split_words
 from termlake.llm.tokens import Encoder, default_tokenizer
 
@@ -317,6 +318,27 @@ def test_op2_steps_and_scores_are_the_plain_ones_in_less_time():
         raise AssertionError((spent, first, second))
 
 
+def test_op2_sums_by_id_and_products_once_for_each():
+    """Rows are summed by their number whatever its share of them; a batch's products are of its different ids."""
+    draw = np.random.default_rng(4)
+    for x in (draw.zipf(1.3, 4096) % 3000, np.zeros(70, np.int64), np.arange(9), draw.integers(0, 300, 4096)):
+        d = draw.normal(0, 1, (len(x), 8)).astype(np.float32)
+        met = attention._Met(x, 3000)
+        want = np.zeros((3000, 8))
+        np.add.at(want, x, d)
+        assert np.array_equal(met.rows[met.of], x) and len(set(met.rows.tolist())) == len(met.rows)
+        assert np.allclose(met.sums(d), want[met.rows], atol=1e-3)
+
+
+def test_op2_reads_a_tokenizer_once_a_worker(tmp_path):
+    path = tmp_path / "tokenizer.json"
+    path.write_bytes(open(default_tokenizer(), "rb").read())
+    first = tokens.encoder(str(path))
+    assert tokens.encoder(str(path)) is first and first("the cat") == Encoder(default_tokenizer())("the cat")
+    os.utime(path, ns=(1, 1))
+    assert tokens.encoder(str(path)) is not first
+
+
 def test_op2_words_that_begin_with_nul_are_words_of_their_own(spark):
     rows = spark.createDataFrame([(1, "the cat sat"), (2, "the cat ran"), (3, "\0the cat")], "doc_id bigint, text string")
     got = by_id(op2_lm.score(rows, rows.where("doc_id < 3")), "id")
